@@ -46,15 +46,16 @@ def monthly_series(df: DataFrame, formula: str, date_column: str) -> DataFrame:
     return with_growth(months)
 
 
-def with_growth(months: DataFrame) -> DataFrame:
-    """Add month-over-month and year-over-year columns to (period, value) rows."""
-    # one row per calendar month, so a single ordered window is small
-    by_period = Window.orderBy("period")
+def with_growth(months: DataFrame, within: str | None = None) -> DataFrame:
+    """Add month-over-month and year-over-year columns to (period, value) rows.
+
+    One row per calendar month (of each ``within`` group), so the ordered window is small.
+    """
+    by_period = Window.partitionBy(within).orderBy("period") if within else Window.orderBy("period")
     previous = F.lag("value", 1).over(by_period)
     year_ago = F.lag("value", MONTHS_PER_YEAR).over(by_period)
     return months.select(
-        "period",
-        "value",
+        "*",
         previous.alias("previous_value"),
         F.round(change_percent(F.col("value"), previous), 2).alias("mom_pct"),
         year_ago.alias("previous_year_value"),
@@ -63,32 +64,29 @@ def with_growth(months: DataFrame) -> DataFrame:
 
 
 def evaluate_kpi(df: DataFrame, kpi: Kpi) -> DataFrame:
-    """One row: overall value, comparison with the target, and growth of the latest month."""
+    """One row: overall value, comparison with the target, and growth of the latest month.
+
+    Total and months come from one scan and one shuffle; rows without a date
+    count in the total only.
+    """
     check_formula(kpi.formula)
     value = _value(kpi.formula)
     if kpi.date_column:
         month = F.date_format(C.wall_time(df, kpi.date_column), "yyyy-MM")
-        # total and months from one scan; rows without a date count in the total only
-        rolled = (
-            df.withColumn("_month", month)
-            .rollup("_month")
-            .agg(value.alias("v"), F.grouping("_month").alias("is_total"))
-        )
+        rolled = df.withColumn("_month", month).rollup("_month").agg(value.alias("v"), F.grouping("_month").alias("g"))
     else:
-        rolled = df.agg(value.alias("v")).select(F.lit(None).cast("string").alias("_month"), "v", F.lit(1).alias("is_total"))
-    months = with_growth(
-        rolled.filter((F.col("is_total") == 0) & F.col("_month").isNotNull())
-        .select(F.col("_month").alias("period"), F.round("v", 2).alias("value"))
+        rolled = df.agg(value.alias("v")).select("v", F.lit(None).cast("string").alias("_month"), F.lit(1).alias("g"))
+    kind = F.when(F.col("g") == 1, "total").when(F.col("_month").isNull(), "undated").otherwise("month")
+    rows = with_growth(
+        rolled.select("v", kind.alias("kind"), F.col("_month").alias("period"), F.round("v", 2).alias("value")), "kind"
     )
-    latest = F.struct("previous_value", "mom_pct", "yoy_pct")
-    rows = rolled.filter("is_total = 1").select(
-        F.col("v").alias("total"), F.lit(None).cast("string").alias("period"), F.lit(None).cast(
-            "struct<previous_value:double,mom_pct:double,yoy_pct:double>").alias("growth")
-    ).unionByName(months.select(F.lit(None).cast("double").alias("total"), "period", latest.alias("growth")))
+    growth = F.when(F.col("kind") == "month", F.struct("previous_value", "mom_pct", "yoy_pct"))
     target = F.lit(kpi.target).cast("double")
     usable_target = F.when(target != 0, target)
-    last = F.max_by("growth", "period")
-    return rows.agg(F.max("total").alias("total"), last.alias("g")).select(
+    return rows.agg(
+        F.max(F.when(F.col("kind") == "total", F.col("v"))).alias("total"),
+        F.max_by(growth, F.when(F.col("kind") == "month", F.col("period"))).alias("g"),
+    ).select(
         F.lit(kpi.name).alias("name"),
         F.lit(kpi.table).alias("table_name"),
         F.lit(kpi.formula).alias("formula"),
