@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from lakesight.functions import columns as C
 from lakesight.functions.grading import CRITICAL, HIGH, LOW, MEDIUM, grade, severity_counts
 from lakesight.functions.summary import summarise
+from lakesight.session import small_frame
 
 # Name fragments, thresholds and penalty points of the built-in rules.
 POSITIVE_NAMES = ("price", "amount", "cost", "quantity", "inventory", "stock", "revenue", "salary")
@@ -99,7 +100,7 @@ def gather_facts(df: DataFrame, primary_keys: Sequence[str] = ()) -> DataFrame:
         )
         for i, name in enumerate(df.columns)
     ]
-    return df.sparkSession.createDataFrame(rows, FACTS)
+    return small_frame(df.sparkSession, rows, FACTS)
 
 
 class QualityRule(Protocol):
@@ -226,7 +227,7 @@ def violation_samples(df: DataFrame, facts: DataFrame, order: Sequence[str] = ()
         if f.extreme_count:
             pairs.append(hit(ExtremeOutlierRule.rule_id, (v < f.low_fence) | (v > f.high_fence)))
     if not pairs:
-        return df.sparkSession.createDataFrame([], "rule_id string, column_name string, sample_violations array<double>")
+        return small_frame(df.sparkSession, [], "rule_id string, column_name string, sample_violations array<double>")
     place = F.struct(*[C.named(o) for o in order]) if order else F.lit(0)
     hits = df.select(place.alias("place"), F.inline(F.array_compact(F.array(*pairs))))
     first = Window.partitionBy("rule_id", "column_name").orderBy("place", "v")
@@ -241,13 +242,16 @@ def evaluate_table(
     primary_keys: Sequence[str] = (),
     rules: Sequence[QualityRule] = BUILT_IN_RULES,
     sample_order: Sequence[str] = (),
+    with_samples: bool = True,
 ) -> DataFrame:
-    """Check rows of all rules, with sample violations. An empty table gives none."""
+    """Check rows of all rules, with sample violations unless they are not wanted. An empty table gives none."""
     facts = gather_facts(df, primary_keys)
     result = None
     for rule in rules:
         found = rule.evaluate(df, table_name, facts).select(*CHECKS)
         result = found if result is None else result.unionByName(found)
+    if not with_samples:
+        return result.select(F.lit(table_name).alias("table_name"), *CHECKS)
     samples = violation_samples(df, facts, sample_order)
     return result.join(samples, ["rule_id", "column_name"], "left").select(
         F.lit(table_name).alias("table_name"), *CHECKS, "sample_violations"
@@ -256,7 +260,7 @@ def evaluate_table(
 
 def score_tables(all_checks: DataFrame, table_names: Sequence[str]) -> DataFrame:
     """Score, grade and counts per table; a table without checks scores 100."""
-    tables = all_checks.sparkSession.createDataFrame([(t,) for t in table_names], "table_name string")
+    tables = small_frame(all_checks.sparkSession, [(t,) for t in table_names], "table_name string")
     failed = ~F.col("passed")
     per_table = all_checks.groupBy("table_name").agg(
         F.sum(F.when(failed, F.col("penalty"))).alias("points"),
@@ -293,6 +297,7 @@ def evaluate_database(
     tables: dict[str, DataFrame],
     primary_keys: dict[str, Sequence[str]] | None = None,
     rules: Sequence[QualityRule] = BUILT_IN_RULES,
+    with_samples: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(checks of all tables, score per table, database score).
 
@@ -302,7 +307,7 @@ def evaluate_database(
     found, errors = None, []
     for name, df in tables.items():
         try:
-            one = evaluate_table(df, name, keys.get(name, ()), rules)
+            one = evaluate_table(df, name, keys.get(name, ()), rules, with_samples=with_samples)
         except Exception as error:  # noqa: BLE001 - one bad table must not hide the others
             errors.append((name, str(error)))
             continue
@@ -312,7 +317,7 @@ def evaluate_database(
     failed = {name for name, _ in errors}
     scores = score_tables(found, [t for t in tables if t not in failed]).withColumn("error", F.lit(None).cast("string"))
     if errors:
-        spark = found.sparkSession
-        bad = spark.createDataFrame(errors, "table_name string, error string").withColumn("quality_score", F.lit(FULL_SCORE))
+        bad = small_frame(found.sparkSession, errors, "table_name string, error string")
+        bad = bad.withColumn("quality_score", F.lit(FULL_SCORE))
         scores = scores.unionByName(bad, allowMissingColumns=True)
     return found, scores, score_database(scores)

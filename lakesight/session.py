@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "lakesight", master: str | None = None, **settings: str) -> SparkSession:
@@ -47,3 +49,11 @@ def materialise(df: DataFrame) -> DataFrame:
     folder = scratch_folder(spark)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """A few rows of scalars as a local relation, which Spark folds into the plan."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return spark.createDataFrame(pa.table({f.name: list(c) for f, c in zip(schema, columns)}), schema)
