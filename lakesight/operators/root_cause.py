@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lakesight.functions.stats import change_percent
 from lakesight.operators.variance import _split_sums, find_split
+from lakesight.session import materialise
 
 BRANCHES = 3  # fixed value: children kept per node
 TOTAL = "TOTAL"
@@ -47,7 +48,8 @@ def drill_down(
     """
     dims = [d for d in dimensions if d in df.columns]
     split = split or find_split(df, metric, date)
-    sums = _split_sums(df, metric, date, split, dims)
+    # written once, so that the levels read these sums and not the table again
+    sums = materialise(_split_sums(df, metric, date, split, dims))
     totals = [F.sum("p1").alias("p1"), F.sum("p2").alias("p2")]
     tree = _nodes(sums.agg(*totals), 0, TOTAL, dims)
     kept = None
@@ -58,8 +60,11 @@ def drill_down(
             # at most branches ** (number - 1) surviving parents
             level = level.join(F.broadcast(kept.select(*keys[:-1])), keys[:-1], "left_semi")
         level = level.groupBy(*keys).agg(*totals)
-        largest = Window.partitionBy(*keys[:-1]) if number > 1 else Window.partitionBy(F.lit(0))
-        largest = largest.orderBy(F.desc(F.round(F.abs(F.col("p2") - F.col("p1")), 2)), F.col(keys[-1]).cast("string"))
-        kept = level.withColumn("_r", F.row_number().over(largest)).filter(F.col("_r") <= branches).drop("_r")
+        largest = [F.desc(F.round(F.abs(F.col("p2") - F.col("p1")), 2)), F.col(keys[-1]).cast("string").asc()]
+        if number == 1:
+            kept = level.orderBy(*largest).limit(branches)
+        else:
+            place = Window.partitionBy(*keys[:-1]).orderBy(*largest)
+            kept = level.withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= branches).drop("_r")
         tree = tree.unionByName(_nodes(kept, number, dims[number - 1], dims))
     return tree
