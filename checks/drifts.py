@@ -7,6 +7,8 @@ from checks.common import rounded, table
 from lakesight.operators import catalog as K
 from lakesight.operators import data_drift as D
 from lakesight.operators import schema_drift as S
+from lakesight.session import materialise, scratch_folder
+from lakesight.sources.sinks import append_schema_snapshot, read_history
 
 LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -95,13 +97,14 @@ def changed(spark, folder):
     return now
 
 
-def schema_history(spark, folder):
-    before = whole(spark, folder)
-    return S.snapshot(before, "sales", 1).unionByName(S.snapshot(before, "sales", 2))
-
-
 def schema_report(spark, folder):
-    return S.detect_schema_drift(S.snapshot(changed(spark, folder), "sales", 3), schema_history(spark, folder))
+    """Two stored snapshots of the tables, compared with the changed catalog."""
+    store = scratch_folder(spark)
+    before = whole(spark, folder)
+    append_schema_snapshot(before, "sales", store)
+    number = append_schema_snapshot(before, "sales", store)
+    current = materialise(S.snapshot(changed(spark, folder), "sales", number + 1))
+    return S.detect_schema_drift(current, read_history(spark, store))
 
 
 _CHANGES = {"orders": ("o_note", "o_orderpriority", "", 6), "part": ("", "", "p_size", 6), "nation": ("n_comment", "", "", 4)}
@@ -118,19 +121,33 @@ def _schema_sql():
                      0 if dropped else now, len(columns)))
     rows.append(("sales", "event_audit", "INITIAL_BASELINE", "NONE", False, "", "", "", 2, 0))
     values = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).lower() for v in r) + ")" for r in rows)
-    return f"""SELECT * FROM (VALUES {values}) t(database_name, table_name, status, severity, drift_detected,
-        removed_columns, modified_columns, added_columns, current_columns_count, baseline_columns_count)"""
+    return f"""SELECT t.*, schema_hash FROM (VALUES {values}) t(database_name, table_name, status, severity, drift_detected,
+        removed_columns, modified_columns, added_columns, current_columns_count, baseline_columns_count)
+      LEFT JOIN ({_changed_hash_sql()}) h USING (database_name, table_name)"""
+
+
+def _one_hash(t, columns, types, source):
+    texts = " || '|' || ".join(
+        f"'{c}:{types.get(c, 'string')}:' || CASE WHEN count(*) > count({c}) THEN 'True' ELSE 'False' END || ':{c in KEYS.get(t, KEYS['events'])}'"
+        for c in sorted(columns))
+    return f"""SELECT 'sales' AS database_name, 1 AS taken, '{t}' AS table_name, {len(columns)} AS column_count,
+        sha256({texts}) AS schema_hash FROM {source}"""
 
 
 def _hash_sql():
-    parts = []
-    for t, columns in COLUMNS.items():
-        texts = " || '|' || ".join(
-            f"'{c}:{TYPES.get(c, 'string')}:' || CASE WHEN count(*) > count({c}) THEN 'True' ELSE 'False' END || ':{c in KEYS[t]}'"
-            for c in sorted(columns))
-        parts.append(f"""SELECT 'sales' AS database_name, 1 AS taken, '{t}' AS table_name, {len(columns)} AS column_count,
-            sha256({texts}) AS schema_hash FROM {t}""")
-    return "\nUNION ALL\n".join(parts)
+    return "\nUNION ALL\n".join(_one_hash(t, c, TYPES, t) for t, c in COLUMNS.items())
+
+
+def _changed_hash_sql():
+    columns = {t: list(c) for t, c in COLUMNS.items() if t != "labels"}
+    sources = {t: t for t in columns}
+    columns["orders"] = [c for c in columns["orders"] if c != "o_orderpriority"] + ["o_note"]
+    sources["orders"] = "(SELECT *, CASE WHEN o_custkey % 2 = 0 THEN 'even' END AS o_note FROM orders)"
+    columns["nation"] += ["n_comment"]
+    sources["nation"] = "(SELECT *, 'x' AS n_comment FROM nation)"
+    columns["event_audit"], sources["event_audit"] = ["event_id", "ts"], "events"
+    types = {**TYPES, "p_size": "bigint"}
+    return "\nUNION ALL\n".join(_one_hash(t, c, types, sources[t]) for t, c in columns.items())
 
 
 def drift_totals(spark, folder):

@@ -61,7 +61,7 @@ def column_changes(current: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def detect_schema_drift(current: DataFrame, history: DataFrame) -> DataFrame:
-    """Status and severity per table: compared, first seen, or dropped since."""
+    """Status, severity and current hash per table: compared, first seen, or dropped since."""
     key = ["database_name", "table_name"]
     changes = column_changes(current, history).groupBy(*key).agg(*[
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("change") == kind, F.col("column_name")))), ", ").alias(f"{kind}_columns")
@@ -69,7 +69,8 @@ def detect_schema_drift(current: DataFrame, history: DataFrame) -> DataFrame:
     ])
     now = current.groupBy(*key).agg(F.count("*").alias("current_columns_count"))
     before = baseline_of(history).groupBy(*key).agg(F.count("*").alias("baseline_columns_count"))
-    tables = now.join(before, key, "full").join(changes, key, "left").fillna(
+    hashes = schema_hashes(current).select(*key, "schema_hash")
+    tables = now.join(before, key, "full").join(changes, key, "left").join(hashes, key, "left").fillna(
         "", [f"{kind}_columns" for kind in SEVERITY_OF])
     changed = F.concat_ws("", *[f"{kind}_columns" for kind in SEVERITY_OF]) != ""
     status = (
@@ -89,6 +90,7 @@ def detect_schema_drift(current: DataFrame, history: DataFrame) -> DataFrame:
         *[f"{kind}_columns" for kind in SEVERITY_OF],
         F.coalesce("current_columns_count", F.lit(0)).alias("current_columns_count"),
         F.coalesce("baseline_columns_count", F.lit(0)).alias("baseline_columns_count"),
+        "schema_hash",
     )
 
 
