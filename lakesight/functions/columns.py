@@ -67,6 +67,17 @@ def epoch_micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
+def number_text(value: Column) -> Column:
+    """A double as text without exponent where 4 to 16 digits before or after the point suffice."""
+    plain = lambda scale: F.regexp_replace(value.cast(f"decimal(38,{scale})").cast("string"), r"(\.\d+?)0*$", "$1")
+    size = F.abs(value)
+    return (
+        F.when((size >= 1e7) & (size < 1e16), plain(10))
+        .when((size >= 1e-4) & (size < 1e-3), plain(20))
+        .otherwise(value.cast("string"))
+    )
+
+
 def as_text(df: DataFrame, name: str) -> Column:
     """Text form used for frequencies and string profiles; nested values become JSON."""
     dtype = df.schema[name].dataType
@@ -76,6 +87,8 @@ def as_text(df: DataFrame, name: str) -> Column:
         return F.initcap(named(name).cast("string"))
     if isinstance(dtype, T.BinaryType):
         return F.base64(named(name))
+    if is_fractional(dtype):
+        return number_text(present(df, name))
     return present(df, name).cast("string")
 
 

@@ -168,17 +168,18 @@ def findings(report: Report) -> DataFrame:
     """KPIs, anomalies and rule violations as one flat text table."""
     parts = []
     text = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
+    number = lambda c: C.number_text(F.col(c))
     row = lambda df, category, *values: df.select(
         F.lit(category).alias("Category"), *[text(v).alias(n) for n, v in zip(FINDINGS[1:], values)])
     if report.kpis is not None:
         mom = F.col("growth_rate_mom_pct")
-        status = F.when(mom != 0, F.concat(F.lit("MoM: "), mom.cast("string"), F.lit("%"))).otherwise("Current")
-        parts.append(row(report.kpis, "KPI", "name", "current_value", "unit", status, "formula"))
+        status = F.when(mom != 0, F.concat(F.lit("MoM: "), number("growth_rate_mom_pct"), F.lit("%"))).otherwise("Current")
+        parts.append(row(report.kpis, "KPI", "name", number("current_value"), "unit", status, "formula"))
     if report.anomalies is not None:
         sign = F.when(F.col("deviation_pct") > 0, "+").otherwise("")
         parts.append(row(
-            report.anomalies, "Anomaly", F.concat_ws(" - ", "entity", "metric"), "observed_value",
-            F.concat(sign, F.col("deviation_pct").cast("string"), F.lit("%")), "severity", "explanation"))
+            report.anomalies, "Anomaly", F.concat_ws(" - ", "entity", "metric"), number("observed_value"),
+            F.concat(sign, number("deviation_pct"), F.lit("%")), "severity", "explanation"))
     if report.rule_violations is not None:
         parts.append(row(
             report.rule_violations, "Business Rule Violation", "rule_name", "violation_count", F.lit("violations"),
