@@ -120,6 +120,11 @@ def type_categories(df: DataFrame) -> dict[str, str]:
     return {name: type_category(df, name) for name in df.columns}
 
 
+def stacked(df: DataFrame, rows: list[list[Column]], names: list[str]) -> DataFrame:
+    """Several output rows per input row, one per entry of ``rows``."""
+    return df.select(F.stack(F.lit(len(rows)), *[c for row in rows for c in row]).alias(*names))
+
+
 def percent(part: Column, whole: Column) -> Column:
     """part / whole * 100, 0 when the whole is 0."""
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")) * 100, F.lit(0.0))

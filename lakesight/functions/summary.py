@@ -1,25 +1,29 @@
 """One-pass column summaries with exact quantiles at any size.
 
 Spark's ``percentile`` keeps every distinct value of a group in one task, which
-is fine up to a checked row count. Beyond it, quantiles are found exactly by
-narrowing: a bounded sketch gives value brackets around each wanted rank, the
-next scan counts exactly what lies below and inside each bracket and sketches
-the inside again, until few enough rows are left to rank them outright. Every
-scan is one partial aggregation whose result is a single row.
+is fine up to a checked number of values. Beyond it, quantiles are found exactly by
+narrowing: one scan counts rows in equal-width bins between the smallest and
+largest value, the bin that holds a wanted rank is split again by the next scan,
+and so on until a bin holds one value or few enough rows to rank them outright.
+Every scan shuffles a bounded number of bins per column, never the values.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+import sys
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SINGLE_PASS_ROWS = 1_000_000
-SKETCH_ACCURACY = 10_000
-SKETCH_POINTS = 1_000
-RANKED_ROWS = 200_000
+from lakesight.functions.columns import stacked
+
+SINGLE_PASS_VALUES = 1_000_000
+BINS = 1_024
+RANKED_ROWS = 100_000
+
+_LARGEST = sys.float_info.max
 
 
 @dataclass
@@ -48,7 +52,7 @@ def summarise(
     values: dict[str, Column],
     probabilities: tuple[float, ...] = (),
     extra: dict[str, Column] | None = None,
-    single_pass_rows: int = SINGLE_PASS_ROWS,
+    single_pass_values: int = SINGLE_PASS_VALUES,
 ) -> tuple[dict[str, Summary], dict]:
     """Summaries of several double columns, plus ``extra`` aggregates, in one scan.
 
@@ -56,52 +60,24 @@ def summarise(
     """
     extra = extra or {}
     names = list(values)
-    exact = not probabilities or df.count() <= single_pass_rows
+    values = {n: v.cast("double") for n, v in values.items()}
+    in_one_pass = bool(probabilities) and df.count() * len(names) <= single_pass_values
     aggregates = [F.count(F.lit(1)).alias("rows")]
     aggregates += [e.alias(f"x{i}") for i, e in enumerate(extra.values())]
-    for i, name in enumerate(names):
-        v = values[name].cast("double")
-        aggregates.append(
-            F.struct(
-                F.count(v).alias("n"),
-                F.min(v).alias("lo"),
-                F.max(v).alias("hi"),
-                F.avg(v).alias("mean"),
-                F.stddev_samp(v).alias("std"),
-                F.skewness(v).alias("skew"),
-            ).alias(f"s{i}")
-        )
-        if probabilities and exact:
-            aggregates.append(F.percentile(v, F.array(*map(F.lit, probabilities))).alias(f"q{i}"))
-        elif probabilities:
-            aggregates.append(_sketch(v).alias(f"q{i}"))
+    for i, v in enumerate(values.values()):
+        stats = [F.count(v), F.min(v), F.max(v), F.avg(v), F.stddev_samp(v), F.skewness(v)]
+        if in_one_pass:
+            stats.append(F.percentile(v, F.array(*map(F.lit, probabilities))))
+        aggregates.append(F.struct(*stats).alias(f"s{i}"))
     row = df.agg(*aggregates).first()
 
-    summaries, wanted = {}, []
-    for i, name in enumerate(names):
-        s = row[f"s{i}"]
-        summary = Summary(s.n, s.lo, s.hi, s.mean, s.std, s.skew)
-        summaries[name] = summary
-        if not probabilities or s.n == 0:
-            continue
-        if exact:
-            summary.quantiles = dict(zip(probabilities, row[f"q{i}"]))
-        else:
-            wanted += [
-                _bracket(name, rank, 0, s.n, row[f"q{i}"], s.lo, s.hi)
-                for p in probabilities
-                for rank in _ranks(p, s.n)
-            ]
-    if wanted:
-        found = _order_statistics(df, values, wanted)
-        for name, summary in summaries.items():
-            for p in probabilities if summary.count else ():
-                ranks = _ranks(p, summary.count)
-                low = found[name, ranks[0]]
-                share = (summary.count - 1) * p - ranks[0]
-                summary.quantiles[p] = low + (found[name, ranks[-1]] - low) * share
-    facts = {key: row[f"x{i}"] for i, key in enumerate(extra)}
-    return summaries, {"rows": row["rows"], **facts}
+    summaries = {n: Summary(*row[f"s{i}"][:6]) for i, n in enumerate(names)}
+    for i, (name, summary) in enumerate(summaries.items()):
+        if in_one_pass and summary.count:
+            summary.quantiles = dict(zip(probabilities, row[f"s{i}"][6]))
+    if probabilities and not in_one_pass:
+        _add_exact_quantiles(df, values, summaries, probabilities)
+    return summaries, {"rows": row["rows"], **{key: row[f"x{i}"] for i, key in enumerate(extra)}}
 
 
 def exact_quantiles(df: DataFrame, value: Column, probabilities: tuple[float, ...], **kw) -> dict[float, float]:
@@ -111,95 +87,122 @@ def exact_quantiles(df: DataFrame, value: Column, probabilities: tuple[float, ..
 
 @dataclass(frozen=True)
 class _Bracket:
-    """Rank ``rank`` (0-based) of column ``name`` lies between ``lo`` and ``hi``."""
+    """The ``rank``-th row (from 0) of the ``inside`` rows of a column between ``lo`` and ``hi``, both present."""
 
     name: str
+    wanted: int
     rank: int
+    inside: int
     lo: float
     hi: float
 
 
-def _ranks(p: float, n: int) -> list[int]:
+def _ranks(p: float, n: int) -> tuple[int, int]:
     position = (n - 1) * p
-    return sorted({math.floor(position), math.ceil(position)})
+    return math.floor(position), math.ceil(position)
+
+
+def _add_exact_quantiles(df, values, summaries: dict[str, Summary], probabilities) -> None:
+    wanted = {
+        _Bracket(name, rank, rank, s.count, s.minimum, s.maximum)
+        for name, s in summaries.items() if s.count
+        for p in probabilities for rank in _ranks(p, s.count)
+    }
+    found = _order_statistics(df, values, wanted)
+    for name, s in summaries.items():
+        for p in probabilities if s.count else ():
+            below, above = _ranks(p, s.count)
+            low, high = found[name, below], found[name, above]
+            share = (s.count - 1) * p - below
+            s.quantiles[p] = low + (high - low) * share if share else low
+
+
+def _order_statistics(df, values: dict[str, Column], brackets: set[_Bracket]) -> dict[tuple[str, int], float]:
+    """The value at each bracket's rank."""
+    found: dict[tuple[str, int], float] = {}
+    while brackets:
+        found |= {(b.name, b.wanted): b.lo for b in brackets if b.lo == b.hi}
+        brackets = {b for b in brackets if b.lo != b.hi}
+        few = {b for b in brackets if b.inside <= RANKED_ROWS}
+        if few:
+            found |= _rank_inside(df, values, few)
+        brackets = _narrow(df, values, brackets - few) if brackets - few else set()
+    return found
 
 
-def _sketch(v: Column) -> Column:
-    points = [i / SKETCH_POINTS for i in range(SKETCH_POINTS + 1)]
-    return F.percentile_approx(v, points, SKETCH_ACCURACY)
+def _ranges(brackets: set[_Bracket]) -> list[tuple[str, float, float]]:
+    return sorted({(b.name, b.lo, b.hi) for b in brackets})
 
 
-def _bracket(name: str, rank: int, below: int, inside: int, points: list, lo: float, hi: float) -> _Bracket:
-    """Sketch points around a rank, two steps wider than the sketch's rank error."""
-    share = (rank - below) / max(inside, 1)
-    slack = 2 / SKETCH_ACCURACY + 1 / max(inside, 1)
-    first = math.floor((share - slack) * SKETCH_POINTS) - 1
-    last = math.ceil((share + slack) * SKETCH_POINTS) + 1
-    return _Bracket(
-        name,
-        rank,
-        points[first] if points and first >= 0 else lo,
-        points[last] if points and last <= SKETCH_POINTS else hi,
-    )
+def _per_slot(numbers: list) -> Column:
+    """The entry of a literal list that belongs to the row's slot."""
+    return F.element_at(F.array(*map(F.lit, numbers)), F.col("slot") + 1)
 
 
-def _order_statistics(df: DataFrame, values: dict[str, Column], brackets: list[_Bracket]) -> dict:
-    """Exact value at each bracket's rank."""
-    found: dict[tuple[str, int], float] = {}
-    full = {b.name for b in brackets}
-    while brackets:
-        aggregates = []
-        for i, b in enumerate(brackets):
-            v = values[b.name].cast("double")
-            inner = F.when((v > b.lo) & (v < b.hi), v)
-            aggregates += [
-                F.count_if(v < b.lo).alias(f"below{i}"),
-                F.count_if(v == b.lo).alias(f"first{i}"),
-                F.count(inner).alias(f"inside{i}"),
-                F.count_if(v == b.hi).alias(f"last{i}"),
-                _sketch(inner).alias(f"points{i}"),
-            ]
-        row = df.agg(*aggregates).first()
-        narrower, ready = [], []
-        for i, b in enumerate(brackets):
-            start = row[f"below{i}"] + row[f"first{i}"]
-            inside = row[f"inside{i}"]
-            if b.rank < row[f"below{i}"] or b.rank >= start + inside + row[f"last{i}"]:
-                # outside the sketch's promise: start over from the whole column
-                narrower.append(_Bracket(b.name, b.rank, float("-inf"), float("inf")))
-            elif b.rank < start:
-                found[b.name, b.rank] = b.lo
-            elif b.rank >= start + inside:
-                found[b.name, b.rank] = b.hi
-            elif inside <= RANKED_ROWS:
-                ready.append((b, b.rank - start))
-            else:
-                narrower.append(_bracket(b.name, b.rank, start, inside, row[f"points{i}"], b.lo, b.hi))
-        if ready:
-            found.update(_rank_inside(df, values, ready))
-        brackets = narrower
-    assert full == {name for name, _ in found}
-    return found
-
+def _rows_inside(df, values: dict[str, Column], ranges) -> DataFrame:
+    """(slot, v) for every value inside a range; ``slot`` numbers the ranges.
 
-def _rank_inside(df: DataFrame, values: dict[str, Column], ready: list[tuple[_Bracket, int]]) -> dict:
-    """Rank the few rows strictly inside each bracket."""
-    slots = []
-    for i, (b, _) in enumerate(ready):
-        v = values[b.name].cast("double")
-        slots.append(F.when((v > b.lo) & (v < b.hi), F.struct(F.lit(i).alias("slot"), v.alias("v"))))
-    counts = (
-        df.select(F.explode(F.array_compact(F.array(*slots))).alias("c"))
-        .groupBy("c.slot", "c.v")
-        .agg(F.count("*").alias("n"))
+    Bounds are looked up by slot after stacking, which keeps the generated code small.
+    """
+    lows, highs = [r[1] for r in ranges], [r[2] for r in ranges]
+    touched = F.lit(False)
+    for name in {r[0] for r in ranges}:
+        own = [(lo, hi) for n, lo, hi in ranges if n == name]
+        touched = touched | values[name].between(min(lo for lo, _ in own), max(hi for _, hi in own))
+    rows = stacked(df.filter(touched), [[F.lit(i), values[name]] for i, (name, _, _) in enumerate(ranges)], ["slot", "v"])
+    return rows.filter((F.col("v") >= _per_slot(lows)) & (F.col("v") <= _per_slot(highs)))
+
+
+def _narrow(df, values, brackets: set[_Bracket]) -> set[_Bracket]:
+    """Replace each bracket by the bin of its range that holds its rank."""
+    ranges = _ranges(brackets)
+    # infinite ends get bins of their own; scaling before subtracting keeps the widest range finite
+    lows = [max(lo, -_LARGEST) for _, lo, _ in ranges]
+    highs = [min(hi, _LARGEST) for _, _, hi in ranges]
+    widths = [(high / BINS - low / BINS) / BINS for low, high in zip(lows, highs)]
+    v, low = F.col("v"), _per_slot(lows)
+    share = F.floor((v / BINS - low / BINS) / _per_slot(widths))
+    index = F.when(v < low, -1).when(v > _per_slot(highs), BINS).otherwise(F.least(share, F.lit(BINS - 1)))
+    bins = (
+        _rows_inside(df, values, ranges)
+        .groupBy("slot", index.cast("int").alias("bin"))
+        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .orderBy("slot", "bin")
+        .collect()
     )
+    by_slot: dict[int, list] = {}
+    for row in bins:
+        by_slot.setdefault(row.slot, []).append(row)
+    narrower = set()
+    for b in brackets:
+        before = 0
+        for row in by_slot[ranges.index((b.name, b.lo, b.hi))]:
+            if b.rank < before + row.n:
+                narrower.add(replace(b, rank=b.rank - before, inside=row.n, lo=row.lo, hi=row.hi))
+                break
+            before += row.n
+    return narrower
+
+
+def _rank_inside(df, values, brackets: set[_Bracket]) -> dict[tuple[str, int], float]:
+    """Rank the rows of each bracket, at most RANKED_ROWS per range."""
+    ranges = _ranges(brackets)
+    wanted: list[dict[int, _Bracket]] = [{} for _ in ranges]
+    for b in brackets:
+        wanted[ranges.index((b.name, b.lo, b.hi))][b.rank] = b
+    targets = F.element_at(F.array(*[F.array(*map(F.lit, sorted(w))) for w in wanted]), F.col("slot") + 1)
     running = F.sum("n").over(Window.partitionBy("slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    target = F.element_at(F.create_map(*[F.lit(x) for i, (_, r) in enumerate(ready) for x in (i, r)]), F.col("slot"))
     hits = (
-        counts.withColumn("upto", running)
-        .withColumn("target", target)
-        .filter((F.col("upto") > F.col("target")) & (F.col("upto") - F.col("n") <= F.col("target")))
-        .select("slot", "v")
+        _rows_inside(df, values, ranges)
+        .groupBy("slot", "v").agg(F.count("*").alias("n"))
+        .withColumn("upto", running)
+        .select("slot", "v", F.filter(targets, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))).alias("ranks"))
+        .filter(F.size("ranks") > 0)
         .collect()
     )
-    return {(ready[h.slot][0].name, ready[h.slot][0].rank): h.v for h in hits}
+    found = {}
+    for h in hits:
+        for rank in h.ranks:
+            b = wanted[h.slot][rank]
+            found[b.name, b.wanted] = h.v
+    return found

@@ -132,7 +132,8 @@ def detect_rolling(
     placed = with_position(copy).drop("_ts", *order_keys)
     block = F.floor(F.col(POSITION) / BLOCK_ROWS)
     halo = F.when(F.col(POSITION) % BLOCK_ROWS >= BLOCK_ROWS - window, block + 1)
-    spread = placed.select("*", block.alias("_own"), F.explode(F.array_compact(F.array(block, halo))).alias("_block"))
+    spread = placed.select("*", block.alias("_own"), F.explode(F.array(block, halo)).alias("_block")).filter(
+        F.col("_block").isNotNull())
     group = ["_per", "_block"] if per else ["_block"]
     before = Window.partitionBy(*group).orderBy(POSITION).rowsBetween(-window, -1)
     scored = (

@@ -46,9 +46,9 @@ def baseline_statistics(df: DataFrame, database: str, table: str) -> DataFrame:
 def value_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(column_name, value, n) for every distinct numeric value."""
     names = names or C.numeric_columns(df)
-    pairs = [F.struct(F.lit(n).alias("column_name"), C.present(df, n).cast("double").alias("value")) for n in names]
+    pairs = [[F.lit(n), C.present(df, n).cast("double")] for n in names]
     return (
-        df.select(F.inline(F.array(*pairs)))
+        C.stacked(df, pairs, ["column_name", "value"])
         .filter(F.col("value").isNotNull())
         .groupBy("column_name", "value")
         .agg(F.count("*").alias("n"))

@@ -9,10 +9,12 @@ quantile of the scores of all rows.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,9 @@ from lakesight.functions.summary import exact_quantiles, summarise
 from lakesight.operators.anomaly import MIN_ROWS, NORMAL_SIGMAS, _label, anomalies, row_id
 from lakesight.session import materialise
 
+# Send these functions to the Python workers by value: they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Forest size, contamination bounds and severity cut.
 TREES = 100
 ROWS_PER_TREE = 256
@@ -32,6 +37,7 @@ SCORE_SCALE = 10
 SEED = 42
 
 _NODES = "tree int, node int, feature int, threshold double, left int, right int, path double"
+SPREAD_BELOW = 5_000_000
 _EULER = 0.5772156649015329
 
 
@@ -97,7 +103,7 @@ def fit(points: DataFrame, features: Sequence[str], n: int, trees: int = TREES,
     return dealt.groupBy("tree").applyInPandas(grow, _NODES).toPandas()
 
 
-def score(rows: DataFrame, features: Sequence[str], nodes: pd.DataFrame, per_tree: int) -> DataFrame:
+def score(rows: DataFrame, features: Sequence[str], nodes: pd.DataFrame, per_tree: int, n: int) -> DataFrame:
     """Add ``raw``: 2 ** (-mean path / expected path), nearer 1 for easily isolated rows."""
     names = list(features)
     forest = []
@@ -121,6 +127,9 @@ def score(rows: DataFrame, features: Sequence[str], nodes: pd.DataFrame, per_tre
                 total += path[node]
             yield batch.assign(raw=np.power(2.0, -total / (len(shared.value) * expected)))
 
+    spark = rows.sparkSession
+    if n <= SPREAD_BELOW:  # a small table may sit in one file; scoring is the costly part
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)
     schema = T.StructType([*rows.schema.fields, T.StructField("raw", T.DoubleType())])
     return rows.mapInPandas(add_score, schema)
 
@@ -153,7 +162,7 @@ def detect_isolation_forest(
     nodes = fit(rows.withColumnRenamed("row_id", "_id"), features, n)
     # written once: the threshold and the detections must see the same scores
     scored = materialise(
-        score(rows, features, nodes, min(ROWS_PER_TREE, n)).select("row_id", "entity", F.col("_x0").alias("v"), "raw")
+        score(rows, features, nodes, min(ROWS_PER_TREE, n), n).select("row_id", "entity", F.col("_x0").alias("v"), "raw")
     )
     threshold = exact_quantiles(scored, F.col("raw"), (1 - contamination,))[1 - contamination]
     margin = F.col("raw") - threshold

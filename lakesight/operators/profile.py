@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakesight.functions import columns as C
 from lakesight.functions.stats import unbiased_skewness
@@ -32,29 +33,54 @@ def _of_category(categories: dict[str, str], wanted: str) -> list[str]:
 
 def _long_form(df: DataFrame, values: dict[str, Column], value_name: str) -> DataFrame:
     """One row per (column, value); missing values are left out."""
-    pairs = [F.struct(F.lit(n).alias("column_name"), v.alias(value_name)) for n, v in values.items()]
-    return df.select(F.inline(F.array(*pairs))).filter(F.col(value_name).isNotNull())
+    pairs = [[F.lit(n), v] for n, v in values.items()]
+    return C.stacked(df, pairs, ["column_name", value_name]).filter(F.col(value_name).isNotNull())
 
 
 def value_frequencies(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Count of every distinct value of every column: (column_name, value, count).
 
-    ``value`` is the text form cut for display; grouping is on the whole value.
+    Numbers and times are grouped as such and only their distinct values are
+    turned into text. ``value`` is that text cut for display; grouping is on the
+    whole value.
     """
     names = names or df.columns
-    long = _long_form(df, {n: C.as_text(df, n) for n in names}, "text")
-    identity = F.when(F.length("text") <= _DIGEST_ABOVE, F.col("text")).otherwise(F.sha2("text", 256))
-    return (
-        long.select(
-            "column_name",
-            (F.length("text") <= _DIGEST_ABOVE).alias("whole"),
-            identity.alias("identity"),
-            F.left("text", F.lit(SHOWN_CHARACTERS)).alias("value"),
-        )
-        .groupBy("column_name", "whole", "identity")
-        .agg(F.first("value").alias("value"), F.count("*").alias("count"))
-        .select("column_name", "value", "count")
-    )
+    kinds: dict[str, list[str]] = {"whole": [], "real": [], "moment": [], "text": []}
+    for name in names:
+        dtype = df.schema[name].dataType
+        kind = ("whole" if isinstance(dtype, T.IntegralType) else "real" if isinstance(dtype, T.DoubleType)
+                else "moment" if isinstance(dtype, T.TimestampNTZType) else "text")
+        kinds[kind].append(name)
+    parts = []
+    # each kind reads only its own columns
+    for kind, members in kinds.items():
+        if not members:
+            continue
+        pairs = [[F.lit(names.index(n)), _grouped_form(df, n, kind)] for n in members]
+        long = C.stacked(df, pairs, ["slot", "v"]).filter(F.col("v").isNotNull())
+        if kind == "text":
+            short = F.length("v") <= _DIGEST_ABOVE
+            long = long.select("slot", F.when(short, F.col("v")).otherwise(F.sha2("v", 256)).alias("v"),
+                               F.when(~short, F.left("v", F.lit(SHOWN_CHARACTERS))).alias("long_text"))
+            # a 64-character text never meets the digest of another one: those are kept apart by long_text
+            counts = long.groupBy("slot", "v", F.col("long_text").isNull().alias("short")).agg(
+                F.coalesce(F.first("long_text"), F.col("v")).alias("value"), F.count("*").alias("count"))
+        else:
+            counts = long.groupBy("slot", "v").agg(F.count("*").alias("count"))
+            text = C.number_text(F.col("v")) if kind == "real" else F.col("v").cast("string")
+            counts = counts.withColumn("value", text)
+        parts.append(counts.select("slot", "value", "count"))
+    joined = parts[0]
+    for part in parts[1:]:
+        joined = joined.unionByName(part)
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("slot") + 1)
+    return joined.select(name.alias("column_name"), "value", "count")
+
+
+def _grouped_form(df: DataFrame, name: str, kind: str) -> Column:
+    if kind == "whole":
+        return C.named(name).cast("long")
+    return C.as_text(df, name) if kind == "text" else C.present(df, name)
 
 
 def top_values(df: DataFrame, names: list[str] | None = None, k: int = TOP_VALUES) -> DataFrame:

@@ -229,7 +229,7 @@ def violation_samples(df: DataFrame, facts: DataFrame, order: Sequence[str] = ()
     if not pairs:
         return small_frame(df.sparkSession, [], "rule_id string, column_name string, sample_violations array<double>")
     place = F.struct(*[C.named(o) for o in order]) if order else F.lit(0)
-    hits = df.select(place.alias("place"), F.inline(F.array_compact(F.array(*pairs))))
+    hits = df.select(place.alias("place"), F.inline(F.array(*pairs))).filter("rule_id is not null")
     first = Window.partitionBy("rule_id", "column_name").orderBy("place", "v")
     ranked = hits.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k)
     sampled = F.array_sort(F.collect_list(F.struct("r", F.round("v", 2).alias("v"))))

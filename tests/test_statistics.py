@@ -35,11 +35,10 @@ def test_skewness_is_bias_corrected(spark):
     assert same == 0.0
 
 
-@pytest.mark.parametrize("shape", ["normal", "hot", "few", "heavy"])
+@pytest.mark.parametrize("shape", ["normal", "hot", "few", "heavy", "infinite", "huge", "constant"])
 def test_narrowed_quantiles_equal_numpy(spark, monkeypatch, shape):
     monkeypatch.setattr(S, "RANKED_ROWS", 20)
-    monkeypatch.setattr(S, "SKETCH_POINTS", 10)
-    monkeypatch.setattr(S, "SKETCH_ACCURACY", 100)
+    monkeypatch.setattr(S, "BINS", 64)
     rng = np.random.default_rng(7)
     x = rng.normal(size=5000)
     if shape == "hot":  # a third of all rows share one value
@@ -48,10 +47,20 @@ def test_narrowed_quantiles_equal_numpy(spark, monkeypatch, shape):
         x = rng.integers(0, 4, size=5000).astype(float)
     if shape == "heavy":
         x = np.exp(rng.normal(size=5000) * 8)
+    if shape == "infinite":
+        x[:100], x[100:150] = np.inf, -np.inf
+    if shape == "huge":
+        x[:2] = [-1.7e308, 1.7e308]
+    if shape == "constant":
+        x[:] = 3.5
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
-    got = S.exact_quantiles(df, F.col("x"), PROBS, single_pass_rows=100)
+    got = S.exact_quantiles(df, F.col("x"), PROBS, single_pass_values=100)
+    ordered = np.sort(x)
     for p in PROBS:
-        assert got[p] == pytest.approx(np.quantile(x, p), rel=1e-12), p
+        at = (len(x) - 1) * p
+        low, high = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+        want = low if low == high else low + (high - low) * (at - np.floor(at))
+        assert got[p] == pytest.approx(want, rel=1e-12, nan_ok=True), p
 
 
 def test_positions_and_running_totals(spark):
