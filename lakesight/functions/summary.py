@@ -17,11 +17,12 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesight.functions.columns import stacked
+from lakesight.functions.columns import named, stacked
 
 SINGLE_PASS_VALUES = 1_000_000
 BINS = 1_024
 RANKED_ROWS = 100_000
+SPREAD_BELOW = 5_000_000
 
 _LARGEST = sys.float_info.max
 
@@ -76,7 +77,7 @@ def summarise(
         if in_one_pass and summary.count:
             summary.quantiles = dict(zip(probabilities, row[f"s{i}"][6]))
     if probabilities and not in_one_pass:
-        _add_exact_quantiles(df, values, summaries, probabilities)
+        _add_exact_quantiles(df, values, summaries, probabilities, row["rows"])
     return summaries, {"rows": row["rows"], **{key: row[f"x{i}"] for i, key in enumerate(extra)}}
 
 
@@ -102,13 +103,13 @@ def _ranks(p: float, n: int) -> tuple[int, int]:
     return math.floor(position), math.ceil(position)
 
 
-def _add_exact_quantiles(df, values, summaries: dict[str, Summary], probabilities) -> None:
+def _add_exact_quantiles(df, values, summaries: dict[str, Summary], probabilities, rows: int) -> None:
     wanted = {
         _Bracket(name, rank, rank, s.count, s.minimum, s.maximum)
         for name, s in summaries.items() if s.count
         for p in probabilities for rank in _ranks(p, s.count)
     }
-    found = _order_statistics(df, values, wanted)
+    found = _order_statistics(df, values, wanted, rows) if wanted else {}
     for name, s in summaries.items():
         for p in probabilities if s.count else ():
             below, above = _ranks(p, s.count)
@@ -117,8 +118,19 @@ def _add_exact_quantiles(df, values, summaries: dict[str, Summary], probabilitie
             s.quantiles[p] = low + (high - low) * share if share else low
 
 
-def _order_statistics(df, values: dict[str, Column], brackets: set[_Bracket]) -> dict[tuple[str, int], float]:
-    """The value at each bracket's rank."""
+def _order_statistics(df: DataFrame, values: dict[str, Column], brackets: set[_Bracket], rows: int) -> dict:
+    """The value at each bracket's rank. A small table is spread over all cores and kept for the passes."""
+    if rows > SPREAD_BELOW:
+        return _search(df, values, brackets)
+    kept = df.select(*[v.alias(n) for n, v in values.items()]).repartition(df.sparkSession.sparkContext.defaultParallelism)
+    kept.persist()
+    try:
+        return _search(kept, {n: named(n) for n in values}, brackets)
+    finally:
+        kept.unpersist()
+
+
+def _search(df, values: dict[str, Column], brackets: set[_Bracket]) -> dict[tuple[str, int], float]:
     found: dict[tuple[str, int], float] = {}
     while brackets:
         found |= {(b.name, b.wanted): b.lo for b in brackets if b.lo == b.hi}

@@ -83,8 +83,9 @@ def evaluate_kpi(df: DataFrame, kpi: Kpi) -> DataFrame:
     growth = F.when(F.col("kind") == "month", F.struct("previous_value", "mom_pct", "yoy_pct"))
     target = F.lit(kpi.target).cast("double")
     usable_target = F.when(target != 0, target)
+    # an empty table has no total row
     return rows.agg(
-        F.max(F.when(F.col("kind") == "total", F.col("v"))).alias("total"),
+        F.coalesce(F.max(F.when(F.col("kind") == "total", F.col("v"))), F.lit(0.0)).alias("total"),
         F.max_by(growth, F.when(F.col("kind") == "month", F.col("period"))).alias("g"),
     ).select(
         F.lit(kpi.name).alias("name"),

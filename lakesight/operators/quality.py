@@ -35,7 +35,7 @@ BAD_DATES_POINTS = 10.0
 FULL_SCORE = 100.0
 SAMPLES = 5
 
-FACTS = T.StructType.fromDDL(
+FACTS = (
     "ordinal int, column_name string, is_key boolean, total_rows bigint, null_count bigint, negative_count bigint, "
     "extreme_count bigint, bad_date_count bigint, duplicate_count bigint, low_fence double, high_fence double"
 )
