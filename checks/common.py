@@ -15,4 +15,4 @@ def rounded(expression: str, digits: int) -> str:
 
 
 def percent(part: str, whole: str) -> str:
-    return rounded(f"coalesce({part} * 100.0 / nullif({whole}, 0), 0)", 2)
+    return rounded(f"coalesce(CAST({part} AS DOUBLE) / nullif({whole}, 0) * 100, 0)", 2)

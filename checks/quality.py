@@ -34,7 +34,7 @@ SHOWN = ["table_name", "rule_id", "column_name", "passed", "severity", "penalty"
 
 
 def _pct(count):
-    return rounded(f"{count} * 100.0 / total", 2)
+    return rounded(f"CAST({count} AS DOUBLE) / total * 100", 2)
 
 
 def checks_sql(name, source, columns, keys=(), numeric=(), positive=(), dates=()):
@@ -47,7 +47,7 @@ def checks_sql(name, source, columns, keys=(), numeric=(), positive=(), dates=()
     one = lambda e: f"printf('%.1f', {rounded(e, 1)})"
     for c in columns:
         facts = f"FROM (SELECT count(*) AS total, count(*) - count({c}) AS n FROM {source}) f WHERE total > 0"
-        share = "n * 100.0 / total"
+        share = "n / total * 100"
         if c in keys:
             out.append(row("QR_NULL_CHECK", c, "n = 0", "CASE WHEN n = 0 THEN 'LOW' ELSE 'CRITICAL' END",
                            "CASE WHEN n = 0 THEN 0 ELSE 15 END",
@@ -63,15 +63,15 @@ def checks_sql(name, source, columns, keys=(), numeric=(), positive=(), dates=()
         out.append(row("QR_UNIQUENESS", c, "n = 0", "CASE WHEN n = 0 THEN 'LOW' ELSE 'CRITICAL' END",
                        "CASE WHEN n = 0 THEN 0 ELSE 20 END",
                        f"CASE WHEN n = 0 THEN 'Key has no duplicates' ELSE 'Key has ' || n || ' duplicate values (' || "
-                       f"{one('n * 100.0 / total')} || '%)' END", "n") + f" {facts}")
+                       f"{one('n / total * 100')} || '%)' END", "n") + f" {facts}")
     for c in positive:
-        share = "n * 100.0 / total"
+        share = "n / total * 100"
         out.append(row("QR_NON_NEGATIVE", c, "false", f"CASE WHEN {share} > 1 THEN 'HIGH' ELSE 'MEDIUM' END",
                        f"CASE WHEN {share} > 1 THEN 10 ELSE 5 END",
                        f"{one(share)} || '% negative values (' || n || ' rows)'", "n")
                    + f" FROM (SELECT count(*) AS total, count(*) FILTER (WHERE {c} < 0) AS n FROM {source}) f WHERE n > 0")
     for c in numeric:
-        share = "n * 100.0 / total"
+        share = "n / total * 100"
         out.append(row("QR_EXTREME_OUTLIERS", c, "false", f"CASE WHEN {share} < 2 THEN 'MEDIUM' ELSE 'HIGH' END",
                        f"CASE WHEN {share} < 2 THEN 4 ELSE 8 END", "n || ' values beyond 3 times the IQR'", "n")
                    + f""" FROM (SELECT total, iqr, valid, (SELECT count(*) FROM {source}
@@ -81,7 +81,7 @@ def checks_sql(name, source, columns, keys=(), numeric=(), positive=(), dates=()
                      WHERE total >= 10 AND valid >= 10 AND iqr > 0 AND n > 0""")
     for c in dates:
         out.append(row("QR_DATE_VALIDITY", c, "false", "'HIGH'", "10",
-                       f"n || ' unreadable dates (' || {one('n * 100.0 / total')} || '%)'", "n")
+                       f"n || ' unreadable dates (' || {one('n / total * 100')} || '%)'", "n")
                    + f""" FROM (SELECT count(*) AS total, count(*) FILTER (WHERE {c} IS NOT NULL
                      AND TRY_CAST({c} AS TIMESTAMP) IS NULL) AS n FROM {source}) f WHERE n > 0""")
     return "\nUNION ALL\n".join(f"SELECT * FROM ({q})" for q in out)

@@ -56,6 +56,10 @@ def drivers_sql(*args):
       FROM ({breakdown_sql(*args)}) WHERE position = 1 AND abs(share_of_variance) > 15"""
 
 
+def sizes_sql(source, columns):
+    return " UNION ALL ".join(f"SELECT {i} AS place, '{c}' AS name, count(DISTINCT {c}) AS n FROM {source}" for i, c in enumerate(columns))
+
+
 def without_net(sql):
     return f"SELECT * EXCLUDE (net) FROM ({sql})"
 
@@ -85,6 +89,7 @@ def tree_sql(source, metric, ts, dims, split=None):
 ORDERS = ("orders", "o_totalprice", "o_orderdate")
 ORDER_DIMS = ["o_orderstatus", "o_orderpriority"]
 LINES = ("lineitem", "l_extendedprice", "l_shipdate")
+LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 LINE_DIMS = ["l_returnflag", "l_linestatus", "l_linenumber"]
 EVENTS = ("events", "value", "ts")
 
@@ -108,8 +113,8 @@ QUERIES = {
 ORACLE = {
     "variance_headline_orders": headline_sql(*ORDERS),
     "variance_breakdown_orders": without_net(breakdown_sql(*ORDERS, ORDER_DIMS)),
-    "variance_breakdown_found_dimensions": without_net(breakdown_sql(
-        *LINES, ["l_linenumber", "l_quantity", "l_discount"], YEAR_2000)),
+    "variance_breakdown_found_dimensions": f"""SELECT * EXCLUDE (net) FROM ({breakdown_sql(*LINES, LINE_COLUMNS, YEAR_2000)})
+        WHERE dimension IN (SELECT name FROM ({sizes_sql('lineitem', LINE_COLUMNS)}) WHERE n BETWEEN 2 AND 50 ORDER BY place LIMIT 3)""",
     "variance_breakdown_median_split": without_net(breakdown_sql(*EVENTS, ["event_type"])),
     "variance_drivers_lineitem": drivers_sql(*LINES, LINE_DIMS, YEAR_2000),
     "root_cause_orders": tree_sql(*ORDERS, ORDER_DIMS),

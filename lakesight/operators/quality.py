@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakesight.functions import columns as C
-from lakesight.functions.grading import CRITICAL, HIGH, LOW, MEDIUM, grade, severity_counts
+from lakesight.functions.grading import CRITICAL, HIGH, LOW, MEDIUM, SEVERITIES, grade
 from lakesight.functions.summary import summarise
 from lakesight.session import small_frame
 
@@ -252,31 +252,39 @@ def evaluate_table(
         result = found if result is None else result.unionByName(found)
     if not with_samples:
         return result.select(F.lit(table_name).alias("table_name"), *CHECKS)
-    samples = violation_samples(df, facts, sample_order)
-    return result.join(samples, ["rule_id", "column_name"], "left").select(
-        F.lit(table_name).alias("table_name"), *CHECKS, "sample_violations"
-    )
+    # at most SAMPLES values per rule and column: few enough for a literal lookup
+    found = {(r.rule_id, r.column_name): r.sample_violations for r in violation_samples(df, facts, sample_order).collect()}
+    samples = F.lit(None).cast("array<double>")
+    for (rule_id, column), values in found.items():
+        here = (F.col("rule_id") == rule_id) & (F.col("column_name") == column)
+        samples = F.when(here, F.array(*map(F.lit, values))).otherwise(samples)
+    return result.select(F.lit(table_name).alias("table_name"), *CHECKS, samples.alias("sample_violations"))
 
 
 def score_tables(all_checks: DataFrame, table_names: Sequence[str]) -> DataFrame:
     """Score, grade and counts per table; a table without checks scores 100."""
-    tables = small_frame(all_checks.sparkSession, [(t,) for t in table_names], "table_name string")
+    columns = "table_name string, passed boolean, severity string, penalty double"
+    # one row without a check per table keeps tables that no rule had anything to say on
+    tables = small_frame(all_checks.sparkSession, [(t, None, None, 0.0) for t in table_names], columns)
     failed = ~F.col("passed")
-    per_table = all_checks.groupBy("table_name").agg(
-        F.sum(F.when(failed, F.col("penalty"))).alias("points"),
-        F.count("*").alias("total_checks"),
-        F.count_if(failed).alias("violations_count"),
-        F.count_if(F.col("passed")).alias("passed_count"),
-        *[F.count_if(failed & (F.col("severity") == s)).alias(f"{s.lower()}_count") for s in (LOW, MEDIUM, HIGH, CRITICAL)],
+    scored = (
+        all_checks.select("table_name", "passed", "severity", "penalty").unionByName(tables)
+        .groupBy("table_name")
+        .agg(
+            F.coalesce(F.sum(F.when(failed, F.col("penalty"))), F.lit(0.0)).alias("points"),
+            F.count("passed").alias("total_checks"),
+            F.count_if(failed).alias("violations_count"),
+            F.count_if("passed").alias("passed_count"),
+            *[F.count_if(failed & (F.col("severity") == s)).alias(f"{s.lower()}_count") for s in SEVERITIES],
+        )
     )
-    joined = tables.join(per_table, "table_name", "left").fillna(0)
     score = F.greatest(F.lit(0.0), F.least(F.lit(FULL_SCORE), FULL_SCORE - F.col("points")))
-    return joined.select(
+    return scored.select(
         "table_name",
         F.round(score, 1).alias("quality_score"),
         grade(score).alias("quality_grade"),
         F.round("points", 1).alias("penalty_points"),
-        *[c for c in joined.columns if c.endswith("_count") or c == "total_checks"],
+        *[c for c in scored.columns if c.endswith("_count") or c == "total_checks"],
     )
 
 
