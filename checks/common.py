@@ -11,7 +11,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def rounded(expression: str, digits: int) -> str:
     """SQL for half-up rounding of a double's shortest decimal form, which is how Spark rounds doubles."""
-    return f"CAST(round(CAST(CAST(CAST({expression} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST(CAST({expression} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)"
 
 
 def percent(part: str, whole: str) -> str:
