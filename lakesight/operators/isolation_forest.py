@@ -37,6 +37,7 @@ SCORE_SCALE = 10
 SEED = 42
 
 _NODES = "tree int, node int, feature int, threshold double, left int, right int, path double"
+SAMPLE_MARGIN = 4
 SPREAD_BELOW = 5_000_000
 _EULER = 0.5772156649015329
 
@@ -77,8 +78,12 @@ def _grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tupl
 def _deal(points: DataFrame, n: int, trees: int, per_tree: int) -> DataFrame:
     """Rows of each tree: without overlap when there are enough, else drawn per tree."""
     if n >= trees * per_tree:
-        sample = points.orderBy(F.xxhash64("_id", F.lit(SEED)), "_id").limit(trees * per_tree)
-        order = F.row_number().over(Window.orderBy(F.xxhash64("_id", F.lit(SEED)), "_id"))
+        place = F.xxhash64(*points.columns, F.lit(SEED))
+        # only rows with a small hash can be among the smallest, so few rows per task are compared
+        share = min(1.0, SAMPLE_MARGIN * trees * per_tree / n)
+        near = points.filter(place <= int(-(2**63) + share * (2**64 - 1))) if share < 1 else points
+        sample = near.orderBy(place, "_id").limit(trees * per_tree)
+        order = F.row_number().over(Window.orderBy(place, "_id"))
         # the sample is at most trees * per_tree rows
         return sample.withColumn("tree", ((order - 1) % trees).cast("int"))
     # fewer rows than the forest takes: every tree ranks all of them by its own hash

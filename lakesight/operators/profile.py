@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from lakesight.functions import columns as C
 from lakesight.functions.stats import unbiased_skewness
 from lakesight.functions.summary import Summary, summarise
+from lakesight.session import small_frame
 
 # Shown text length, list sizes, quantiles, fence width and number of bins.
 SHOWN_CHARACTERS = 100
@@ -25,6 +26,7 @@ MONTHS_SHOWN = 12
 
 # Longer texts are grouped by digest, so that a shuffle never carries whole documents.
 _DIGEST_ABOVE = 64
+_HISTOGRAM = "column_name string, bin int, bin_start double, bin_end double, count bigint"
 
 
 def _of_category(categories: dict[str, str], wanted: str) -> list[str]:
@@ -208,7 +210,7 @@ def histogram(
     names = C.numeric_columns(df) if names is None else names
     if summaries is None:
         summaries = summarise(df, {n: C.finite(df, n) for n in names})[0]
-    chosen, edges = {}, []
+    kept, lows, steps, edges = [], [], [], []
     for n in names:
         s = summaries[n]
         if not s.count:
@@ -217,16 +219,9 @@ def histogram(
         if low == high:
             low, high = low - 0.5, high + 0.5
         step = (high - low) / bins
-        v = C.finite(df, n)
-        guess = F.least(F.floor((v - low) / F.lit(high - low) * bins), F.lit(bins - 1))
-        start = lambda i: F.lit(low) + i * F.lit(step)
-        # rounding may put a value one bin off its edges
-        chosen[n] = (
-            F.when(v < start(guess), guess - 1)
-            .when((guess < bins - 1) & (v >= start(guess + 1)), guess + 1)
-            .otherwise(guess)
-            .cast("int")
-        )
+        kept.append(n)
+        lows.append(low)
+        steps.append(step)
         edges += [
             F.struct(
                 F.lit(n).alias("column_name"),
@@ -236,7 +231,25 @@ def histogram(
             )
             for i in range(bins)
         ]
-    counts = _long_form(df, chosen, "bin").groupBy("column_name", "bin").agg(F.count("*").alias("n"))
+    if not kept:
+        return small_frame(df.sparkSession, [], _HISTOGRAM)
+    # edges are looked up after stacking the columns, which keeps the generated code small
+    of_column = lambda numbers: F.element_at(F.array(*map(F.lit, numbers)), F.col("slot") + 1)
+    edge = lambda i: of_column(lows) + i * of_column(steps)
+    values = C.stacked(df, [[F.lit(i), C.finite(df, n)] for i, n in enumerate(kept)], ["slot", "v"]).filter("v is not null")
+    guess = F.least(F.floor((F.col("v") - of_column(lows)) / of_column(steps)), F.lit(bins - 1))
+    last = bins - 1
+    # rounding may put a value one bin off its edges
+    corrected = (
+        F.when(F.col("v") < edge(F.col("guess")), F.col("guess") - 1)
+        .when((F.col("guess") < last) & (F.col("v") >= edge(F.col("guess") + 1)), F.col("guess") + 1)
+        .otherwise(F.col("guess"))
+    )
+    counts = (
+        values.withColumn("guess", guess)
+        .groupBy(F.element_at(F.array(*map(F.lit, kept)), F.col("slot") + 1).alias("column_name"), corrected.cast("int").alias("bin"))
+        .agg(F.count("*").alias("n"))
+    )
     grid = df.sparkSession.range(1).select(F.inline(F.array(*edges)))
     return grid.join(counts, ["column_name", "bin"], "left").select(
         "column_name", "bin", "bin_start", "bin_end", F.coalesce("n", F.lit(0)).alias("count")

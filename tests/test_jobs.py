@@ -73,6 +73,17 @@ def test_file_views(spark, table, tmp_path):
     assert [r.name for r in files.describe(views["my_region_data"]).collect()] == ["r_regionkey", "r_name"]
 
 
+def test_bounded_sample_is_the_same_with_and_without_the_digest_filter(spark):
+    import hashlib
+
+    from lakesight.sources.sampling import bounded_sample
+
+    ids = sorted(range(3000), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    for rows in (5, 500):  # the first is filtered by digest, the second is not
+        got = {r.id for r in bounded_sample(spark.range(3000), ["id"], rows).collect()}
+        assert got == set(ids[:rows])
+
+
 def test_jdbc_options_split_the_read():
     got = database.jdbc_options("jdbc:postgresql://h/db", "t", database.Split("id", "0", "1000", 8))
     assert got["driver"] == "org.postgresql.Driver"
