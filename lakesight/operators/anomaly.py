@@ -81,6 +81,10 @@ def detect_zscore(
     usable = s.count >= MIN_ROWS and (s.std or 0) > 0
     mean, std = (F.lit(s.mean), F.lit(s.std)) if usable else (F.lit(0.0), F.lit(1.0))
     z = (F.col("v") - mean) / std
+    if usable:
+        # a slightly wider range on the bare column, which the file scan can use to skip row groups
+        reach = threshold * s.std * (1 - 1e-9)
+        df = df.filter((C.named(metric) <= s.mean - reach) | (C.named(metric) >= s.mean + reach))
     found = _rows(df, metric, keys, entity).filter((F.abs(z) >= threshold) if usable else F.lit(False))
     low, high = mean - NORMAL_SIGMAS * std, mean + NORMAL_SIGMAS * std
     text = F.format_string("%.1f is %.2f standard deviations from the mean %.1f", F.col("v"), z, mean)
@@ -99,6 +103,8 @@ def detect_iqr(
     high = F.lit(s.quantile(0.75) + width * iqr if usable else 0.0)
     median = F.lit(s.quantile(0.5) if usable else 0.0)
     v = F.col("v")
+    if usable:  # on the bare column, for the file scan
+        df = df.filter((C.named(metric) < low) | (C.named(metric) > high))
     found = _rows(df, metric, keys, entity).filter(((v < low) | (v > high)) if usable else F.lit(False))
     beyond = F.when(v > high, v - high).otherwise(low - v) / iqr
     score = beyond + 2.0

@@ -26,11 +26,15 @@ def nightly_scan(databases: dict[str, Catalog]) -> DataFrame:
             keys = {n: t.primary_keys for n, t in catalog.items()}
             score = quality.evaluate_database(tables, keys)[2]
             found = anomaly.sweep({n: df for n, df in tables.items() if keys[n]}, keys)
-            counts = anomaly.severity_summary(found).select("total_anomalies", "critical_count")
-            # both sides are one row per database
-            part = score.select(F.lit(name).alias("database_name"), "overall_quality_score", "overall_grade").join(
-                counts.withColumn("database_name", F.lit(name)), "database_name"
-            ).withColumn("error", F.lit(None).cast("string"))
+            counts = anomaly.severity_summary(found).first() if found is not None else None
+            part = score.select(
+                F.lit(name).alias("database_name"),
+                "overall_quality_score",
+                "overall_grade",
+                F.lit(counts.total_anomalies if counts else 0).cast("bigint").alias("total_anomalies"),
+                F.lit(counts.critical_count if counts else 0).cast("bigint").alias("critical_count"),
+                F.lit(None).cast("string").alias("error"),
+            )
         except Exception as error:  # noqa: BLE001 - one database must not stop the others
             part = small_frame(
                 next(iter(catalog.values())).df.sparkSession, [(name, str(error))], "database_name string, error string")

@@ -40,5 +40,18 @@ def test_top_values_are_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan
 
 
+@pytest.mark.parametrize("name", ["anomaly_zscore_events", "anomaly_iqr_events"])
+def test_outlier_ranges_reach_the_scan(spark, name):
+    plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    assert "Or(Less" in pushed.split("PushedFilters")[1]
+    assert "ReadSchema: struct<event_id:bigint,event_type:string,value:double>" in pushed
+
+
+def test_monthly_sum_reads_two_columns(spark):
+    plan = entry.queries()["kpi_monthly_sum"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<o_totalprice:double,o_orderdate:timestamp_ntz>" in plan
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 12
