@@ -17,7 +17,7 @@ from lakesight.session import materialise, scratch_folder
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, with their whole texts."""
-    return quality_rules.judge(docs).where("kept").select(*[f"`{c}`" for c in docs.columns])
+    return quality_rules.kept(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

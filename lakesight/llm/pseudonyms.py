@@ -47,6 +47,11 @@ def permuted(left: Column, right: Column, sizes: tuple[Column, Column], key: str
     return F.aggregate(turns, F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), turn)
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _sizes(*values: int) -> tuple[Column, Column]:
     return tuple(F.lit(v).cast("long") for v in values)
 
@@ -70,14 +75,14 @@ def permuted_digits(digits: Column, key: str, kind: str, undo: bool = False) ->
     v = size - u
     left = F.when(u == 0, 0).otherwise(F.substring(digits, F.lit(1), u).cast("long"))
     pair = permuted(left, F.substring(digits, u + 1, v).cast("long"), (_power(u), _power(v)), key, kind, undo)
-    return F.concat(F.when(u == 0, "").otherwise(_padded(pair["l"], u)), _padded(pair["r"], v))
+    return _let(pair, lambda pair: F.concat(F.when(u == 0, "").otherwise(_padded(pair["l"], u)), _padded(pair["r"], v)))
 
 
 def _filled(shape: Column, digits: Column) -> Column:
     """``shape`` with its digits replaced by ``digits`` in turn."""
     nth = lambda i: F.length(_digits(F.substring(shape, F.lit(1), i + 1)))
-    return F.array_join(F.transform(
-        F.split(shape, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, nth(i), F.lit(1))).otherwise(c)), "")
+    return _let(digits, lambda new: F.array_join(F.transform(
+        F.split(shape, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(new, nth(i), F.lit(1))).otherwise(c)), ""))
 
 
 def luhn(digits: Column) -> Column:
@@ -91,11 +96,13 @@ def luhn(digits: Column) -> Column:
 
 
 def _card(value: Column, key: str, undo: bool) -> Column:
-    digits = _digits(value)
-    inner = permuted_digits(F.substring(digits, F.lit(2), F.length(digits) - 2), key, "card", undo)
-    body = F.concat(F.substring(digits, 1, 1), inner)
-    check = F.pmod(-luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    return F.when(luhn(digits) % 10 == 0, _filled(value, F.concat(body, check))).otherwise(value)
+    def changed(digits: Column) -> Column:
+        inner = permuted_digits(F.substring(digits, F.lit(2), F.length(digits) - 2), key, "card", undo)
+        check = lambda body: F.pmod(-luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
+        new = _let(F.concat(F.substring(digits, F.lit(1), F.lit(1)), inner), lambda body: F.concat(body, check(body)))
+        return F.when(luhn(digits) % 10 == 0, _filled(value, new)).otherwise(value)
+
+    return _let(_digits(value), changed)
 
 
 def _phone(value: Column, key: str, undo: bool) -> Column:
@@ -105,7 +112,7 @@ def _phone(value: Column, key: str, undo: bool) -> Column:
     pair = permuted(area - 200, rest - 2_000_000, _sizes(800, 8_000_000), key, "phone", undo)
     code = F.least(F.length(F.regexp_extract(value, r"^\+([0-9]+)", 1)), F.lit(3), F.length(digits) - 1)
     other = F.concat(F.substring(digits, F.lit(1), code), permuted_digits(F.substring(digits, code + 1, F.length(digits)), key, "number", undo))
-    known = F.concat(F.lit("1"), (pair["l"] + 200).cast("string"), (pair["r"] + 2_000_000).cast("string"))
+    known = _let(pair, lambda pair: F.concat(F.lit("1"), (pair["l"] + 200).cast("string"), (pair["r"] + 2_000_000).cast("string")))
     return _filled(value, F.when(american, known).otherwise(other))
 
 
@@ -114,8 +121,8 @@ def _ssn(value: Column, key: str, undo: bool) -> Column:
     area, group, serial = (F.split(value, "-")[i].cast("long") for i in range(3))
     valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
     pair = permuted(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, _sizes(898, 99 * 9999), key, "ssn", undo)
-    new_area = pair["l"] + F.when(pair["l"] >= 665, 2).otherwise(1)
-    new = F.format_string("%03d-%02d-%04d", new_area, F.floor(pair["r"] / 9999) + 1, pair["r"] % 9999 + 1)
+    new = _let(pair, lambda pair: F.format_string(
+        "%03d-%02d-%04d", pair["l"] + F.when(pair["l"] >= 665, 2).otherwise(1), F.floor(pair["r"] / 9999) + 1, pair["r"] % 9999 + 1))
     return F.when(valid, new).otherwise(value)
 
 
@@ -123,14 +130,15 @@ def _ip(value: Column, key: str, undo: bool) -> Column:
     part = [F.split(value, r"\.")[i].cast("long") for i in range(4)]
     valid = F.greatest(*part) < 256
     pair = permuted(part[0] * 256 + part[1], part[2] * 256 + part[3], _sizes(65536, 65536), key, "ip", undo)
-    new = [F.floor(pair[h] / 256) if high else pair[h] % 256 for h in ("l", "r") for high in (True, False)]
-    return F.when(valid, F.concat_ws(".", *[x.cast("string") for x in new])).otherwise(value)
+    octets = lambda pair: [F.floor(pair[h] / 256) if high else pair[h] % 256 for h in ("l", "r") for high in (True, False)]
+    new = _let(pair, lambda pair: F.concat_ws(".", *[x.cast("string") for x in octets(pair)]))
+    return F.when(valid, new).otherwise(value)
 
 
 def _date(value: Column, form: str, key: str, undo: bool) -> Column:
     day = F.datediff(F.try_to_date(value, form), F.lit(_EPOCH).cast("date")).cast("long")
     pair = permuted(F.floor(day / _DAYS[1]), day % _DAYS[1], _sizes(*_DAYS), key, "date", undo)
-    new = F.date_format(F.date_add(F.lit(_EPOCH).cast("date"), (pair["l"] * _DAYS[1] + pair["r"]).cast("int")), form)
+    new = _let(pair, lambda pair: F.date_format(F.date_add(F.lit(_EPOCH).cast("date"), (pair["l"] * _DAYS[1] + pair["r"]).cast("int")), form))
     return F.when(day.between(0, _DAYS[0] * _DAYS[1] - 1), new).otherwise(value)
 
 
@@ -145,7 +153,7 @@ def _email(value: Column, key: str, undo: bool) -> Column:
         number = lambda s: F.coalesce(F.conv(F.translate(s, letters, places), 26, 10).cast("long"), F.lit(0))
         pair = permuted(number(F.substring(part, F.lit(1), u)), number(F.substring(part, u + 1, size)), (power(u), power(size - u)), key, "letters", undo)
         word = lambda n, w: F.when(w > 0, F.translate(F.lpad(F.lower(F.conv(n.cast("string"), 10, 26)), w, "0"), places, letters)).otherwise("")
-        named = F.concat(word(pair["l"], u), word(pair["r"], size - u))
+        named = _let(pair, lambda pair: F.concat(word(pair["l"], u), word(pair["r"], size - u)))
         return F.when(part.rlike("^[a-z]+$"), named).when(part.rlike("^[0-9]+$"), permuted_digits(part, key, "digits", undo)).otherwise(part)
 
     at = F.locate("@", value)

@@ -108,29 +108,44 @@ def _same(id: str) -> Column:
     return F.col(f"`{id}`").eqNullSafe(F.col("_i")) & F.col(_HOST).eqNullSafe(F.col("_h")) & (F.col(_TEXT) == F.col("_t"))
 
 
-_KEY = [F.col(_ID).alias("_i"), F.col(_HOST).alias("_h"), F.col(_TEXT).alias("_t")]
+def _key() -> list[Column]:
+    return [F.col(_ID).alias("_i"), F.col(_HOST).alias("_h"), F.col(_TEXT).alias("_t")]
 
 
-def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", base: DataFrame | None = None) -> DataFrame:
-    """``base`` (default: ``docs`` with its base columns) with n_removed_words and the verdict ``kept``.
+def verdicts(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """A row per row of ``docs``: its id, the counts of ``BASE``, n_removed_words and ``kept``, but no text.
 
-    ``base`` may drop the texts, if it keeps the columns of ``keyed``.
+    The counts are written before they are joined and filtered, so that they are
+    worked out once.
     """
-    if base is None:
-        base = keyed(base_columns(docs, text), text, host)
+    base = base_columns(docs.select(F.col(f"`{id}`").alias(_ID), F.col(f"`{text}`").alias("_t"), F.col(f"`{host}`").alias(_HOST)), "_t")
+    base = materialise(base.withColumn(_TEXT, _text_hash("_t")).drop("_t"))
     gone = (
         shared_lines(docs, id, text, host).groupBy("_row", _ID, _HOST, _TEXT).agg(F.sum("n").alias("_gone"))
-        .groupBy(_ID, _HOST, _TEXT).agg(F.max("_gone").alias("_gone")).select(*_KEY, "_gone")
+        .groupBy(_ID, _HOST, _TEXT).agg(F.max("_gone").alias("_gone")).select(*_key(), "_gone")
     )
     left = F.col("n_words") - F.col("n_removed_words")
     return (
-        base.join(gone, _same(id), "left")
+        base.join(gone, _same(_ID), "left")
         .withColumn("n_removed_words", F.coalesce("_gone", F.lit(0)))
         .withColumn("kept", ~F.col("base_failed") & (left >= MIN_LEFT_SHARE * F.col("n_words")))
-        .drop("_i", "_h", "_t", "_gone", _TEXT, _HOST)
+        .drop("_i", "_h", "_t", "_gone")
     )
 
 
+def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """``docs`` with the columns of ``verdicts``."""
+    found = verdicts(docs, id, text, host).dropDuplicates([_ID, _HOST, _TEXT]).select(*_key(), *BASE, *VERDICT)
+    joined = keyed(without(docs, [*BASE, *VERDICT]), text, host).join(found, _same(id))
+    return joined.drop("_i", "_h", "_t", _TEXT, _HOST)
+
+
+def kept(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, unchanged."""
+    good = verdicts(docs, id, text, host).where("kept").select(*_key()).distinct()
+    return keyed(docs, text, host).join(good, _same(id), "left_semi").drop(_TEXT, _HOST)
+
+
 def keyed(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """``docs`` with the columns that find a document's removed lines."""
     return docs.withColumn(_TEXT, _text_hash(text)).withColumn(_HOST, F.col(f"`{host}`"))
@@ -138,7 +153,7 @@ def keyed(docs: DataFrame, text: str = "text", host: str = "source") -> DataFram
 
 def without_shared_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """``docs`` with ``clean_text``: the text without the lines above its host's limit."""
-    gone = shared_lines(docs, id, text, host).groupBy(_ID, _HOST, _TEXT).agg(F.collect_set("_line").alias("_gone")).select(*_KEY, "_gone")
+    gone = shared_lines(docs, id, text, host).groupBy(_ID, _HOST, _TEXT).agg(F.collect_set("_line").alias("_gone")).select(*_key(), "_gone")
     stays = lambda line: ~F.array_contains(F.col("_gone"), F.xxhash64(normalised(line)))
     clean = F.array_join(F.filter(F.split(f"`{text}`", "\n", -1), stays), "\n")
     return (

@@ -19,9 +19,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _table(spark, folder, "documents").select("doc_id", "text", "source")
-    base = quality_rules.keyed(quality_rules.base_columns(docs)).drop("text", "source")
-    return quality_rules.judge(docs, base=base).select("doc_id", *quality_rules.BASE, "n_removed_words", "kept")
+    found = quality_rules.verdicts(_table(spark, folder, "documents"))
+    return found.select(F.col("_doc").alias("doc_id"), *quality_rules.BASE, "n_removed_words", "kept")
 
 
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
