@@ -29,7 +29,7 @@ RESULT = "n_words long, n_hit long, items array<long>, spans array<struct<first:
 COLUMNS = ["n_words", "n_hit", "items", "spans", "contaminated", "clean_text"]
 # letters and digits of ASCII and all bytes of other characters make words; A-Z are lower-cased
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # the same words before A-Z are lower-cased
 
 
 def words_of(text: str) -> list[bytes]:

@@ -12,7 +12,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     sorts only the suffixes that are still tied.
     """
     n, bits = len(s), max(1, int(s.max()).bit_length())
-    depth = max(1, 62 // bits)
+    depth = min(n, max(1, 62 // bits))
     key = np.zeros(n, dtype=np.int64)
     for i in range(depth):
         key <<= bits

@@ -127,7 +127,7 @@ class LineIndex:
         """Index without the documents of ``ids`` (one column)."""
         ids = ids.select(F.col(f"`{ids.columns[0]}`").cast("long").alias("doc_id")).distinct()
         gone = materialise(self.refs.join(ids, "doc_id").select(*KEY).distinct())
-        refs = materialise(self.refs.join(ids, "doc_id", "left_anti"))
+        refs = materialise(self.refs.join(ids, "doc_id", "left_anti").select(*KEY, "doc_id"))
         left = refs.join(gone, KEY).groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).select(self._shard(), *KEY, "n", "top")
         left = materialise(left)
         counts = materialise(self.counts.join(gone, KEY, "left_anti").unionByName(left))
@@ -158,14 +158,14 @@ def dedup(docs: DataFrame, index: LineIndex, id: str = "doc_id", text: str = "te
     """
     names = ["n_lines", "n_dropped", "kept_text"]
     docs = without(docs, names)
-    keys = index.dropped_keys().select(F.col("doc_id").alias("_doc"), "keys")
+    keys = index.dropped_keys().select(F.col("doc_id").alias("_doc"), F.col("keys").alias("_keys"))
     joined = docs.join(keys, F.col(f"`{id}`") == F.col("_doc"), "left").drop("_doc")
     schema, given = extended(docs, "n_lines long, n_dropped long, kept_text string"), docs.columns
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counted, lost, left = [], [], []
-            for content, keys in zip(batch.column(text).to_pylist(), batch.column("keys").to_pylist()):
+            for content, keys in zip(batch.column(text).to_pylist(), batch.column("_keys").to_pylist()):
                 lines = _lines(content)
                 drop = {np.array([k["hi"], k["lo"]], dtype=">i8").tobytes() for k in keys or ()}
                 kept = [line for line in lines if line_key(line) not in drop] if drop else lines

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesight.llm import golay
@@ -225,6 +225,23 @@ def links(prints: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     return found.unionByName(more.select("a", "b"))
 
 
+def _classes(docs: DataFrame, id: str, text: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: _id, digest, fp), (fingerprints: fp, component, component_id)."""
+    rows = docs.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("_text"), _digest(text).alias("digest"))
+    rows = materialise(with_fingerprints(rows, "_text", "fp").select("_id", "digest", "fp"))
+    prints = materialise(rows.groupBy("fp").agg(F.min("_id").alias("first")))
+    # whatever connects the fingerprints connects the documents
+    component = connected_components(links(prints.select("fp"), limit))
+    marked = materialise(prints.join(component.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first", F.coalesce("component", "fp").alias("component")))
+    smallest = marked.groupBy("component").agg(F.min("first").alias("component_id"))
+    return rows, materialise(marked.join(smallest, "component").select("fp", "component", "component_id"))
+
+
+def _digest(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", limit: int = GROUP_LIMIT) -> DataFrame:
     """(id, fingerprint, component_id) per row of ``docs``: the smallest id reachable over near fingerprints.
 
@@ -233,27 +250,21 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lim
     without any id has a null component_id. Copies meet in one fingerprint and
     never form pairs.
     """
-    rows = materialise(with_fingerprints(docs.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("_text")), "_text", "fp").select("_id", "fp"))
-    prints = materialise(rows.groupBy("fp").agg(F.min("_id").alias("first")))
-    # whatever connects the fingerprints connects the documents
-    component = connected_components(links(prints.select("fp"), limit))
-    marked = materialise(prints.join(component.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component")))
-    smallest = marked.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = materialise(marked.join(smallest, "component").select("fp", "component_id"))
+    rows, classes = _classes(docs, id, text, limit)
     return rows.join(classes, "fp").select(
         F.col("_id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stand for their group: the smallest id of each, once if its row is repeated."""
-    kept = near_duplicates(docs, id, text).where(F.col(f"`{id}`").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col(f"`{id}`").alias("_kept")).distinct()
-    from pyspark.sql import Window
+def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text", limit: int = GROUP_LIMIT) -> DataFrame:
+    """The rows of ``docs`` that stand for their group: its smallest id, and one row if that is repeated.
 
+    A group whose rows all lack an id keeps one of them.
+    """
+    rows, classes = _classes(docs, id, text, limit)
+    own = rows.join(classes, "fp").where(F.col("_id").eqNullSafe(F.col("component_id")))
+    kept = own.groupBy("component").agg(F.min(F.struct("_id", "digest")).alias("k")).select(
+        F.col("k._id").alias("_kept"), F.col("k.digest").alias("_digest"))
     values = [F.col(f"`{c}`").cast("string") for c in docs.columns]
-    first = Window.partitionBy("_kept").orderBy(F.xxhash64(*values), *values)
-    return (
-        docs.join(kept, F.col(f"`{id}`").eqNullSafe(F.col("_kept")))
-        .withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank", "_kept")
-    )
+    first = Window.partitionBy("_kept", "_digest").orderBy(F.xxhash64(*values), *values)
+    same = F.col(f"`{id}`").eqNullSafe(F.col("_kept")) & (_digest(text) == F.col("_digest"))
+    return docs.join(kept, same).withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank", "_kept", "_digest")

@@ -83,11 +83,11 @@ def shared_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host:
 
     The counts grow with the lines, never with the texts: a line travels as its hash.
     """
-    line = F.explode(F.split(f"`{text}`", "\n", -1)).alias("line")
+    line = F.explode(F.split("_t", "\n", -1)).alias("line")
     lines = materialise(
-        docs.select(
-            F.monotonically_increasing_id().alias("_row"), F.col(f"`{id}`").alias(_ID), F.col(f"`{host}`").alias(_HOST),
-            _text_hash(text).alias(_TEXT), line)
+        docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id}`").alias(_ID), F.col(f"`{host}`").alias(_HOST),
+                    F.col(f"`{text}`").alias("_t"), _text_hash(text).alias(_TEXT))
+        .select("_row", _ID, _HOST, _TEXT, line)
         .select("_row", _ID, _HOST, _TEXT, normalised(F.col("line")).alias("line"))
         .where(F.col("line") != "")
         .select("_row", _ID, _HOST, _TEXT, F.xxhash64("line").alias("_line"), F.regexp_count("line", F.lit(WORD)).alias("n"))

@@ -170,13 +170,13 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with clean_text: the words left when removed spans are cut, joined by blanks; other texts unchanged."""
     docs = without(docs, ["clean_text"])
-    spans = repeated_spans(docs, id, text).select(F.col(id).alias("_doc"), "removed")
+    spans = repeated_spans(docs, id, text).select(F.col(id).alias("_doc"), F.col("removed").alias("_removed"))
     joined, given = docs.join(spans, F.col(f"`{id}`") == F.col("_doc"), "left").drop("_doc"), docs.columns
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean = []
-            for content, removed in zip(batch.column(text).to_pylist(), batch.column("removed").to_pylist()):
+            for content, removed in zip(batch.column(text).to_pylist(), batch.column("_removed").to_pylist()):
                 if removed:
                     words = content.encode("utf-8", "surrogatepass").split()
                     keep = np.ones(len(words), dtype=bool)
