@@ -1,5 +1,6 @@
 """Anomaly detection on whole tables."""
 
+from checks.catalogs import KEYS
 from checks.common import rounded, table
 from lakesight.operators import anomaly as A
 from lakesight.operators.isolation_forest import detect_isolation_forest
@@ -71,6 +72,20 @@ def both(spark, folder):
         .unionByName(A.detect_iqr(df, "value", ["event_id"], "event_type", summary=summary)))
 
 
+def sweep_sql(keys, metrics):
+    """Fence outliers of one metric per table, rows named by their keys."""
+    row = {t: f"concat_ws('|', {', '.join(keys[t])})" for t in metrics}
+    return "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table_name, * FROM ({iqr_sql(t, m, row[t], f"'Row ' || {row[t]}")})" for t, m in metrics.items())
+
+
+# the first numeric column that is no key, or else the first
+METRICS = {
+    "region": "r_regionkey", "nation": "n_regionkey", "customer": "c_nationkey", "supplier": "s_nationkey", "part": "p_size",
+    "orders": "o_custkey", "lineitem": "l_partkey", "events": "user_id", "documents": "n_chars", "embeddings": "label",
+    "pages": "page_id", "benchmark": "item_id", "labels": "quality", "conversations": "conv_id",
+}
+
 QUERIES = {
     "anomaly_zscore_events": lambda s, d: A.detect_zscore(events(s, d), "value", ["event_id"], "event_type"),
     "anomaly_iqr_events": lambda s, d: A.detect_iqr(events(s, d), "value", ["event_id"], "event_type"),
@@ -85,12 +100,14 @@ QUERIES = {
     "anomaly_scan_all_methods": lambda s, d: A.scan_table(events(s, d), "value", ["event_id"], "event_type"),
     "anomaly_isolation_forest_lineitem": lambda s, d: detect_isolation_forest(
         table(s, d, "lineitem"), ["l_extendedprice", "l_quantity", "l_discount", "l_tax"], LINE_KEY),
+    "anomaly_sweep_all_tables": lambda s, d: A.sweep({n: table(s, d, n) for n in METRICS}, KEYS, "IQR"),
     "anomaly_sweep_first_tables": lambda s, d: A.sweep(
         {n: table(s, d, n) for n in ("customer", "documents", "events")},
         {"customer": ["c_custkey"], "documents": ["doc_id"], "events": ["event_id"]}),
 }
 
 ORACLE = {
+    "anomaly_sweep_all_tables": sweep_sql(KEYS, METRICS),
     "anomaly_zscore_events": EVENTS_ZSCORE,
     "anomaly_iqr_events": EVENTS_IQR,
     "anomaly_iqr_documents": iqr_sql("documents", "n_chars", "CAST(doc_id AS VARCHAR)", "'Row ' || doc_id"),

@@ -54,7 +54,6 @@ def event_log(spark, folder):
 LOG = """(SELECT event_id AS id, ts AS created_at, upper(event_type) AS action,
     CASE WHEN value > 100 THEN 'VIOLATION' ELSE 'PASSED' END AS status, 'db' || (user_id % 3) AS database_name FROM events)"""
 LATEST = f"(SELECT * FROM {RECORDS} QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY id DESC) = 1)"
-NEWEST = f"(SELECT * FROM {RECORDS} ORDER BY id DESC LIMIT 100)"
 
 QUERIES = {
     "lineage_latest_records": lambda s, d: L.latest_records(turn_records(s, d)),
@@ -73,7 +72,7 @@ ORACLE = {
         UNION ALL SELECT start_id, depth + 1, l.*, list_append(seen, l.item_id) FROM chain c JOIN latest l
           ON l.item_id = c.parent_id WHERE NOT list_contains(seen, l.item_id))
       SELECT * EXCLUDE (seen) FROM chain""",
-    "lineage_graph_nodes": f"""WITH n AS {NEWEST}
+    "lineage_graph_nodes": f"""WITH n AS {RECORDS}
       SELECT node, item_type AS type, item_label AS label, source_db, source_table FROM
         (SELECT *, item_type || ':' || item_id AS node FROM n
          QUALIFY row_number() OVER (PARTITION BY item_type, item_id ORDER BY id DESC) = 1)
@@ -81,7 +80,7 @@ ORACLE = {
         FROM n WHERE parent_id IS NULL AND source_table IS NOT NULL""",
     "lineage_graph_links": f"""SELECT coalesce(parent_id, 'TABLE:' || source_db || '.' || source_table) AS source,
         item_type || ':' || item_id AS target, CASE WHEN parent_id IS NULL THEN 'QUERIES' ELSE 'DERIVED_FROM' END AS relation
-      FROM {NEWEST} WHERE parent_id IS NOT NULL OR source_table IS NOT NULL""",
+      FROM {RECORDS} WHERE parent_id IS NOT NULL OR source_table IS NOT NULL""",
     "run_log_page": f"SELECT * FROM {LOG} WHERE action = 'CLICK' AND database_name = 'db1' ORDER BY id DESC LIMIT 50 OFFSET 100",
     "run_log_count": f"SELECT count(*) AS total FROM {LOG} WHERE status = 'VIOLATION'",
 }

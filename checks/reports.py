@@ -1,6 +1,6 @@
 """The combined report and the recurring jobs over the given tables."""
 
-from checks import kpis, quality, variances
+from checks import anomalies, kpis, quality, variances
 from checks.catalogs import KEYS
 from checks.common import rounded, table
 from checks.rule_results import RULES, rule_sql
@@ -10,24 +10,22 @@ from lakesight.session import scratch_folder
 from lakesight.streaming import jobs
 
 TABLES = ("customer", "orders", "lineitem")
-WITHOUT_FOREST = tuple(s for s in R.SECTIONS if s != R.ANOMALIES)
 
 
 def catalog(spark, folder, names=TABLES):
     return {n: TableInfo(table(spark, folder, n), KEYS[n]) for n in names}
 
 
-def built(spark, folder, sections=R.SECTIONS):
-    return R.build_report(catalog(spark, folder), kpis.KPIS, RULES, sections)
+def built(spark, folder, sections=R.SECTIONS, method="IQR"):
+    return R.build_report(catalog(spark, folder), kpis.KPIS, RULES, sections, method)
 
 
 def written_findings(spark, folder):
     """A monthly report written as files; its findings read back from CSV."""
     target = scratch_folder(spark)
     names = ("customer", "orders", "lineitem")
-    jobs.monthly_report({"sales": catalog(spark, folder, names)}, {"sales": kpis.KPIS}, {"sales": RULES}, target)
-    return spark.read.option("header", "true").option("escape", '"').csv(f"{target}/sales/findings").filter(
-        "Category <> 'Anomaly'")
+    jobs.monthly_report({"sales": catalog(spark, folder, names)}, {"sales": kpis.KPIS}, {"sales": RULES}, target, "IQR")
+    return spark.read.option("header", "true").option("escape", '"').csv(f"{target}/sales/findings")
 
 
 _ACTIVE = [r for r in RULES if r.active]
@@ -39,27 +37,35 @@ FINDINGS = f"""SELECT 'KPI' AS "Category", name AS "Item", CAST(current_value AS
     formula AS "Details" FROM ({_KPIS})
   UNION ALL SELECT 'Business Rule Violation', rule_name, CAST(violation_count AS VARCHAR), 'violations', severity, alert_message
     FROM ({_VIOLATED}) WHERE status = 'VIOLATION'"""
+_ANOMALIES = anomalies.sweep_sql(KEYS, {n: anomalies.METRICS[n] for n in TABLES})
+_NUMBER = lambda c: f"CAST({c} AS VARCHAR)"
+WITH_ANOMALIES = f"""{FINDINGS}
+  UNION ALL SELECT 'Anomaly', entity || ' - ' || metric, {_NUMBER('observed_value')},
+    CASE WHEN deviation_pct > 0 THEN '+' ELSE '' END || {_NUMBER('deviation_pct')} || '%', severity, explanation FROM ({_ANOMALIES})"""
 _CHECKS = "\nUNION ALL\n".join(quality.table_checks_sql(n) for n in TABLES)
 _SCORE = f"""(SELECT {rounded('avg(quality_score)', 1)} AS score, CAST(sum(critical_count) AS BIGINT) AS critical
     FROM ({quality.scores_sql(_CHECKS, TABLES)}))"""
-OBSERVATIONS = f"""SELECT 1 AS section, name AS position, name || CASE WHEN growth_rate_mom_pct > 0 THEN ' increased ' ELSE ' decreased ' END
-      || abs(growth_rate_mom_pct) || '% compared with the previous period.' AS observation
+OBSERVATIONS = f"""SELECT 1 AS section, name AS position, name || ': ' || CASE WHEN growth_rate_mom_pct > 0 THEN '+' ELSE '' END
+      || growth_rate_mom_pct || ' % on the month before' AS observation
     FROM ({_KPIS}) WHERE growth_rate_mom_pct IS NOT NULL
   UNION ALL SELECT 2, printf('%05d %05d', 0, row_number() OVER (ORDER BY list_position(['o_orderstatus', 'o_orderpriority'], dimension))),
       statement FROM ({variances.drivers_sql(*variances.ORDERS, variances.ORDER_DIMS)})
   UNION ALL SELECT 3, '', CASE WHEN critical > 0
       THEN 'Data quality is ' || CAST(round(score) AS INT) || '/100 with ' || critical || ' critical violations to repair.'
       ELSE 'Data quality is ' || CAST(round(score) AS INT) || '/100 (GOOD).' END FROM {_SCORE}
+  UNION ALL SELECT 4, '', count(*) || ' critical anomalies were found.' FROM ({_ANOMALIES}) WHERE severity = 'CRITICAL' HAVING count(*) > 0
   UNION ALL SELECT 5, '', count(*) || ' business rules are violated.' FROM ({_VIOLATED}) WHERE status = 'VIOLATION'"""
 
 QUERIES = {
     "report_findings": lambda s, d: R.findings(built(s, d, (R.KPIS, R.RULES))),
-    "report_observations": lambda s, d: R.observations(built(s, d, WITHOUT_FOREST)),
+    "report_observations": lambda s, d: R.observations(built(s, d)),
     "report_trends": lambda s, d: built(s, d, (R.KPIS, R.TRENDS)).trends.drop("explanation"),
     "report_insights": lambda s, d: built(s, d, (R.ROOT_CAUSE,)).insights,
     "report_findings_all_sections": lambda s, d: R.findings(built(s, d)),
+    "report_findings_all_methods": lambda s, d: R.findings(built(s, d, method="ALL")),
     "job_monthly_report_findings": written_findings,
-    "job_nightly_scan": lambda s, d: jobs.nightly_scan({"sales": catalog(s, d)}),
+    "job_nightly_scan": lambda s, d: jobs.nightly_scan(
+        {"sales": {n: TableInfo(table(s, d, n), k) for n, k in quality.KEYS.items()}}, "IQR"),
 }
 
 
@@ -75,5 +81,10 @@ ORACLE = {
     "report_observations": OBSERVATIONS,
     "report_trends": "\nUNION ALL\n".join(_trend(k) for k in kpis.KPIS if k.date_column),
     "report_insights": f"SELECT *, 'orders' AS table_name FROM ({variances.headline_sql(*variances.ORDERS)})",
-    "job_monthly_report_findings": FINDINGS,
+    "report_findings_all_sections": WITH_ANOMALIES,
+    "job_monthly_report_findings": WITH_ANOMALIES,
+    "job_nightly_scan": f"""SELECT 'sales' AS database_name, overall_quality_score, overall_grade, total_anomalies, critical_count,
+        CAST(NULL AS VARCHAR) AS error FROM ({quality.ORACLE['quality_database_score']}),
+        (SELECT count(*) AS total_anomalies, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical_count
+         FROM ({anomalies.sweep_sql(quality.KEYS, {n: anomalies.METRICS[n] for n in quality.KEYS})}))""",
 }

@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 # Name fragments and categories that decide how a column is treated.
 DATE_NAME_HINTS = ("date", "time", "created_at", "updated_at", "timestamp")
 NUMERIC, DATETIME, STRING = "NUMERIC", "DATETIME", "STRING"
-DATE_PROBE_ROWS = 20
+#: forms of dates read besides ISO texts, in this order
+DATE_FORMATS = ("yyyyMMdd", "MM/dd/yyyy", "dd.MM.yyyy", "MMM d, yyyy")
 
 _TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
@@ -52,11 +53,17 @@ def finite(df: DataFrame, name: str) -> Column:
     return value
 
 
-def wall_time(df: DataFrame, name: str) -> Column:
+def text_time(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
+    """A text as zone-free timestamp: ISO, or the first of ``formats`` that fits; else NULL."""
+    others = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    return F.coalesce(text.try_cast("timestamp_ntz"), *others)
+
+
+def wall_time(df: DataFrame, name: str, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     """The column as a zone-free timestamp; text that does not parse becomes NULL."""
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.StringType):
-        return named(name).try_cast("timestamp_ntz")
+        return text_time(named(name), formats)
     if is_temporal(dtype):
         return named(name).cast("timestamp_ntz")
     raise ValueError(f"column {name} of type {dtype.simpleString()} holds no dates")
@@ -92,32 +99,25 @@ def as_text(df: DataFrame, name: str) -> Column:
     return present(df, name).cast("string")
 
 
-def type_category(df: DataFrame, name: str) -> str:
-    """NUMERIC, DATETIME or STRING.
+def type_categories(df: DataFrame) -> dict[str, str]:
+    """NUMERIC, DATETIME or STRING per column.
 
-    A text column counts as DATETIME when its name hints at dates and a probe
-    of a few non-null values all parse; only that probe touches data.
+    A text column counts as DATETIME when its name hints at dates and all its
+    values parse; one scan of these columns settles them all.
     """
-    dtype = df.schema[name].dataType
-    if is_numeric(dtype):
-        return NUMERIC
-    if is_temporal(dtype):
-        return DATETIME
-    hinted = any(hint in name.lower() for hint in DATE_NAME_HINTS)
-    if not isinstance(dtype, T.StringType) or not hinted:
-        return STRING
-    probe = (
-        df.select(named(name).alias("v"))
-        .filter(F.col("v").isNotNull())
-        .limit(DATE_PROBE_ROWS)
-        .agg(F.count("*").alias("n"), F.count(F.col("v").try_cast("timestamp_ntz")).alias("ok"))
-        .first()
-    )
-    return DATETIME if probe.n > 0 and probe.n == probe.ok else STRING
+    found = {}
+    for name in df.columns:
+        dtype = df.schema[name].dataType
+        found[name] = NUMERIC if is_numeric(dtype) else DATETIME if is_temporal(dtype) else STRING
+    hinted = [n for n in df.columns if isinstance(df.schema[n].dataType, T.StringType) and any(h in n.lower() for h in DATE_NAME_HINTS)]
+    if hinted:
+        row = df.agg(*[F.count(c) for n in hinted for c in (named(n), wall_time(df, n))]).first()
+        found |= {n: DATETIME for i, n in enumerate(hinted) if row[2 * i] > 0 and row[2 * i] == row[2 * i + 1]}
+    return found
 
 
-def type_categories(df: DataFrame) -> dict[str, str]:
-    return {name: type_category(df, name) for name in df.columns}
+def type_category(df: DataFrame, name: str) -> str:
+    return type_categories(df.select(named(name)))[name]
 
 
 def stacked(df: DataFrame, rows: list[list[Column]], names: list[str]) -> DataFrame:

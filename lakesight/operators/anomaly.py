@@ -34,8 +34,12 @@ _NOISE = 1e-12  # a window spread below this share of its mean is rounding noise
 
 
 def row_id(keys: Sequence[str]) -> Column:
-    """The caller's key columns as one text."""
-    return F.concat_ws("|", *[C.named(k).cast("string") for k in keys])
+    """The caller's key columns as one text; different keys give different texts.
+
+    A missing value is written as \\N, and a separator or backslash in a value gets a backslash before it.
+    """
+    escaped = lambda k: F.replace(F.replace(C.named(k).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.concat_ws("|", *[F.coalesce(escaped(k), F.lit("\\N")) for k in keys])
 
 
 def _label(entity: str | None, keys: Sequence[str]) -> Column:
@@ -189,7 +193,7 @@ def scan_table(
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    return strongest_per_row(found)
+    return found  # a method finds a row once, so rows that share a key all stay
 
 
 def strongest_per_row(found: DataFrame) -> DataFrame:
@@ -206,13 +210,20 @@ def severity_summary(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("total_anomalies"), *severity_counts())
 
 
-def sweep(tables: dict[str, DataFrame], keys: dict[str, Sequence[str]], first_tables: int = 3) -> DataFrame:
-    """Scan the first numeric column of the first tables."""
+def first_metric(df: DataFrame, keys: Sequence[str]) -> str | None:
+    """The first numeric column that is no key, else the first numeric column."""
+    numeric = C.numeric_columns(df)
+    return next((c for c in numeric if c not in keys), next(iter(numeric), None))
+
+
+def sweep(tables: dict[str, DataFrame], keys: dict[str, Sequence[str]], method: str = "ALL") -> DataFrame | None:
+    """Scan the first metric of every table; rows of a table without a key are named by all their columns."""
     result = None
-    for name, df in list(tables.items())[:first_tables]:
-        numeric = C.numeric_columns(df)
-        if not numeric:
+    for name, df in tables.items():
+        own = list(keys.get(name) or ())
+        metric = first_metric(df, own)
+        if metric is None:
             continue
-        part = scan_table(df, numeric[0], keys[name]).select(F.lit(name).alias("table_name"), *ANOMALY)
+        part = scan_table(df, metric, own or df.columns, method=method).select(F.lit(name).alias("table_name"), *ANOMALY)
         result = part if result is None else result.unionByName(part)
     return result

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from lakesight.session import materialise
 
-GRAPH_RECORDS = 100
 PAGE_ROWS = 100
 
 
@@ -53,8 +52,9 @@ def lineage_chains(records: DataFrame, starts: DataFrame) -> DataFrame:
     return reached.join(latest, "item_id").select("start_id", "depth", *records.columns)
 
 
-def newest_records(records: DataFrame, limit: int = GRAPH_RECORDS) -> DataFrame:
-    return records.orderBy(F.desc("id")).limit(limit)
+def newest_records(records: DataFrame, limit: int | None = None) -> DataFrame:
+    """All records, or the ``limit`` newest."""
+    return records if limit is None else records.orderBy(F.desc("id")).limit(limit)
 
 
 def _node_id(kind: Column, item: Column) -> Column:
@@ -69,7 +69,7 @@ def _table_id() -> Column:
     return F.concat(F.lit("TABLE:"), _table_name())
 
 
-def graph_nodes(records: DataFrame, limit: int = GRAPH_RECORDS) -> DataFrame:
+def graph_nodes(records: DataFrame, limit: int | None = None) -> DataFrame:
     """Items of the newest records, each once, and the tables that items without parent read."""
     recent = newest_records(records, limit)
     items = (
@@ -88,7 +88,7 @@ def graph_nodes(records: DataFrame, limit: int = GRAPH_RECORDS) -> DataFrame:
     return items.unionByName(tables.join(items.select("node"), "node", "left_anti"))
 
 
-def graph_links(records: DataFrame, limit: int = GRAPH_RECORDS) -> DataFrame:
+def graph_links(records: DataFrame, limit: int | None = None) -> DataFrame:
     """DERIVED_FROM links to parents, QUERIES links to source tables."""
     node = _node_id(F.col("item_type"), F.col("item_id"))
     has_parent = F.coalesce("parent_id", F.lit("")) != ""

@@ -52,27 +52,27 @@ def execute_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     If a condition fails on the data, the rules are run one by one to tell which.
     """
     active = [r for r in rules if r.active]
-    errors: dict[str, str] = {}
-    for rule in active:
+    errors: dict[int, str] = {}
+    for i, rule in enumerate(active):
         try:
             violations(df, rule).schema
         except (UnsafeSql, PySparkException) as error:
-            errors[rule.name] = str(error).splitlines()[0]
-    sound = [r for r in active if r.name not in errors]
-    counts: dict[str, int] = {}
+            errors[i] = str(error).splitlines()[0]
+    sound = [i for i in range(len(active)) if i not in errors]
+    counts: dict[int, int] = {}
     try:
-        counts = dict(zip([r.name for r in sound], _counts(df, sound))) if sound else {}
+        counts = dict(zip(sound, _counts(df, [active[i] for i in sound]))) if sound else {}
     except PySparkException:
-        for rule in sound:
+        for i in sound:
             try:
-                counts[rule.name] = _counts(df, [rule])[0]
+                counts[i] = _counts(df, [active[i]])[0]
             except PySparkException as error:
-                errors[rule.name] = str(error).splitlines()[0]
+                errors[i] = str(error).splitlines()[0]
     rows = []
-    for r in active:
-        n = counts.get(r.name, 0)
-        status = "ERROR" if r.name in errors else "VIOLATION" if n else "PASSED"
-        rows.append((r.name, r.table, r.condition, r.severity, r.alert_message, status, n, errors.get(r.name)))
+    for i, r in enumerate(active):
+        n = counts.get(i, 0)
+        status = "ERROR" if i in errors else "VIOLATION" if n else "PASSED"
+        rows.append((r.name, r.table, r.condition, r.severity, r.alert_message, status, n, errors.get(i)))
     return small_frame(df.sparkSession, rows, _RESULT)
 
 

@@ -13,14 +13,14 @@ class UnsafeSql(ValueError):
 
 # Accepted first words, refused words, refused patterns, row limits.
 READ_STARTS = ("SELECT", "WITH", "EXPLAIN")
-WRITE_WORDS = frozenset(
-    """INSERT UPDATE DELETE DROP ALTER TRUNCATE CREATE REPLACE GRANT REVOKE EXEC EXECUTE CALL MERGE
-    UPSERT ATTACH DETACH SHUTDOWN KILL LOCK RENAME""".split()
-)
-QUERY_WORDS = frozenset(
-    """SELECT FROM WHERE UNION JOIN HAVING GROUP ORDER LIMIT CASE WHEN THEN ELSE END TABLE INTO VALUES
-    WITH ALL DISTINCT ON OR AND NOT NULL IS IN EXISTS BETWEEN LIKE AS""".split()
-)
+WRITE_WORDS = frozenset((
+    "INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "TRUNCATE", "CREATE", "REPLACE", "GRANT", "REVOKE", "EXEC", "EXECUTE", "CALL",
+    "MERGE", "UPSERT", "ATTACH", "DETACH", "SHUTDOWN", "KILL", "LOCK", "RENAME",
+))
+QUERY_WORDS = frozenset((
+    "SELECT", "FROM", "WHERE", "UNION", "JOIN", "HAVING", "GROUP", "ORDER", "LIMIT", "CASE", "WHEN", "THEN", "ELSE", "END", "TABLE",
+    "INTO", "VALUES", "WITH", "ALL", "DISTINCT", "ON", "OR", "AND", "NOT", "NULL", "IS", "IN", "EXISTS", "BETWEEN", "LIKE", "AS",
+))
 REFUSED_PATTERNS = (
     r"\bINTO\s+OUTFILE\b",
     r"\bLOAD_FILE\b",
@@ -33,7 +33,13 @@ AGGREGATES = ("SUM", "AVG", "COUNT", "MIN", "MAX")
 DEFAULT_LIMIT = 1_000
 MAX_ROWS = 50_000
 
-_COMMENT = re.compile(r"--.*?$|/\*.*?\*/", re.MULTILINE | re.DOTALL)
+#: Spark's own ways out of a query: calls of Java methods, and files read by their path
+SIDE_DOORS = frozenset(("REFLECT", "JAVA_METHOD", "TRY_REFLECT"))
+_PATH_READ = re.compile(r"\b\w+\s*\.\s*`")
+
+_PARTS = re.compile(
+    r"""(?P<text>'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*")|(?P<name>`(?:[^`]|``)*`)|(?P<comment>--[^\n]*|/\*.*?\*/)|(?P<open>['"`]|/\*)|(?P<code>.)""",
+    re.DOTALL)
 _WORD = re.compile(r"[A-Za-z_]\w*")
 _FORMULA = re.compile(r"[\w\s+\-*/().]+", re.ASCII)
 _LAST_LIMIT = re.compile(r"\blimit\s+(\d+)(?:\s+offset\s+\d+)?\s*$", re.IGNORECASE)
@@ -44,18 +50,51 @@ def _refuse(condition: bool, reason: str) -> None:
         raise UnsafeSql(reason)
 
 
+def bare_code(sql: str) -> str:
+    """The query with the insides of literals and quoted names and all comments blanked, every character at its place.
+
+    Words inside literals, quoted names and comments mean nothing to Spark, so
+    the checks must not see them, nor take a comment mark inside a literal for one.
+    """
+    out = []
+    for m in _PARTS.finditer(sql):
+        kind, part = m.lastgroup, m.group()
+        _refuse(kind == "open", "a quote or comment is not closed")
+        if kind == "comment":
+            part = " " * len(part)
+        elif kind != "code":
+            part = part[0] + "_" * (len(part) - 2) + part[-1]
+        out.append(part)
+    return "".join(out)
+
+
 def check_read_only(sql: str) -> str:
-    """Return the query without comments and trailing semicolon, or raise."""
-    statement = _COMMENT.sub(" ", sql or "").strip().rstrip(";").rstrip()
-    _refuse(not statement, "empty query")
-    _refuse(";" in statement, "more than one statement")
-    words = [w.upper() for w in _WORD.findall(statement)]
-    _refuse(not words or words[0] not in READ_STARTS, "only SELECT, WITH and EXPLAIN are allowed")
-    forbidden = WRITE_WORDS.intersection(words)
-    _refuse(bool(forbidden), f"refused keyword: {', '.join(sorted(forbidden))}")
-    for pattern in REFUSED_PATTERNS:
-        _refuse(re.search(pattern, statement, re.IGNORECASE) is not None, f"refused pattern: {pattern}")
-    return statement
+    """Return the query as it was given, without a final semicolon, or raise."""
+    given = sql or ""
+    code = bare_code(given)
+    end = len(code.rstrip())
+    if code[:end].endswith(";"):
+        end -= 1
+    code, given = code[:end], given[:end]
+    words = {w.upper() for w in _WORD.findall(code)}
+    first = _WORD.match(code.lstrip(" \t\r\n("))
+    complaints = (
+        (first is None or first.group().upper() not in READ_STARTS, "only SELECT, WITH and EXPLAIN are allowed"),
+        (";" in code, "more than one statement"),
+        (bool(words & WRITE_WORDS), f"refused keyword: {', '.join(sorted(words & WRITE_WORDS))}"),
+        (bool(words & SIDE_DOORS), f"refused function: {', '.join(sorted(words & SIDE_DOORS))}"),
+        (any(_is_path_read(code, given, m) for m in _PATH_READ.finditer(code)), "files cannot be read by their path"),
+        *((re.search(p, code, re.IGNORECASE) is not None, f"refused pattern: {p}") for p in REFUSED_PATTERNS),
+    )
+    for wrong, reason in complaints:
+        _refuse(wrong, reason)
+    return given.strip()
+
+
+def _is_path_read(code: str, given: str, found: re.Match) -> bool:
+    """A quoted name after a dot that looks like a path, as in parquet.`/folder`."""
+    name = re.match(r"`(?:[^`]|``)*`", given[found.end() - 1 :])
+    return name is None or any(c in name.group() for c in "/:\\*")
 
 
 def check_condition(condition: str) -> str:
@@ -99,13 +138,28 @@ def zero_safe(formula: str) -> str:
 
 
 def run_read_only(
-    spark: SparkSession, sql: str, default_limit: int = DEFAULT_LIMIT, max_rows: int = MAX_ROWS
+    spark: SparkSession, sql: str, default_limit: int | None = None, max_rows: int | None = None
 ) -> DataFrame:
-    """Run a guarded query; its own final LIMIT is clamped, a missing one is added."""
+    """Run a guarded query as it was written.
+
+    ``default_limit`` cuts a query without a final LIMIT, ``max_rows`` any query;
+    without them all rows come back. ``is_cut`` tells whether rows were left out.
+    """
+    result, rows = _planned(spark, sql, default_limit, max_rows)
+    return result if rows is None else result.limit(rows)
+
+
+def is_cut(spark: SparkSession, sql: str, default_limit: int | None = None, max_rows: int | None = None) -> bool:
+    """True if ``run_read_only`` with these limits leaves out rows that the query has."""
+    result, rows = _planned(spark, sql, default_limit, max_rows)
+    return rows is not None and result.limit(rows + 1).count() > rows
+
+
+def _planned(spark: SparkSession, sql: str, default_limit: int | None, max_rows: int | None) -> tuple[DataFrame, int | None]:
     statement = check_read_only(sql)
-    own = _LAST_LIMIT.search(statement)
-    rows = min(int(own.group(1)), max_rows) if own else min(default_limit, max_rows)
-    result = spark.sql(statement)
-    if statement.split(None, 1)[0].upper() == "EXPLAIN":
-        return result
-    return result.limit(rows)
+    code = bare_code(statement).strip()
+    own = _LAST_LIMIT.search(code)
+    limits = [x for x in ((max_rows,) if own else (default_limit, max_rows)) if x is not None]
+    if code.split(None, 1)[0].upper() == "EXPLAIN" or not limits:
+        return spark.sql(statement), None
+    return spark.sql(statement), min(limits)

@@ -23,8 +23,6 @@ SECTIONS = (EXECUTIVE, KPIS, TRENDS, ANOMALIES, QUALITY, RULES, ROOT_CAUSE, "Det
 DATE_NAMES = ("date", "time")
 METRIC_NAMES = ("amount", "total", "price", "revenue", "cost", "val")
 TRANSACTION_TABLES = ("order", "sale", "transact", "production", "expense")
-SCANNED_TABLES = 3
-REPORTED_ANOMALIES = 25
 FACTORS_PER_INSIGHT = 2
 FINDINGS = ("Category", "Item", "Metric_Value", "Unit", "Status", "Details")
 
@@ -73,22 +71,14 @@ class Report:
         return {**named, "observations": observations(self), "findings": findings(self)}
 
 
-def report_anomalies(catalog: Catalog) -> DataFrame | None:
-    """Strongest anomalies of the first numeric column of the first tables, in table order."""
-    parts = []
-    for i, (name, t) in enumerate(list(catalog.items())[:SCANNED_TABLES]):
-        numeric = C.numeric_columns(t.df)
-        if numeric and t.primary_keys:
-            found = anomaly.top_anomalies(anomaly.scan_table(t.df, numeric[0], t.primary_keys))
-            parts.append(found.select(F.lit(i).alias("table_order"), F.lit(name).alias("table_name"), *anomaly.ANOMALY))
-    joined = _union(parts)
-    if joined is None:
-        return None
-    return joined.orderBy("table_order", F.desc("score"), "method", "row_id").limit(REPORTED_ANOMALIES).drop("table_order")
+def report_anomalies(catalog: Catalog, method: str = "ALL") -> DataFrame | None:
+    """All anomalies of the first metric of every table."""
+    return anomaly.sweep({n: t.df for n, t in catalog.items()}, {n: t.primary_keys for n, t in catalog.items()}, method)
 
 
 def build_report(
-    catalog: Catalog, kpis: Sequence[Kpi] = (), rule_list: Sequence[Rule] = (), sections: Sequence[str] = SECTIONS
+    catalog: Catalog, kpis: Sequence[Kpi] = (), rule_list: Sequence[Rule] = (), sections: Sequence[str] = SECTIONS,
+    method: str = "ALL",
 ) -> Report:
     """Run the operators the chosen sections need. A failing insight is skipped and named."""
     wanted = set(sections)
@@ -102,7 +92,7 @@ def build_report(
                 trend.kpi_trend(kpi.monthly_series(tables[k.table], k.formula, k.date_column), k.name, k.unit) for k in dated
             ]).filter("data_points >= 2")
     if ANOMALIES in wanted:
-        report.anomalies = report_anomalies(catalog)
+        report.anomalies = report_anomalies(catalog, method)
     if wanted & {QUALITY, EXECUTIVE}:
         keys = {n: t.primary_keys for n, t in catalog.items()}
         report.quality_checks, report.quality_tables, report.quality = quality.evaluate_database(tables, keys)
@@ -135,8 +125,8 @@ def observations(report: Report) -> DataFrame:
         growth = F.col("growth_rate_mom_pct")
         rows.append(line(
             report.kpis.filter(growth.isNotNull()), 1, F.col("name"),
-            F.concat("name", F.when(growth > 0, F.lit(" increased ")).otherwise(" decreased "), F.abs(growth).cast("string"),
-                     F.lit("% compared with the previous period."))))
+            F.concat("name", F.lit(": "), F.when(growth > 0, F.lit("+")).otherwise(""), growth.cast("string"),
+                     F.lit(" % on the month before"))))
     if report.factors is not None:
         # a few drivers per insight at most
         place = Window.partitionBy("table_name").orderBy("dimension_order")

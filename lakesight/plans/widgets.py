@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesight.functions.columns import named
-from lakesight.plans.guard import MAX_ROWS, run_read_only
+from lakesight.plans.guard import run_read_only
 
-TABLE_ROWS = 100
-WIDGET_ROWS = 5_000
 KINDS = ("kpi_card", "bar_chart", "line_chart", "donut_chart", "table")
 
 
@@ -39,20 +37,16 @@ def labelled_values(df: DataFrame, label_column: str | None = None, value_column
     return df.select(named(label).cast("string").alias("label"), F.coalesce(named(value), F.lit(0)).alias("value"))
 
 
-def table_rows(df: DataFrame) -> DataFrame:
-    return df.limit(TABLE_ROWS)
-
-
-def widget_data(spark: SparkSession, widget: Widget) -> DataFrame:
-    """Run a widget's query and shape it for its kind."""
+def widget_data(spark: SparkSession, widget: Widget, max_rows: int | None = None) -> DataFrame:
+    """Run a widget's query and shape it for its kind; all rows unless the caller asks for fewer."""
     if widget.kind not in KINDS:
         raise ValueError(f"kind must be one of {', '.join(KINDS)}")
-    df = run_read_only(spark, widget.sql, default_limit=WIDGET_ROWS, max_rows=min(WIDGET_ROWS, MAX_ROWS))
+    df = run_read_only(spark, widget.sql, max_rows=max_rows)
     c = widget.config
     if widget.kind == "kpi_card":
         return kpi_card(df, c.get("value_column"), c.get("prefix", ""), c.get("suffix", ""))
     if widget.kind == "donut_chart":
         return labelled_values(df, c.get("label_column"), c.get("value_column"))
     if widget.kind == "table":
-        return table_rows(df)
+        return df
     return labelled_values(df, c.get("x_column"), c.get("y_column"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -28,14 +27,9 @@ def build_session(app: str = "lakesight", master: str | None = None, **settings:
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder name under the shared folder the cluster names in spark.checkpoint.dir.
 
-    Only a local master may fall back to a temporary folder of the machine.
+    Where that is unset, the folder lies below the warehouse, which every executor reaches too.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="lakesight-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{base.rstrip('/')}/lakesight/{uuid.uuid4().hex}"
 
 

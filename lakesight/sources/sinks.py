@@ -45,19 +45,19 @@ def append_schema_snapshot(catalog: Catalog, database: str, path: str) -> int:
 def save_baseline(df: DataFrame, database: str, table: str, path: str) -> DataFrame:
     """Store a table's statistics, unique per (database, table, column), and its value counts.
 
-    Statistics of other tables and columns are kept. The old rows are read from
-    a written copy, because the folder they came from is replaced.
+    Each table has a folder of its own, so other tables' statistics are never
+    touched. Columns stored before are kept; they are read from a written copy,
+    because their folder is replaced.
     """
     fresh = baseline_statistics(df, database, table)
-    stored = read_history(df.sparkSession, f"{path}/statistics")
-    merged = materialise(upsert_baseline(stored, fresh))
-    merged.coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+    own = f"{path}/statistics/store={database}.{table}"
+    merged = materialise(upsert_baseline(read_history(df.sparkSession, own), fresh))
+    merged.coalesce(1).write.mode("overwrite").parquet(own)
     value_counts(df).write.mode("overwrite").parquet(f"{path}/values/{database}/{table}")
     return merged
 
 
 def load_baseline(spark: SparkSession, database: str, table: str, path: str) -> tuple[DataFrame, DataFrame]:
     """(statistics, value counts) of one table's stored baseline."""
-    stats = spark.read.parquet(f"{path}/statistics").filter(
-        (F.col("database_name") == database) & (F.col("table_name") == table))
+    stats = spark.read.parquet(f"{path}/statistics/store={database}.{table}")
     return stats, spark.read.parquet(f"{path}/values/{database}/{table}")

@@ -17,15 +17,15 @@ from lakesight.session import small_frame
 from lakesight.sources import sinks
 
 
-def nightly_scan(databases: dict[str, Catalog]) -> DataFrame:
-    """Quality score and anomaly count per database; a failing database is listed with its error."""
+def nightly_scan(databases: dict[str, Catalog], method: str = "ALL") -> DataFrame:
+    """Quality score and anomaly count of all tables per database; a failing database is listed with its error."""
     result = None
     for name, catalog in databases.items():
         try:
             tables = {n: t.df for n, t in catalog.items()}
             keys = {n: t.primary_keys for n, t in catalog.items()}
             score = quality.evaluate_database(tables, keys)[2]
-            found = anomaly.sweep({n: df for n, df in tables.items() if keys[n]}, keys)
+            found = anomaly.sweep(tables, keys, method)
             counts = anomaly.severity_summary(found).first() if found is not None else None
             part = score.select(
                 F.lit(name).alias("database_name"),
@@ -43,12 +43,13 @@ def nightly_scan(databases: dict[str, Catalog]) -> DataFrame:
 
 
 def monthly_report(
-    databases: dict[str, Catalog], kpis: dict[str, Sequence[Kpi]], rules: dict[str, Sequence[Rule]], folder: str
+    databases: dict[str, Catalog], kpis: dict[str, Sequence[Kpi]], rules: dict[str, Sequence[Rule]], folder: str,
+    method: str = "ALL",
 ) -> list[str]:
     """Write every database's report: findings as CSV, each section as JSON. Returns the written paths."""
     written = []
     for name, catalog in databases.items():
-        report = build_report(catalog, kpis.get(name, ()), rules.get(name, ()))
+        report = build_report(catalog, kpis.get(name, ()), rules.get(name, ()), method=method)
         for section, df in report.sections().items():
             path = f"{folder.rstrip('/')}/{name}/{section}"
             if section == "findings":

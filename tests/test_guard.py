@@ -1,11 +1,12 @@
 import pytest
 
-from lakesight.plans.guard import UnsafeSql, check_condition, check_formula, check_read_only, run_read_only, zero_safe
+from lakesight.plans.guard import UnsafeSql, check_condition, check_formula, check_read_only, is_cut, run_read_only, zero_safe
 
 
 @pytest.mark.parametrize("sql", [
     "SELECT * FROM t", "  select a from t ;", "WITH x AS (SELECT 1) SELECT * FROM x", "EXPLAIN SELECT 1",
     "SELECT region, sum(a) FROM t GROUP BY region ORDER BY 2", "SELECT 1 -- a comment", "/* first */ SELECT 2",
+    "SELECT '/* x */' AS c, 'a--b' AS d", "SELECT 1 WHERE 'call' = 'x'", "SELECT `drop` FROM t", "SELECT 'it''s; ok'", 'SELECT "delete"', "SELECT a.`b c` FROM t a",
 ])
 def test_reads_are_accepted(sql):
     check_read_only(sql)
@@ -16,6 +17,8 @@ def test_reads_are_accepted(sql):
     "TRUNCATE TABLE t", "ALTER TABLE t ADD c int", "CREATE TABLE t (a int)", "GRANT ALL ON t TO u", "EXEC p", "COPY t TO 'f'",
     "ATTACH 'f'", "SELECT 1; SELECT 2", "SELECT 1; DROP TABLE t", "SELECT 1 /* x */; DELETE FROM t",
     "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "SELECT pg_sleep(9)", "SELECT 1 INTO OUTFILE 'f'",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT java_method('a', 'b')", "SELECT try_reflect('a', 'b')",
+    "SELECT * FROM parquet.`/etc/x`", "SELECT * FROM text . `file:/x`", "SELECT 'open", "SELECT 1 /* open",
 ])
 def test_writes_are_refused(sql):
     with pytest.raises(UnsafeSql):
@@ -43,7 +46,7 @@ def test_conditions(condition):
     assert check_condition(condition) == condition
 
 
-@pytest.mark.parametrize("condition", ["", "a > 1; DROP TABLE t", "a > 1 -- c", "a /* c */ > 1", "a IN (DELETE FROM t)"])
+@pytest.mark.parametrize("condition", ["", "a > 1; DROP TABLE t", "a > 1 -- c", "a /* c */ > 1", "a IN (DELETE FROM t)", "reflect('a', 'b') = 'c'"])
 def test_bad_conditions(condition):
     with pytest.raises(UnsafeSql):
         check_condition(condition)
@@ -57,8 +60,14 @@ def test_division_by_zero_gives_null(spark):
 
 def test_limits(spark):
     spark.range(5000).createOrReplaceTempView("numbers")
-    assert run_read_only(spark, "SELECT id FROM numbers").count() == 1000
-    assert run_read_only(spark, "SELECT id FROM numbers LIMIT 3000;").count() == 3000
+    assert run_read_only(spark, "SELECT id FROM numbers").count() == 5000
+    assert run_read_only(spark, "SELECT id FROM numbers", default_limit=1000).count() == 1000
+    assert run_read_only(spark, "SELECT id FROM numbers LIMIT 3000;", default_limit=1000).count() == 3000
+    assert is_cut(spark, "SELECT id FROM numbers", default_limit=1000) and not is_cut(spark, "SELECT id FROM numbers", max_rows=5000)
     assert run_read_only(spark, "SELECT id FROM numbers LIMIT 3000", max_rows=2000).count() == 2000
     assert run_read_only(spark, "SELECT id FROM numbers LIMIT 7 OFFSET 4998").count() == 2
     assert "Plan" in run_read_only(spark, "EXPLAIN SELECT id FROM numbers").first()[0]
+
+
+def test_texts_run_as_they_are(spark):
+    assert run_read_only(spark, "SELECT '/* x */' AS c, 'a--b' AS d /* gone */ ; ").first() == ("/* x */", "a--b")
