@@ -32,6 +32,8 @@ def damaged(spark, tmp_path_factory, odd_rows):
 
     folder = str(tmp_path_factory.mktemp("damaged"))
     line = "a line that many of the documents of one host carry"
+    # SQL lists of words make very long texts slow there; test_operators.py has those
+    odd_rows = [(r[0], r[1][:20_000] if r[1] else r[1], *r[2:]) for r in odd_rows]
     extra = [(r[0] + 10_000 if r[0] else None, r[1], "en", r[2] if len(r) > 2 else "odd", None) for r in odd_rows]
     extra += [(20_000 + i, f"{line}\nnumber {i} of them\n{line}", None, None if i % 2 else "odd", 1) for i in range(60)]
     docs = spark.createDataFrame(extra, DOCUMENTS)
