@@ -9,6 +9,7 @@ from lakesight.operators import data_drift as D
 from lakesight.operators import schema_drift as S
 from lakesight.session import materialise, scratch_folder
 from lakesight.sources.sinks import append_schema_snapshot, read_history
+from lakesight.streaming import jobs
 
 LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -101,9 +102,9 @@ def schema_report(spark, folder):
     """Two stored snapshots of the tables, compared with the changed catalog."""
     store = scratch_folder(spark)
     before = whole(spark, folder)
-    append_schema_snapshot(before, "sales", store)
-    number = append_schema_snapshot(before, "sales", store)
-    current = materialise(S.snapshot(changed(spark, folder), "sales", number + 1))
+    append_schema_snapshot(before, "sales", store, observed=True)
+    number = append_schema_snapshot(before, "sales", store, observed=True)
+    current = materialise(S.snapshot(changed(spark, folder), "sales", number + 1, observed=True))
     return S.detect_schema_drift(current, read_history(spark, store))
 
 
@@ -126,16 +127,18 @@ def _schema_sql():
       LEFT JOIN ({_changed_hash_sql()}) h USING (database_name, table_name)"""
 
 
-def _one_hash(t, columns, types, source):
+def _one_hash(t, columns, types, source, declared=False):
+    # columns of Parquet files are all declared nullable
+    nullable = lambda c: "CASE WHEN count(*) >= 0 THEN 'True' END" if declared else f"CASE WHEN count(*) > count({c}) THEN 'True' ELSE 'False' END"
     texts = " || '|' || ".join(
-        f"'{c}:{types.get(c, 'string')}:' || CASE WHEN count(*) > count({c}) THEN 'True' ELSE 'False' END || ':{c in KEYS.get(t, KEYS['events'])}'"
+        f"'{c}:{types.get(c, 'string')}:' || {nullable(c)} || ':{c in KEYS.get(t, KEYS['events'])}'"
         for c in sorted(columns))
     return f"""SELECT 'sales' AS database_name, 1 AS taken, '{t}' AS table_name, {len(columns)} AS column_count,
         sha256({texts}) AS schema_hash FROM {source}"""
 
 
-def _hash_sql():
-    return "\nUNION ALL\n".join(_one_hash(t, c, TYPES, t) for t, c in COLUMNS.items())
+def _hash_sql(declared=False):
+    return "\nUNION ALL\n".join(_one_hash(t, c, TYPES, t, declared) for t, c in COLUMNS.items())
 
 
 def _changed_hash_sql():
@@ -157,6 +160,19 @@ def drift_totals(spark, folder):
     return D.overall_summary(lines.unionByName(D.table_summary(D.detect_data_drift(orders), "orders")))
 
 
+def stored_snapshots(spark, folder):
+    """The drift job run twice on two tables; what it has stored, per table."""
+    store = scratch_folder(spark)
+    tables = {n: t for n, t in whole(spark, folder).items() if n in ("orders", "supplier")}
+    for _ in range(2):
+        jobs.drift_snapshot({"sales": tables}, store)
+    columns = read_history(spark, f"{store}/schemas").groupBy("table_name").agg(
+        F.countDistinct("taken").alias("snapshots"), F.countDistinct("column_name").alias("n_columns"))
+    baselines = read_history(spark, f"{store}/baselines/statistics").groupBy("table_name").agg(
+        F.count("*").alias("baselines"), F.round(F.sum("mean_val"), 4).alias("sum_of_means"))
+    return columns.join(baselines, "table_name")
+
+
 DRIFT = drift_sql(OLD, NEW, LINE_NUMBERS)
 
 QUERIES = {
@@ -165,7 +181,9 @@ QUERIES = {
     "drift_table_summary": lambda s, d: D.table_summary(D.detect_data_drift(*halves(s, d)), "lineitem"),
     "drift_all_tables": drift_totals,
     "drift_baseline_upsert": baseline_rows,
-    "schema_snapshot_hashes": lambda s, d: S.schema_hashes(S.snapshot(whole(s, d), "sales", 1)),
+    "schema_snapshot_hashes": lambda s, d: S.schema_hashes(S.snapshot(whole(s, d), "sales", 1, observed=True)),
+    "schema_snapshot_declared": lambda s, d: S.schema_hashes(S.snapshot(whole(s, d), "sales", 1)),
+    "job_drift_snapshot": stored_snapshots,
     "schema_drift_tables": schema_report,
     "schema_drift_overall": lambda s, d: S.overall_status(schema_report(s, d)),
 }
@@ -181,6 +199,11 @@ ORACLE = {
     "drift_baseline_upsert": f"""({_baseline_sql(OLD, [c for c in LINE_NUMBERS if c not in ('l_tax', 'l_quantity')])})
         UNION ALL ({_baseline_sql(NEW, ['l_tax', 'l_quantity'])})""",
     "schema_snapshot_hashes": _hash_sql(),
+    "schema_snapshot_declared": _hash_sql(declared=True),
+    "job_drift_snapshot": f"""SELECT 'orders' AS table_name, 2 AS snapshots, (SELECT count(*) FROM (DESCRIBE orders)) AS n_columns, 3 AS baselines,
+        {rounded('avg(o_orderkey) + avg(o_custkey) + avg(o_totalprice)', 4)} AS sum_of_means FROM orders
+      UNION ALL SELECT 'supplier', 2, (SELECT count(*) FROM (DESCRIBE supplier)), 3,
+        {rounded('avg(s_suppkey) + avg(s_nationkey) + avg(s_acctbal)', 4)} FROM supplier""",
     "schema_drift_tables": _schema_sql(),
     "schema_drift_overall": f"""SELECT count(*) AS total_tables, count(*) FILTER (WHERE drift_detected) AS drift_detected_count,
         'CRITICAL_DRIFT' AS overall_status FROM ({_schema_sql()})""",

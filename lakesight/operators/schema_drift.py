@@ -12,10 +12,11 @@ STABLE, DRIFTED, INITIAL, DROPPED = "STABLE", "DRIFT_DETECTED", "INITIAL_BASELIN
 SEVERITY_OF = {"removed": "CRITICAL", "modified": "HIGH", "added": "MEDIUM"}
 
 
-def snapshot(catalog: Catalog, database: str, taken: int, observed: bool = True) -> DataFrame:
+def snapshot(catalog: Catalog, database: str, taken: int, observed: bool = False) -> DataFrame:
     """One row per column: (database_name, taken, table_name, column_name, type, nullable, primary_key).
 
-    ``taken`` numbers the snapshots. ``observed`` reads nullability from the data.
+    ``taken`` numbers the snapshots. Nullability is the declared one and no data
+    is read; ``observed`` finds out which columns hold a NULL instead.
     """
     columns = observed_columns(catalog) if observed else column_metadata(catalog)
     return columns.select(

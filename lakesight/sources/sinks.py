@@ -33,12 +33,12 @@ def read_history(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def append_schema_snapshot(catalog: Catalog, database: str, path: str) -> int:
+def append_schema_snapshot(catalog: Catalog, database: str, path: str, observed: bool = False) -> int:
     """Append the catalog's columns as the next numbered snapshot; returns its number."""
     spark = next(iter(catalog.values())).df.sparkSession
     history = read_history(spark, path)
     last = 0 if history is None else history.filter(F.col("database_name") == database).agg(F.max("taken")).first()[0] or 0
-    snapshot(catalog, database, last + 1).coalesce(1).write.mode("append").parquet(path)
+    snapshot(catalog, database, last + 1, observed).coalesce(1).write.mode("append").parquet(path)
     return last + 1
 
 
