@@ -2,10 +2,12 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one task, which
 is fine up to a checked number of values. Beyond it, quantiles are found exactly by
-narrowing: one scan counts rows in equal-width bins between the smallest and
-largest value, the bin that holds a wanted rank is split again by the next scan,
-and so on until a bin holds one value or few enough rows to rank them outright.
-Every scan shuffles a bounded number of bins per column, never the values.
+narrowing: one scan counts rows in bins between the smallest and largest value,
+the bin that holds a wanted rank is split again by the next scan, and so on
+until a bin holds one value or few enough rows to rank them outright. Bins have
+equal widths, or equal ratios while a range spans several magnitudes, so that
+two scans settle the magnitude and six more all digits of a double, whatever the
+data. Every scan shuffles a bounded number of bins per column, never the values.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ BINS = 1_024
 RANKED_ROWS = 100_000
 SPREAD_BELOW = 5_000_000
 
+WIDE = 20  # a range over more than so many powers of two is cut by ratios
 _LARGEST = sys.float_info.max
+_SMALLEST = 1075  # more than the powers of two below 1, so that magnitudes keep the values' order through zero
 
 
 @dataclass
@@ -115,7 +119,14 @@ def _add_exact_quantiles(df, values, summaries: dict[str, Summary], probabilitie
             below, above = _ranks(p, s.count)
             low, high = found[name, below], found[name, above]
             share = (s.count - 1) * p - below
-            s.quantiles[p] = low + (high - low) * share if share else low
+            s.quantiles[p] = between(low, high, share)
+
+
+def between(low: float, high: float, share: float) -> float:
+    """Linear interpolation; next to an infinite value it is that value, as in Spark's ``percentile``."""
+    if low == high or not share:
+        return low
+    return low * (1 - share) + high * share if math.inf in (abs(low), abs(high)) else low + (high - low) * share
 
 
 def _order_statistics(df: DataFrame, values: dict[str, Column], brackets: set[_Bracket], rows: int) -> dict:
@@ -165,16 +176,24 @@ def _rows_inside(df, values: dict[str, Column], ranges) -> DataFrame:
     return rows.filter((F.col("v") >= _per_slot(lows)) & (F.col("v") <= _per_slot(highs)))
 
 
+def _magnitude(x: float) -> float:
+    return math.copysign(math.log2(abs(x)) + _SMALLEST, x) if x else 0.0
+
+
 def _narrow(df, values, brackets: set[_Bracket]) -> set[_Bracket]:
     """Replace each bracket by the bin of its range that holds its rank."""
     ranges = _ranges(brackets)
     # infinite ends get bins of their own; scaling before subtracting keeps the widest range finite
     lows = [max(lo, -_LARGEST) for _, lo, _ in ranges]
     highs = [min(hi, _LARGEST) for _, _, hi in ranges]
-    widths = [(high / BINS - low / BINS) / BINS for low, high in zip(lows, highs)]
+    wide = [low <= 0 <= high or abs(math.log2(high / low)) > WIDE for low, high in zip(lows, highs)]
+    widths = [(_magnitude(high) - _magnitude(low)) / BINS if w else (high / BINS - low / BINS) / BINS for low, high, w in zip(lows, highs, wide)]
     v, low = F.col("v"), _per_slot(lows)
-    share = F.floor((v / BINS - low / BINS) / _per_slot(widths))
-    index = F.when(v < low, -1).when(v > _per_slot(highs), BINS).otherwise(F.least(share, F.lit(BINS - 1)))
+    size = F.when(v == 0, 0.0).otherwise(F.signum(v) * (F.log2(F.abs(v)) + _SMALLEST))
+    by_ratio = (size - _per_slot([_magnitude(x) for x in lows])) / _per_slot(widths)
+    share = F.floor(F.when(_per_slot(wide), by_ratio).otherwise((v / BINS - low / BINS) / _per_slot(widths)))
+    inside = F.greatest(F.lit(0), F.least(share, F.lit(BINS - 1)))
+    index = F.when(v < low, -1).when(v > _per_slot(highs), BINS).otherwise(inside)
     bins = (
         _rows_inside(df, values, ranges)
         .groupBy("slot", index.cast("int").alias("bin"))

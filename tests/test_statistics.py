@@ -59,10 +59,27 @@ def test_narrowed_quantiles_equal_numpy(spark, monkeypatch, shape):
     for p in PROBS:
         at = (len(x) - 1) * p
         low, high = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
-        want = low if low == high else low + (high - low) * (at - np.floor(at))
+        want = S.between(low, high, at - np.floor(at))
         assert got[p] == pytest.approx(want, rel=1e-12, nan_ok=True), p
 
 
+def test_any_range_takes_few_scans(spark, monkeypatch):
+    monkeypatch.setattr(S, "RANKED_ROWS", 5)
+    scans, narrow = [], S._narrow
+    monkeypatch.setattr(S, "_narrow", lambda *a: scans.append(1) or narrow(*a))
+    rng = np.random.default_rng(11)
+    x = 10.0 ** rng.uniform(-300, 300, 20_000) * rng.choice([-1, 1], 20_000)
+    x[:50], x[50:100], x[100:150] = np.inf, -np.inf, 5e-324
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    got = S.exact_quantiles(df, F.col("x"), PROBS, single_pass_values=100)
+    ordered = np.sort(x)
+    for p in PROBS:
+        at = (len(x) - 1) * p
+        assert got[p] == pytest.approx(S.between(ordered[int(np.floor(at))], ordered[int(np.ceil(at))], at - np.floor(at)), rel=1e-12), p
+    assert len(scans) <= 8
+    assert S.exact_quantiles(df, F.col("x"), (0.0, 1.0)) == {0.0: -np.inf, 1.0: np.inf}
+
+
 def test_positions_and_running_totals(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 3000), "v": rng.permutation(3000), "n": rng.integers(1, 9, 3000)})
