@@ -67,23 +67,20 @@ def find_split(df: DataFrame, metric: str, date: str) -> datetime:
     return datetime(1970, 1, 1) + timedelta(microseconds=math.floor(median))
 
 
-def _split_sums(df: DataFrame, metric: str, date: str, split: datetime, dims: Sequence[str]) -> DataFrame:
-    """Both period sums per combination of dimension values, from one scan and one shuffle.
+def _period_sums(split: datetime) -> list[Column]:
+    """Sums and counts of ``_v`` before and from ``split`` on."""
+    recent = F.col("_ts") >= F.lit(split.isoformat(sep=" ")).cast("timestamp_ntz")
+    return [
+        F.coalesce(F.sum(F.when(~recent, F.col("_v"))), F.lit(0.0)).alias("p1"),
+        F.coalesce(F.sum(F.when(recent, F.col("_v"))), F.lit(0.0)).alias("p2"),
+        F.count_if(~recent).alias("n1"),
+        F.count_if(recent).alias("n2"),
+    ]
 
-    Everything else is rolled up from these rows, which are far fewer than the table's.
-    """
-    boundary = F.lit(split.isoformat(sep=" ")).cast("timestamp_ntz")
-    recent = F.col("_ts") >= boundary
-    return (
-        _clean(df, metric, date)
-        .groupBy(*[C.named(d).alias(f"_d{i}") for i, d in enumerate(dims)])
-        .agg(
-            F.coalesce(F.sum(F.when(~recent, F.col("_v"))), F.lit(0.0)).alias("p1"),
-            F.coalesce(F.sum(F.when(recent, F.col("_v"))), F.lit(0.0)).alias("p2"),
-            F.count_if(~recent).alias("n1"),
-            F.count_if(recent).alias("n2"),
-        )
-    )
+
+def _split_sums(df: DataFrame, metric: str, date: str, split: datetime, dims: Sequence[str]) -> DataFrame:
+    """Both period sums per combination of dimension values, from one scan and one shuffle."""
+    return _clean(df, metric, date).groupBy(*[C.named(d).alias(f"_d{i}") for i, d in enumerate(dims)]).agg(*_period_sums(split))
 
 
 def measure_change(df: DataFrame, metric: str, date: str, split: datetime | None = None) -> Change:
@@ -145,16 +142,13 @@ def breakdown(
     """
     dims = list(dimensions or find_dimensions(df, metric, date))
     change = change or measure_change(df, metric, date, split)
-    sums = _split_sums(df, metric, date, change.split, dims)
-    per_value = [
-        F.struct(F.lit(d).alias("dimension"), F.col(f"_d{i}").cast("string").alias("dimension_value"))
-        for i, d in enumerate(dims)
-    ]
+    # stacked before they are summed: a group per value of each dimension, never per combination
+    per_value = [F.struct(F.lit(d).alias("dimension"), C.named(d).cast("string").alias("dimension_value")) for d in dims]
     values = (
-        sums.select("p1", "p2", F.inline(F.array(*per_value)))
+        _clean(df, metric, date).select("_ts", "_v", F.inline(F.array(*per_value)))
         .filter(F.col("dimension_value").isNotNull())
         .groupBy("dimension", "dimension_value")
-        .agg(F.sum("p1").alias("p1"), F.sum("p2").alias("p2"))
+        .agg(*_period_sums(change.split))
     )
     c = _branch_columns(change.delta)
     along = F.col("delta") if change.delta < 0 else -F.col("delta")
