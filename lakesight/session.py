@@ -24,13 +24,23 @@ def build_session(app: str = "lakesight", master: str | None = None, **settings:
     return builder.getOrCreate()
 
 
+def _scratch_base(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    return f"{base.rstrip('/')}/lakesight/{spark.sparkContext.applicationId}"
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder name under the shared folder the cluster names in spark.checkpoint.dir.
 
     Where that is unset, the folder lies below the warehouse, which every executor reaches too.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
-    return f"{base.rstrip('/')}/lakesight/{uuid.uuid4().hex}"
+    return f"{_scratch_base(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch copies of this application; call it when no result that reads them is needed any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_scratch_base(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from lakesight import session
 from lakesight.operators import rules as R
 from lakesight.operators.catalog import TableInfo
 from lakesight.operators.kpi import Kpi
@@ -88,3 +89,17 @@ def test_jdbc_options_split_the_read():
     got = database.jdbc_options("jdbc:postgresql://h/db", "t", database.Split("id", "0", "1000", 8))
     assert got["driver"] == "org.postgresql.Driver"
     assert (got["partitionColumn"], got["numPartitions"], got["upperBound"]) == ("id", "8", "1000")
+
+
+def test_scratch_copies_can_be_cleared(spark, tmp_path):
+    import os
+
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        copy = session.materialise(spark.range(5))
+        assert copy.count() == 5 and os.listdir(tmp_path / "lakesight")
+        session.clear_scratch(spark)
+        assert not os.listdir(tmp_path / "lakesight")
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
