@@ -91,15 +91,9 @@ def test_jdbc_options_split_the_read():
     assert (got["partitionColumn"], got["numPartitions"], got["upperBound"]) == ("id", "8", "1000")
 
 
-def test_scratch_copies_can_be_cleared(spark, tmp_path):
-    import os
-
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        copy = session.materialise(spark.range(5))
-        assert copy.count() == 5 and os.listdir(tmp_path / "lakesight")
-        session.clear_scratch(spark)
-        assert not os.listdir(tmp_path / "lakesight")
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_scratch_copies_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_scratch_base", lambda spark: str(tmp_path / "app"))
+    copy = session.materialise(spark.range(5))
+    assert copy.count() == 5 and (tmp_path / "app").exists()
+    session.clear_scratch(spark)
+    assert not (tmp_path / "app").exists()
