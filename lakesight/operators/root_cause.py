@@ -8,8 +8,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakesight.functions.columns import named
 from lakesight.functions.stats import change_percent
-from lakesight.operators.variance import _split_sums, find_split
+from lakesight.operators.variance import clean_rows, find_split, period_sums
 from lakesight.session import materialise
 
 BRANCHES = 3  # fixed value: children kept per node
@@ -36,35 +37,48 @@ def _nodes(level: DataFrame, number: int, dimension: str, dims: Sequence[str]) -
     )
 
 
+def _rest(kept: DataFrame, level: DataFrame, parents: DataFrame, number: int, dimension: str, dims: Sequence[str]) -> DataFrame:
+    """What a parent has besides its kept children, as one row per parent; missing values are part of it."""
+    above = [f"_d{i}" for i in range(number - 1)]
+    signed = lambda df, sign, n: df.select(*above, (F.col("p1") * sign).alias("p1"), (F.col("p2") * sign).alias("p2"), F.lit(n).alias("n"))
+    summed = signed(parents, 1, 0).unionByName(signed(kept, -1, -1)).unionByName(signed(level, 0, 1)).groupBy(*above).agg(
+        F.sum("p1").alias("p1"), F.sum("p2").alias("p2"), F.sum("n").alias("n"))
+    name = F.concat(F.lit("other ("), F.col("n").cast("string"), F.lit(")"))
+    return _nodes(summed.withColumn(f"_d{number - 1}", name), number, dimension, dims)
+
+
 def drill_down(
     df: DataFrame, metric: str, date: str, dimensions: Sequence[str], split: datetime | None = None,
-    branches: int = BRANCHES,
+    branches: int = BRANCHES, rest: bool = False,
 ) -> DataFrame:
     """Flat tree rows (level, dimension, key, path, parent_path, value, delta, percentage_change).
 
-    The table is summed once per full combination of dimension values; each
-    level is rolled up from those sums, kept to children of surviving parents
-    and cut to ``branches`` per parent.
+    Level by level: the rows of surviving parents are summed per child and cut
+    to ``branches`` children per parent, so that no level has more groups than
+    children of survivors. ``rest`` adds a row ``other (n)`` per parent with the
+    sums of its n further values, so that children add up to their parent.
     """
     dims = [d for d in dimensions if d in df.columns]
     split = split or find_split(df, metric, date)
-    # written once, so that the levels read these sums and not the table again
-    sums = materialise(_split_sums(df, metric, date, split, dims))
-    totals = [F.sum("p1").alias("p1"), F.sum("p2").alias("p2")]
-    tree = _nodes(sums.agg(*totals), 0, TOTAL, dims)
-    kept = None
+    totals = period_sums(split)
+    rows = clean_rows(df, metric, date).select("_ts", "_v", *[named(d).alias(f"_d{i}") for i, d in enumerate(dims)])
+    kept = materialise(rows.agg(*totals))
+    tree = _nodes(kept, 0, TOTAL, dims)
     for number in range(1, len(dims) + 1):
         keys = [f"_d{i}" for i in range(number)]
-        level = sums.dropna(subset=keys)
-        if kept is not None:
+        level, parents = rows.dropna(subset=keys), kept
+        if number > 1:
             # at most branches ** (number - 1) surviving parents
-            level = level.join(F.broadcast(kept.select(*keys[:-1])), keys[:-1], "left_semi")
-        level = level.groupBy(*keys).agg(*totals)
+            level = level.join(F.broadcast(parents.select(*keys[:-1])), keys[:-1], "left_semi")
+        level = materialise(level.groupBy(*keys).agg(*totals))
         largest = [F.desc(F.round(F.abs(F.col("p2") - F.col("p1")), 2)), F.col(keys[-1]).cast("string").asc()]
         if number == 1:
             kept = level.orderBy(*largest).limit(branches)
         else:
             place = Window.partitionBy(*keys[:-1]).orderBy(*largest)
             kept = level.withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= branches).drop("_r")
+        kept = materialise(kept)
         tree = tree.unionByName(_nodes(kept, number, dims[number - 1], dims))
+        if rest:
+            tree = tree.unionByName(_rest(kept, level, parents, number, dims[number - 1], dims))
     return tree

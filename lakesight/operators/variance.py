@@ -46,7 +46,7 @@ class Change:
         return self.delta / abs(self.prior) * 100 if self.prior else 0.0
 
 
-def _clean(df: DataFrame, metric: str, date: str) -> DataFrame:
+def clean_rows(df: DataFrame, metric: str, date: str) -> DataFrame:
     """Rows with a readable date and a value, as (_ts, _v, original columns)."""
     value = C.present(df, metric).cast("double")
     return df.withColumn("_ts", C.wall_time(df, date)).withColumn("_v", value).filter(
@@ -56,7 +56,7 @@ def _clean(df: DataFrame, metric: str, date: str) -> DataFrame:
 
 def find_split(df: DataFrame, metric: str, date: str) -> datetime:
     """Thirty days before the last date; the median date when that leaves no earlier rows."""
-    clean = _clean(df, metric, date)
+    clean = clean_rows(df, metric, date)
     facts = clean.agg(F.count("*").alias("n"), F.min("_ts").alias("lo"), F.max("_ts").alias("hi")).first()
     if facts.n < MIN_ROWS:
         raise NotEnoughData("not enough dated rows")
@@ -67,7 +67,7 @@ def find_split(df: DataFrame, metric: str, date: str) -> datetime:
     return datetime(1970, 1, 1) + timedelta(microseconds=math.floor(median))
 
 
-def _period_sums(split: datetime) -> list[Column]:
+def period_sums(split: datetime) -> list[Column]:
     """Sums and counts of ``_v`` before and from ``split`` on."""
     recent = F.col("_ts") >= F.lit(split.isoformat(sep=" ")).cast("timestamp_ntz")
     return [
@@ -78,14 +78,9 @@ def _period_sums(split: datetime) -> list[Column]:
     ]
 
 
-def _split_sums(df: DataFrame, metric: str, date: str, split: datetime, dims: Sequence[str]) -> DataFrame:
-    """Both period sums per combination of dimension values, from one scan and one shuffle."""
-    return _clean(df, metric, date).groupBy(*[C.named(d).alias(f"_d{i}") for i, d in enumerate(dims)]).agg(*_period_sums(split))
-
-
 def measure_change(df: DataFrame, metric: str, date: str, split: datetime | None = None) -> Change:
     split = split or find_split(df, metric, date)
-    total = _split_sums(df, metric, date, split, []).first()
+    total = clean_rows(df, metric, date).agg(*period_sums(split)).first()
     if total is None or not total.n1 or not total.n2:
         raise NotEnoughData("all dated rows lie in one period")
     return Change(split, total.p1, total.p2)
@@ -145,10 +140,10 @@ def breakdown(
     # stacked before they are summed: a group per value of each dimension, never per combination
     per_value = [F.struct(F.lit(d).alias("dimension"), C.named(d).cast("string").alias("dimension_value")) for d in dims]
     values = (
-        _clean(df, metric, date).select("_ts", "_v", F.inline(F.array(*per_value)))
+        clean_rows(df, metric, date).select("_ts", "_v", F.inline(F.array(*per_value)))
         .filter(F.col("dimension_value").isNotNull())
         .groupBy("dimension", "dimension_value")
-        .agg(*_period_sums(change.split))
+        .agg(*period_sums(change.split))
     )
     c = _branch_columns(change.delta)
     along = F.col("delta") if change.delta < 0 else -F.col("delta")

@@ -210,3 +210,13 @@ def test_drift_of_shifted_and_equal_columns(spark):
     ks = np.abs(np.searchsorted(np.sort(a), grid, "right") / 500 - np.searchsorted(np.sort(b), grid, "right") / 400).max()
     assert got["x"].ks_statistic == pytest.approx(ks, abs=1e-4) and got["x"].drift_detected
     assert got["y"].ks_statistic < 0.15
+
+
+def test_children_add_up_to_their_parent(spark, table):
+    from lakesight.operators.root_cause import drill_down
+
+    tree = drill_down(table("lineitem"), "l_extendedprice", "l_shipdate", ["l_linenumber", "l_returnflag", "l_suppkey"], rest=True).collect()
+    for parent in [r for r in tree if r.level < 3 and not str(r.key).startswith("other")]:
+        children = [r for r in tree if r.parent_path == parent.path]
+        assert children and abs(sum(r.value for r in children) - parent.value) < 0.1
+        assert abs(sum(r.delta for r in children) - parent.delta) < 0.1
