@@ -9,6 +9,7 @@ equal neighbours are the candidates, and a candidate is extended: with l words
 to its left and the rest to its right it is one passage of ``LENGTH`` words,
 which counts if it occurs in another document too. The union of these passages
 is exact: every word of every passage of LENGTH words that two documents share.
+Whole copies of a text are found by its digest first and extended once.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesight.llm.common import extended, without
+from lakesight.llm.common import WORD, extended, without
 from lakesight.session import materialise
 
 LENGTH = 50
-STRIDE = 24
+STRIDE = 40
 GRAM = 4
 CORE = LENGTH - STRIDE + 1
 _BASE = 0x9E3779B97F4A7C15  # odd, so that powers can be divided out
@@ -97,41 +98,52 @@ def _gathered(rows: Iterator[tuple], names: list[str], types: list[pa.DataType])
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
-        for doc, text in _documents(batches):
+        for digest, text in _documents(batches):
             rolling = Rolling(word_hashes(text))
             at = np.unique(minimisers(rolling))
             if len(at):
-                yield rolling.hashes(at, CORE).view(np.int64), np.full(len(at), doc), at
+                yield rolling.hashes(at, CORE).view(np.int64), np.full(len(at), digest), at
 
-    return _gathered(rows(), ["core", "doc", "at"], [pa.int64(), pa.int64(), pa.int32()])
+    return _gathered(rows(), ["core", "digest", "at"], [pa.int64(), pa.int64(), pa.int32()])
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All passages around a document's candidate suffixes: the ones whose suffix it is."""
+    """All passages around a text's candidate suffixes: the ones whose suffix it is."""
     def rows():
         for doc, text, candidates in _documents(batches):
             rolling = Rolling(word_hashes(text))
-            of = minimisers(rolling)
-            first = np.flatnonzero(np.isin(of, np.array(candidates)))
-            yield rolling.hashes(first, LENGTH).view(np.int64), rolling.hashes(of[first], CORE).view(np.int64), np.full(len(first), doc), first
+            first = np.flatnonzero(np.isin(minimisers(rolling), np.array(candidates)))
+            yield rolling.hashes(first, LENGTH).view(np.int64), np.full(len(first), doc), first
 
-    return _gathered(rows(), ["passage", "core", "doc", "first"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()])
+    return _gathered(rows(), ["passage", "doc", "first"], [pa.int64(), pa.int64(), pa.int32()])
 
 
-def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, first, keeper): every start of a passage of LENGTH words that other documents hold, and the smallest of them.
+def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(passages: doc, first, keeper), (copies: doc, of, n_words).
 
-    Rows without an id are left out; repeated rows of an id are one document.
+    ``passages`` has every start of a passage of LENGTH words that different
+    texts hold, for the smallest id of each text, with the smallest id of all.
+    ``copies`` has the ids of texts that several documents have. Rows without an
+    id are left out; repeated rows of an id are one document. Passages are
+    compared by 64-bit hashes, and only around suffixes that are shared.
     """
-    named = docs.select(F.col(f"`{id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).where("doc IS NOT NULL")
-    suffixes = materialise(named.mapInArrow(_suffixes, "core long, doc long, at int"))
+    named = docs.select(
+        F.col(f"`{id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("digest")).where("doc IS NOT NULL")
+    suffixes = materialise(named.select("digest", "text").mapInArrow(_suffixes, "core long, digest long, at int"))
     # sums over a suffix's copies are merged before the shuffle, so that a hot passage is a row per task
-    shared = suffixes.groupBy("core").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("core")
-    candidates = suffixes.join(shared, "core").groupBy("doc").agg(F.collect_set("at").alias("at"))
-    passages = materialise(named.join(candidates, "doc").select("doc", "text", "at").mapInArrow(
-        _extended, "passage long, core long, doc long, first int"))
-    twice = passages.groupBy("passage", "core").agg(F.min("doc").alias("keeper"), F.max("doc").alias("high")).where("keeper < high").drop("high")
-    return passages.join(twice, ["passage", "core"]).select("doc", "first", "keeper").distinct()
+    shared = suffixes.groupBy("core").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("core")
+    candidates = suffixes.join(shared, "core").groupBy("digest").agg(F.collect_set("at").alias("at"))
+    texts = named.select("doc", "digest", F.md5("text").alias("md5"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
+    texts = materialise(texts.where(F.col("n_words") >= LENGTH))
+    owners = materialise(texts.groupBy("md5").agg(
+        F.min("doc").alias("of"), F.max("doc").alias("last"), F.min("digest").alias("digest")))
+    copies = texts.join(owners.where("of < last").select("md5", "of"), "md5").select("doc", "of", "n_words").distinct()
+    wanted = candidates.join(owners.select("digest", F.col("of").alias("owner"), F.col("md5").alias("of_text")), "digest").drop("digest")
+    # an id may stand in repeated rows, even with different texts
+    first = named.join(wanted, (F.col("doc") == F.col("owner")) & (F.md5("text") == F.col("of_text"))).select("doc", "text", "at")
+    passages = materialise(first.mapInArrow(_extended, "passage long, doc long, first int"))
+    twice = passages.groupBy("passage").agg(F.min("doc").alias("keeper"), F.max("doc").alias("high")).where("keeper < high").drop("high")
+    return passages.join(twice, "passage").select("doc", "first", "keeper"), copies
 
 
 def _spans(starts):
@@ -159,12 +171,21 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     ``removed`` those that a smaller id holds too, so that the smallest keeps
     them. Documents without a shared passage of 50 words have no row.
     """
-    passages = repeated_passages(docs, id, text).groupBy("doc").agg(
-        F.sort_array(F.collect_list("first")).alias("all"),
-        F.sort_array(F.collect_list(F.when(F.col("keeper") < F.col("doc"), F.col("first")))).alias("later"))
-    return passages.select(
-        F.col("doc").alias(id), _covered(F.col("all")).alias("n_repeated"), _covered(F.col("later")).alias("n_removed"),
-        _spans(F.col("all")).alias("spans"), _spans(F.col("later")).alias("removed"))
+    passages, copies = repeated_passages(docs, id, text)
+    shared = passages.groupBy("doc").agg(
+        F.sort_array(F.collect_set("first")).alias("all"),
+        F.sort_array(F.collect_set(F.when(F.col("keeper") < F.col("doc"), F.col("first")))).alias("later"))
+    # a copied text is repeated as a whole, and all its documents but the smallest lose it
+    joined = shared.join(copies.withColumnRenamed("doc", "copy"), F.col("doc") == F.col("copy"), "full")
+    whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("last")))
+    later = F.coalesce("later", F.array().cast("array<int>"))
+    copied, lost = F.col("copy").isNotNull(), F.col("copy") > F.col("of")
+    return joined.select(
+        F.coalesce("doc", "copy").alias(id),
+        F.when(copied, F.col("n_words")).otherwise(_covered(F.col("all"))).alias("n_repeated"),
+        F.when(lost, F.col("n_words")).otherwise(_covered(later)).alias("n_removed"),
+        F.when(copied, whole).otherwise(_spans(F.col("all"))).alias("spans"),
+        F.when(lost, whole).otherwise(_spans(later)).alias("removed"))
 
 
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
