@@ -29,7 +29,8 @@ from lakesight.session import materialise, small_frame
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
-SHARD_KEYS = 1 << 18
+SHARD_KEYS = 1 << 17
+MIN_SHARDS = 64
 BATCHES = 3
 _SPACE = b" \t\n\x0b\x0c\r"
 REFS, COUNTS, FILTERS = "hi long, lo long, doc_id long", "shard int, hi long, lo long, n long, top long", "shard int, filter binary"
@@ -181,7 +182,7 @@ def dedup(docs: DataFrame, index: LineIndex, id: str = "doc_id", text: str = "te
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
     """All of ``docs`` added to an empty index in ``batches`` steps, then freed of their repeated lines."""
     refs = materialise(references(docs, id, text))
-    shards = max(4, -(-refs.count() // SHARD_KEYS))
+    shards = max(MIN_SHARDS, -(-refs.count() // SHARD_KEYS))
     index = LineIndex.empty(docs.sparkSession, shards)
     for batch in range(batches):
         index = index.add(refs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == batch))
