@@ -26,8 +26,8 @@ from lakesight.llm import varbytes
 from lakesight.llm.common import slices
 
 END = 2
-BLOCK_TOKENS = 1 << 21
-CACHED_WORDS = 1_500_000
+BLOCK_TOKENS = 1 << 20
+CACHED_WORDS = 1_000_000
 _SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: a caret (it marks bare words), any white space but blanks and line ends, white space in a row or at an end, or nothing
 _UNUSUAL = rf"\^|[{_SPACES}][{_SPACES}]|^[{_SPACES}]|[{_SPACES}]$|[\t\r\f\x0b\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]|^$"
@@ -150,7 +150,7 @@ def encoded_blocks(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: st
             return pa.record_batch([pa.array([v], t) for v, t in zip(row, types)], names=names)
 
         types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 5 << 20):
             ids, sizes = encoder.encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(sizes), end)
             doc_ids += batch.column("id").to_pylist()
