@@ -83,45 +83,56 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None,
             yield row
 
 
-def _gathered(rows: Iterator[tuple], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    """Batches of about a bounded number of rows from tuples of (arrays)."""
+def _gathered(rows: Iterator[tuple[np.ndarray, ...]], build) -> Iterator[pa.RecordBatch]:
+    """``build`` of the concatenated arrays of several documents, up to a bounded number of rows."""
     held, size = [], 0
     for row in rows:
         held.append(row)
         size += len(row[0])
         if size >= 1 << 17:
-            yield pa.record_batch([pa.array(np.concatenate(c), t) for c, t in zip(zip(*held), types)], names=names)
+            yield build(*(np.concatenate(c) for c in zip(*held)))
             held, size = [], 0
     if held:
-        yield pa.record_batch([pa.array(np.concatenate(c), t) for c, t in zip(zip(*held), types)], names=names)
+        yield build(*(np.concatenate(c) for c in zip(*held)))
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(core, digest): the different suffixes of each text, however often it repeats them."""
     def rows():
         for digest, text in _documents(batches):
             rolling = Rolling(word_hashes(text))
             at = np.unique(minimisers(rolling))
             if len(at):
-                yield rolling.hashes(at, CORE).view(np.int64), np.full(len(at), digest), at
+                cores = np.unique(rolling.hashes(at, CORE).view(np.int64))
+                yield cores, np.full(len(cores), digest)
 
-    return _gathered(rows(), ["core", "digest", "at"], [pa.int64(), pa.int64(), pa.int32()])
+    return _gathered(rows(), lambda core, digest: pa.record_batch([pa.array(core), pa.array(digest)], names=["core", "digest"]))
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All passages around a text's candidate suffixes: the ones whose suffix it is."""
+    """(passage, doc, first): all passages whose suffix is a candidate, each once per document with all its starts."""
     def rows():
         for doc, text, candidates in _documents(batches):
             rolling = Rolling(word_hashes(text))
-            first = np.flatnonzero(np.isin(minimisers(rolling), np.array(candidates)))
-            yield rolling.hashes(first, LENGTH).view(np.int64), np.full(len(first), doc), first
+            of = minimisers(rolling)
+            first = np.flatnonzero(np.isin(rolling.hashes(of, CORE).view(np.int64), np.array(candidates)))
+            passages = rolling.hashes(first, LENGTH).view(np.int64)
+            by = np.argsort(passages, kind="stable")
+            passages, times = np.unique(passages, return_counts=True)
+            yield passages, np.full(len(passages), doc), times, first[by]
 
-    return _gathered(rows(), ["passage", "doc", "first"], [pa.int64(), pa.int64(), pa.int32()])
+    def build(passages: np.ndarray, docs: np.ndarray, times: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        ends = np.concatenate([[0], np.cumsum(times)]).astype(np.int32)
+        starts = pa.ListArray.from_arrays(pa.array(ends), pa.array(first, pa.int32()))
+        return pa.record_batch([pa.array(passages), pa.array(docs), starts], names=["passage", "doc", "first"])
+
+    return _gathered(rows(), build)
 
 
 def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(passages: doc, first, keeper), (copies: doc, of, n_words).
 
-    ``passages`` has every start of a passage of LENGTH words that different
+    ``passages`` has the starts of every passage of LENGTH words that different
     texts hold, for the smallest id of each text, with the smallest id of all.
     ``copies`` has the ids of texts that several documents have. Rows without an
     id are left out; repeated rows of an id are one document. Passages are
@@ -129,10 +140,10 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     """
     named = docs.select(
         F.col(f"`{id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("digest")).where("doc IS NOT NULL")
-    suffixes = materialise(named.select("digest", "text").mapInArrow(_suffixes, "core long, digest long, at int"))
+    suffixes = materialise(named.select("digest", "text").mapInArrow(_suffixes, "core long, digest long"))
     # sums over a suffix's copies are merged before the shuffle, so that a hot passage is a row per task
     shared = suffixes.groupBy("core").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("core")
-    candidates = suffixes.join(shared, "core").groupBy("digest").agg(F.collect_set("at").alias("at"))
+    candidates = suffixes.join(shared, "core").groupBy("digest").agg(F.collect_set("core").alias("cores"))
     texts = named.select("doc", "digest", F.md5("text").alias("md5"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
     texts = materialise(texts.where(F.col("n_words") >= LENGTH))
     owners = materialise(texts.groupBy("md5").agg(
@@ -140,8 +151,8 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     copies = texts.join(owners.where("of < last").select("md5", "of"), "md5").select("doc", "of", "n_words").distinct()
     wanted = candidates.join(owners.select("digest", F.col("of").alias("owner"), F.col("md5").alias("of_text")), "digest").drop("digest")
     # an id may stand in repeated rows, even with different texts
-    first = named.join(wanted, (F.col("doc") == F.col("owner")) & (F.md5("text") == F.col("of_text"))).select("doc", "text", "at")
-    passages = materialise(first.mapInArrow(_extended, "passage long, doc long, first int"))
+    first = named.join(wanted, (F.col("doc") == F.col("owner")) & (F.md5("text") == F.col("of_text"))).select("doc", "text", "cores")
+    passages = materialise(first.mapInArrow(_extended, "passage long, doc long, first array<int>"))
     twice = passages.groupBy("passage").agg(F.min("doc").alias("keeper"), F.max("doc").alias("high")).where("keeper < high").drop("high")
     return passages.join(twice, "passage").select("doc", "first", "keeper"), copies
 
@@ -173,8 +184,8 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     """
     passages, copies = repeated_passages(docs, id, text)
     shared = passages.groupBy("doc").agg(
-        F.sort_array(F.collect_set("first")).alias("all"),
-        F.sort_array(F.collect_set(F.when(F.col("keeper") < F.col("doc"), F.col("first")))).alias("later"))
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("first")))).alias("all"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("keeper") < F.col("doc"), F.col("first")))))).alias("later"))
     # a copied text is repeated as a whole, and all its documents but the smallest lose it
     joined = shared.join(copies.withColumnRenamed("doc", "copy"), F.col("doc") == F.col("copy"), "full")
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("last")))
