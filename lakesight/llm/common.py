@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -19,6 +21,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def with_package(df: DataFrame) -> DataFrame:
+    """``df``, after telling its session's Python workers where this package lies.
+
+    That is enough where workers see the same folders; on a cluster without an
+    installed copy, ship the package with ``addPyFile``.
+    """
+    environment, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, known)]))
+    return df
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without the columns that a result replaces, whatever their case."""
     taken = {n.lower() for n in names}

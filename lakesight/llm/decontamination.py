@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesight.llm.common import extended, slices, texts, without
+from lakesight.llm.common import extended, slices, texts, with_package, without
 from lakesight.llm.fm_index import FmIndex
 
 WINDOW = 13
@@ -199,7 +199,7 @@ def find_benchmark_passages(
     """
     docs = without(docs, COLUMNS)
     schema = extended(docs, RESULT)
-    found = [docs.mapInArrow(_searcher(p, text, WINDOW, shard_words), schema) for p in _blocks(benchmark, item, item_text, block_bytes)]
+    found = [with_package(docs).mapInArrow(_searcher(p, text, WINDOW, shard_words), schema) for p in _blocks(benchmark, item, item_text, block_bytes)]
     if len(found) == 1:
         united = found[0]
     else:
@@ -251,4 +251,4 @@ def with_passages_removed(found: DataFrame, text: str = "text") -> DataFrame:
             clean = map(without_spans, batch.column(text).to_pylist(), batch.column("spans").to_pylist())
             yield batch.append_column("clean_text", pa.array(list(clean), pa.string()))
 
-    return found.mapInArrow(mapped, extended(found, "clean_text string"))
+    return with_package(found).mapInArrow(mapped, extended(found, "clean_text string"))

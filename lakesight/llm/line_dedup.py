@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesight.llm.common import extended, without
+from lakesight.llm.common import extended, with_package, without
 from lakesight.llm.cuckoo import CuckooFilter
 from lakesight.session import materialise, small_frame
 
@@ -63,7 +63,7 @@ def references(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
             pairs = np.frombuffer(b"".join(keys), dtype=">i8").reshape(-1, 2).astype(np.int64)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(owners, pa.int64())], names=["hi", "lo", "doc_id"])
 
-    return source.mapInArrow(mapped, REFS).distinct()
+    return with_package(source).mapInArrow(mapped, REFS).distinct()
 
 
 def _updated(shard: tuple, delta: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
@@ -108,7 +108,7 @@ class LineIndex:
         """Index with the references of further documents; references that it has already change nothing."""
         refs = materialise(refs.join(self.refs, [*KEY, "doc_id"], "left_anti"))
         delta = refs.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).select(self._shard(), *KEY, "n", "top")
-        asked = materialise(delta.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(
+        asked = materialise(with_package(delta).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(
             _updated, f"{COUNTS}, seen boolean, full boolean, filter binary"))
         new = asked.where("filter IS NULL")
         known = new.where("seen").select("hi", "lo", F.col("n").alias("more"), F.col("top").alias("higher"))
@@ -120,7 +120,7 @@ class LineIndex:
         )
         counts = materialise(counts)
         full = new.where("full").select("shard").distinct()
-        grown = counts.join(full, "shard").groupBy("shard").applyInPandas(_built, "shard int, filter binary")
+        grown = with_package(counts).join(full, "shard").groupBy("shard").applyInPandas(_built, "shard int, filter binary")
         filters = asked.where("filter IS NOT NULL").select("shard", "filter").unionByName(grown)
         return LineIndex(materialise(self.refs.unionByName(refs)), counts, materialise(filters), self.shards)
 
@@ -139,7 +139,7 @@ class LineIndex:
             kept.remove(keys["hi"].to_numpy().view(np.uint64) ^ (keys["lo"].to_numpy().view(np.uint64) << np.uint64(1)))
             return pd.DataFrame({"shard": [int(shard[0])], "filter": [kept.to_bytes()]})
 
-        filters = dropped.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(without_keys, "shard int, filter binary")
+        filters = with_package(dropped).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(without_keys, "shard int, filter binary")
         return LineIndex(refs, counts, materialise(filters), self.shards)
 
     def dropped_keys(self) -> DataFrame:
@@ -176,7 +176,7 @@ def dedup(docs: DataFrame, index: LineIndex, id: str = "doc_id", text: str = "te
             columns = [batch.column(c) for c in given]
             yield pa.record_batch([*columns, pa.array(counted, pa.int64()), pa.array(lost, pa.int64()), pa.array(left, pa.string())], names=[*given, *names])
 
-    return joined.mapInArrow(mapped, schema)
+    return with_package(joined).mapInArrow(mapped, schema)
 
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:

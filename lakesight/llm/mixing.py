@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesight.llm.common import WORD
+from lakesight.llm.common import WORD, with_package
 from lakesight.session import materialise
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -109,7 +109,7 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
                 rank = rank_in_schedule(np.full(len(m), low), np.full(len(m), high), slot, bits)
                 yield pd.DataFrame({"no": no, "rank": rank, "slot": slot})
 
-    return pieces.repartition("no", "at").mapInPandas(mapped, "no long, rank long, slot long")
+    return with_package(pieces).repartition("no", "at").mapInPandas(mapped, "no long, rank long, slot long")
 
 
 def _streams(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:

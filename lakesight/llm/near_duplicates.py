@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesight.llm import golay
-from lakesight.llm.common import extended, texts, without
+from lakesight.llm.common import extended, texts, with_package, without
 from lakesight.llm.components import connected_components
 from lakesight.session import materialise
 
@@ -65,7 +65,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerpr
             prints = np.fromiter(map(fingerprint, texts(batch.column(text))), dtype=np.uint64, count=batch.num_rows)
             yield batch.append_column(name, pa.array(prints.view(np.int64)))
 
-    return docs.mapInArrow(mapped, schema)
+    return with_package(docs).mapInArrow(mapped, schema)
 
 
 def _mixed(family: int, *parts: np.ndarray) -> np.ndarray:
@@ -210,7 +210,7 @@ def _matcher(limit: int | None):
 
 def links(prints: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """(a, b): links that connect all distinct fingerprints within 3 bits of each other."""
-    exploded = prints.mapInArrow(_exploded, "key long, fp long, own boolean")
+    exploded = with_package(prints).mapInArrow(_exploded, "key long, fp long, own boolean")
     met = materialise(exploded.repartition("key").sortWithinPartitions("key").mapInArrow(_matcher(limit), "a long, b long, over boolean"))
     found = met.where("not over").select("a", "b")
     over = met.where("over").select(F.col("a").alias("key"), F.col("b").alias("fp")).distinct()

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesight.llm.common import WORD, extended, without
+from lakesight.llm.common import WORD, extended, with_package, without
 from lakesight.session import materialise
 
 LENGTH = 50
@@ -140,7 +140,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     """
     named = docs.select(
         F.col(f"`{id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("digest")).where("doc IS NOT NULL")
-    suffixes = materialise(named.select("digest", "text").mapInArrow(_suffixes, "core long, digest long"))
+    suffixes = materialise(with_package(named).select("digest", "text").mapInArrow(_suffixes, "core long, digest long"))
     # sums over a suffix's copies are merged before the shuffle, so that a hot passage is a row per task
     shared = suffixes.groupBy("core").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("core")
     candidates = suffixes.join(shared, "core").groupBy("digest").agg(F.collect_set("core").alias("cores"))
@@ -152,7 +152,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     wanted = candidates.join(owners.select("digest", F.col("of").alias("owner"), F.col("md5").alias("of_text")), "digest").drop("digest")
     # an id may stand in repeated rows, even with different texts
     first = named.join(wanted, (F.col("doc") == F.col("owner")) & (F.md5("text") == F.col("of_text"))).select("doc", "text", "cores")
-    passages = materialise(first.mapInArrow(_extended, "passage long, doc long, first array<int>"))
+    passages = materialise(with_package(first).mapInArrow(_extended, "passage long, doc long, first array<int>"))
     twice = passages.groupBy("passage").agg(F.min("doc").alias("keeper"), F.max("doc").alias("high")).where("keeper < high").drop("high")
     return passages.join(twice, "passage").select("doc", "first", "keeper"), copies
 
@@ -218,4 +218,4 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
                 clean.append(content)
             yield pa.record_batch([*(batch.column(c) for c in given), pa.array(clean, pa.string())], names=[*given, "clean_text"])
 
-    return joined.mapInArrow(mapped, extended(docs, "clean_text string"))
+    return with_package(joined).mapInArrow(mapped, extended(docs, "clean_text string"))

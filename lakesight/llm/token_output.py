@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakesight.llm import varbytes
-from lakesight.llm.common import slices
+from lakesight.llm.common import slices, with_package
 
 END = 2
 BLOCK_TOKENS = 1 << 20
@@ -163,7 +163,7 @@ def encoded_blocks(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: st
         if held:
             yield block()
 
-    return ordered.mapInArrow(mapped, BLOCKS)
+    return with_package(ordered).mapInArrow(mapped, BLOCKS)
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, **options) -> None:
@@ -212,6 +212,6 @@ def read_documents(spark: SparkSession, folder: str, with_ids: bool = False) ->
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("part", "seq", F.coalesce(inside, F.lit(0)).alias("inside")).join(parts, "part")
     starts = starts.select("part", "seq", (F.col("before") + F.col("inside")).alias("first"))
-    documents = blocks.mapInArrow(mapped, fields).join(starts, ["part", "seq"])
+    documents = with_package(blocks).mapInArrow(mapped, fields).join(starts, ["part", "seq"])
     return documents.select(
         "doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
