@@ -136,16 +136,16 @@ def _streams(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
 
 def mixed_blocks(
     docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS,
-    repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS, seed: int = 7,
+    repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS, seed: int = 7, row: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(documents, pieces).
+    """(documents, pieces). ``row`` names a column that numbers the rows; without it they get numbers of their own.
 
     Documents: _row, _id, _size, source_size, target, one row per row of ``docs``.
     Pieces: _row, slot, first, last: the words [first, last) of a document that
     the slot takes; in order of slot and place they are the mix.
     """
     sized = docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.col(f"`{id}`").alias("_id"), F.col(f"`{source}`").alias("_source"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("_row"), F.col(f"`{id}`").alias("_id"), F.col(f"`{source}`").alias("_source"),
         F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_digest"), sizes(docs, text).alias("_size"))
     sized = materialise(sized)
     sources = materialise(targets(sized, weights, repeats))
@@ -182,9 +182,10 @@ def mix_sizes(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` as often as the mix begins them: whole documents, for stages that need them whole."""
-    docs = materialise(docs)
-    _, pieces = mixed_blocks(docs, id=id, text=text, **options)
-    times = pieces.where("first = 0").groupBy("_row").agg(F.count("*").cast("int").alias("_times"))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(times, "_row").withColumn(
+    # the numbers are written with the rows, so that every later scan sees the same ones
+    numbered = materialise(docs.withColumn("_mix_row", F.monotonically_increasing_id()))
+    _, pieces = mixed_blocks(numbered, id=id, text=text, row="_mix_row", **options)
+    times = pieces.where("first = 0").groupBy("_row").agg(F.count("*").cast("int").alias("_times"))
+    return numbered.join(times.withColumnRenamed("_row", "_mix_row"), "_mix_row").withColumn(
         "_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
