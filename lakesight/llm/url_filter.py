@@ -5,8 +5,9 @@ stays literal below its parent if it is frequent there, else it becomes a
 wildcard of its shape. Literal siblings whose labelled shares of blocked pages
 do not differ significantly from the rest of their parent are merged into one
 branch. A template is rejected if its share of blocked pages, smoothed towards
-its host's and the whole table's, is above one half. The rules' verdicts are
-the labels.
+its host's and the whole table's, is above one half; the smoothing alone never
+rejects, so most of a rejected template's own labels are blocks. The rules'
+verdicts are the labels.
 """
 
 from __future__ import annotations
@@ -106,7 +107,9 @@ def templates(parsed: DataFrame) -> DataFrame:
     overall = everywhere[1] / everywhere[0] if everywhere[0] else 0.0
     by_host = by_template.groupBy("host").agg(F.sum("labelled").alias("_labelled"), F.sum("blocked").alias("_blocked"))
     host_share = (F.col("_blocked") + F.lit(SMOOTHING * overall)) / (F.col("_labelled") + SMOOTHING)
-    purity = (F.col("blocked") + SMOOTHING * host_share) / (F.col("labelled") + SMOOTHING)
+    # capped, so that a host's other templates cannot reject one whose own labels do not
+    prior = F.least(host_share, F.lit(REJECT_ABOVE))
+    purity = (F.col("blocked") + SMOOTHING * prior) / (F.col("labelled") + SMOOTHING)
     judged = by_template.join(by_host, "host").select("host", "template", purity.alias("purity"))
     return paths.select("host", "path", "template").join(judged, ["host", "template"])
 

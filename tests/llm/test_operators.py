@@ -145,6 +145,17 @@ def test_blocked_branches_are_learnt_per_host(spark):
     assert {(r.template, r.verdict) for r in got} == {("/ads/<n>", "block"), ("/news/<n>", "allow")} and len(got) == 400
 
 
+@pytest.mark.parametrize("size", [1, 100])
+def test_no_template_is_rejected_for_the_labels_of_others(spark, size):
+    # 70 % of the labelled pages are blocked, all under /de/; /en/ has no label at all
+    urls = [f"http://a.com/{kind}/{i}" for kind, n in (("de", 70), ("fr", 30), ("en", 100)) for i in range(n * size)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = url_filter.filter_urls(pages)
+    verdicts = {(r.section, r.verdict): r.n for r in got.groupBy(F.split("path", "/")[1].alias("section"), "verdict").agg(F.count("*").alias("n")).collect()}
+    assert verdicts == {("de", "block"): 70 * size, ("fr", "allow"): 30 * size, ("en", "allow"): 100 * size}
+    assert got.where("purity > 0.5 AND path NOT LIKE '/de/%'").count() == 0
+
+
 # token output
 
 @given(st.lists(st.integers(0, (1 << 32) - 1), max_size=70))
