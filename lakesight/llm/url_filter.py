@@ -1,8 +1,8 @@
 """URL filter: explicit rules first, then a path-template tree per host (DataFrame functions only).
 
 The tree is grown level by level over distinct (host, path) rows. A segment
-stays literal below its parent if it is frequent there, else it becomes a
-wildcard of its shape. Literal siblings whose labelled shares of blocked pages
+stays literal below its parent if it has MIN_SUPPORT pages there, however small
+its part of them, else it becomes a wildcard of its shape. Literal siblings whose labelled shares of blocked pages
 do not differ significantly from the rest of their parent are merged into one
 branch. A template is rejected if its share of blocked pages, smoothed towards
 its host's and the whole table's, is above one half; the smoothing alone never
@@ -22,7 +22,7 @@ from lakesight.session import materialise
 
 MAX_DEPTH = 8  # deeper segments belong to the template's open end
 MIN_SUPPORT = 10
-MIN_SHARE = 0.05
+MIN_SHARE = 0.05  # a cut of the SQL in queries.py only; the tree has none
 CRITICAL = 3.84  # chi-square at 5 %, one degree of freedom
 SMOOTHING = 10.0
 REJECT_ABOVE = 0.5
@@ -76,9 +76,9 @@ def _level(paths: DataFrame, level: int) -> DataFrame:
         F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     children = materialise(children)
     parents = children.groupBy("host", "template").agg(
-        F.sum("n").alias("_n"), F.sum("labelled").alias("_labelled"), F.sum("blocked").alias("_blocked"))
+        F.sum("labelled").alias("_labelled"), F.sum("blocked").alias("_blocked"))
     # rare segments need no look at their parent
-    literal = children.where(F.col("n") >= MIN_SUPPORT).join(parents, ["host", "template"]).where(F.col("n") >= MIN_SHARE * F.col("_n"))
+    literal = children.where(F.col("n") >= MIN_SUPPORT).join(parents, ["host", "template"])
     rest, rest_blocked = F.col("_labelled") - F.col("labelled"), F.col("_blocked") - F.col("blocked")
     pooled = F.col("_blocked") / F.col("_labelled")
     difference = F.col("blocked") / F.col("labelled") - rest_blocked / rest

@@ -156,6 +156,17 @@ def test_no_template_is_rejected_for_the_labels_of_others(spark, size):
     assert got.where("purity > 0.5 AND path NOT LIKE '/de/%'").count() == 0
 
 
+def test_small_sections_of_a_broad_host_are_told_apart(spark):
+    # 40 sections of a fortieth of the host each; all labels of one are blocks, of three allows, the others have none
+    names = ["".join(chr(97 + int(d)) for d in f"{k:02d}") for k in range(40)]
+    urls = [f"http://a.net/{name}/{i}" for name in names for i in range(100)]
+    rules = (url_filter.Rule("net/aa/1", False), *(url_filter.Rule(f"net/{name}/1", True) for name in names[1:4]))
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = url_filter.filter_urls(pages, rules=rules).groupBy(F.split("path", "/")[1].alias("section"), "template", "verdict").count().collect()
+    assert {(r.section, r.verdict): r["count"] for r in got} == {(n, "block" if n == "aa" else "allow"): 100 for n in names}
+    assert [r.template for r in got if r.section == "aa"] == ["/aa/<n>"]
+
+
 # token output
 
 @given(st.lists(st.integers(0, (1 << 32) - 1), max_size=70))
