@@ -1,7 +1,11 @@
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from checks import reports
+from checks.catalogs import KEYS
 from lakesight import session
+from lakesight.operators import anomaly, quality
 from lakesight.operators import rules as R
 from lakesight.operators.catalog import TableInfo
 from lakesight.operators.kpi import Kpi
@@ -97,3 +101,28 @@ def test_scratch_copies_can_be_cleared(spark, tmp_path, monkeypatch):
     assert copy.count() == 5 and (tmp_path / "app").exists()
     session.clear_scratch(spark)
     assert not (tmp_path / "app").exists()
+
+
+@pytest.mark.parametrize("name", ["report_findings_all_sections", "report_observations", "job_monthly_report_findings"])
+def test_registered_reports_take_all_tables_and_methods(spark, monkeypatch, name):
+    class Seen(Exception):
+        pass
+
+    def scan(tables, keys, method="ALL"):
+        raise Seen(tables, keys, method)
+
+    monkeypatch.setattr(anomaly, "sweep", scan)
+    with pytest.raises(Seen) as seen:
+        reports.QUERIES[name](spark, "/root/testdata/sf0.001")
+    tables, keys, method = seen.value.args
+    assert set(tables) == set(KEYS) and keys == KEYS and method == "ALL"
+
+
+def test_registered_nightly_scan_counts_all_tables_and_methods(spark, table):
+    tables = {n: table(n) for n in KEYS}
+    found = anomaly.sweep(tables, KEYS).groupBy("method").agg(
+        F.count("*").alias("n"), F.count_if(F.col("severity") == "CRITICAL").alias("critical")).collect()
+    assert {r.method for r in found} == {"Z-SCORE", "IQR", "ISOLATION_FOREST"}
+    got = reports.QUERIES["job_nightly_scan"](spark, "/root/testdata/sf0.001").first()
+    assert got.error is None and got.overall_quality_score == quality.evaluate_database(tables, KEYS)[2].first().overall_quality_score
+    assert (got.total_anomalies, got.critical_count) == (sum(r.n for r in found), sum(r.critical for r in found))
