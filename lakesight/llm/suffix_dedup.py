@@ -1,13 +1,14 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by hashes of sparse suffixes.
 
 Only suffixes at minimiser positions are retained: in every run of ``STRIDE``
 words the one whose next ``GRAM`` words hash smallest. Any passage of ``LENGTH``
 words has its first such position within its first ``STRIDE`` words, at the
 same offset in every copy, with at least ``CORE`` words of the passage to the
-right of it. So suffixes are sorted by (the hash of) their next ``CORE`` words,
-equal neighbours are the candidates, and a candidate is extended: with l words
-to its left and the rest to its right it is one passage of ``LENGTH`` words,
-which counts if it occurs in another document too. The union of these passages
+right of it. A hash join stands in for the sort of suffix arrays: no suffix is
+sorted or compared with a neighbour. Suffixes are grouped by the hash of their
+next ``CORE`` words, those of more than one text are the candidates, and all
+passages of ``LENGTH`` words around a candidate are hashed and grouped in turn;
+one counts if it occurs in another document too. The union of these passages
 is exact: every word of every passage of LENGTH words that two documents share.
 Whole copies of a text are found by its digest first and extended once.
 """
