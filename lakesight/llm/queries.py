@@ -7,10 +7,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesight.llm import decontamination, line_dedup, mixing, near_duplicates, pseudonyms, quality_rules, sharding, suffix_dedup, token_output, url_filter
+from lakesight.llm import cross_tokenizer, decontamination, line_dedup, mixing, near_duplicates, pseudonyms, quality_rules, sharding, suffix_dedup, token_output, url_filter
 from lakesight.session import scratch_folder
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 PSEUDONYM_KEY = "key of the registered query"
 
 
@@ -71,9 +72,14 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op12_cross_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return cross_tokenizer.scored(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_decontamination, op3_line_dedup, op4_suffix_dedup, op5_url_filter, op6_token_output, op7_pseudonyms,
-    op8_mixing, op9_sharding, op10_near_duplicates)}
+    op8_mixing, op9_sharding, op10_near_duplicates, op12_cross_tokenizer)}
 
 _S = r"\x20\x09-\x0D"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
