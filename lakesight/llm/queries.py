@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesight.llm import cross_tokenizer, decontamination, line_dedup, mixing, near_duplicates, pseudonyms, quality_rules, sharding, suffix_dedup, token_output, url_filter
-from lakesight.session import scratch_folder
+from lakesight.llm import cross_tokenizer, decontamination, line_dedup, mixing, near_duplicates, pseudonyms, quality_classifier, quality_rules, ranked_search, sharding, suffix_dedup, token_output, url_filter
+from lakesight.session import materialise, scratch_folder
 
 TOKENIZER = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -72,16 +72,29 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op11_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return quality_classifier.classify(docs, _table(spark, folder, "labels").select("doc_id", "quality"))
+
+
 def op12_cross_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return cross_tokenizer.scored(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
 
 
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    index = materialise(ranked_search.build_index(docs))
+    return ranked_search.search(docs, index, _table(spark, folder, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_decontamination, op3_line_dedup, op4_suffix_dedup, op5_url_filter, op6_token_output, op7_pseudonyms,
-    op8_mixing, op9_sharding, op10_near_duplicates, op12_cross_tokenizer)}
+    op8_mixing, op9_sharding, op10_near_duplicates, op11_quality_classifier, op12_cross_tokenizer,
+    op13_ranked_search)}
 
 _S = r"\x20\x09-\x0D"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
@@ -209,4 +222,18 @@ SELECT doc_id, size::BIGINT AS size, z::BIGINT AS source_size, target,
   g AS (SELECT e.*, bytes, docs FROM e JOIN f USING (depth, node) QUALIFY row_number() OVER (PARTITION BY r ORDER BY depth) = 1)
 SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(node), depth::INT, '0') END AS shard, depth::INT AS depth, n_bytes,
   bytes::BIGINT AS shard_bytes, docs::BIGINT AS shard_documents FROM g""",
+    "op13_ranked_search": rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_TERM}') AS w FROM documents),
+  e AS (SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n FROM d WHERE len(w) > 0),
+  st AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM e),
+  b AS (SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_TERM}')) AS t FROM benchmark),
+  qt AS (SELECT q, any_value(item_id) AS item_id, t, count(*) AS times FROM b GROUP BY q, t),
+  x AS (SELECT r, unnest(w) AS t FROM e),
+  f AS (SELECT r, t, count(*) AS tf FROM x WHERE t IN (SELECT t FROM qt) GROUP BY r, t),
+  g AS (SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, st GROUP BY t, big_n),
+  m AS (SELECT r, doc_id, 25 + (75 * n * big_n) // big_l AS m FROM e, st),
+  s AS (SELECT q, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+      sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM qt JOIN f USING (t) JOIN g USING (t) JOIN m USING (r) GROUP BY q, r),
+  k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= {ranked_search.TOP}""",
 }
