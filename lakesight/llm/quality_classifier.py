@@ -149,8 +149,8 @@ def fit(values: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> Trees:
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-margins))
         gradient, curvature = weights * (labels - p), weights * p * (1 - p)
-        at = np.zeros(len(values), dtype=np.int64)  # node of each row
         first = len(nodes)
+        at = np.full(len(values), first)  # node of each row
         roots.append(first)
         nodes.append([-1, 0, 0, 0.0])
         level = [first]
