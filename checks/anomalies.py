@@ -2,6 +2,7 @@
 
 from checks.catalogs import KEYS
 from checks.common import rounded, table
+from lakesight.operators import isolation_forest as forest
 from lakesight.operators import anomaly as A
 from lakesight.operators.isolation_forest import detect_isolation_forest
 
@@ -56,6 +57,56 @@ def rolling_sql(source, metric, row, entity, order, per=None):
         f"{one('v')} || ' is ' || {one('z', 2)} || ' standard deviations from the mean ' || {one('mean', 2)} || ' of the 5 rows before'")
 
 
+def forest_sql(source, metrics, row, entity):
+    """The forest of ``isolation_forest``: the same draw, the same hashes, the same cuts, one level per step."""
+    d, size, per = len(metrics), forest.TREES * forest.ROWS_PER_TREE, forest.ROWS_PER_TREE
+    xs = [f"x{i}" for i in range(d)]
+    uniform = lambda kind: f"('0x' || substr(md5('{forest.SEED}|{kind}|' || tree || '|' || node), 1, 13))::BIGINT / pow(2, 52)"
+    steps = ""
+    deepest = forest.levels(per)
+    for i in range(deepest + 1):
+        lows, highs = (", ".join(f"{f}(x[{k + 1}])" for k in range(d)) for f in ("min", "max"))
+        steps += f"""
+  a{i} AS (SELECT tree, node, count(*) AS n, [{lows}] AS lo, [{highs}] AS hi FROM g{i} GROUP BY tree, node),
+  c{i} AS (SELECT *, list_filter(range(1, {d + 1}), lambda f: hi[f] > lo[f]) AS can FROM a{i}),
+  f{i} AS (SELECT *, CASE WHEN n <= 1 OR len(can) = 0 OR {i} >= deepest THEN 0
+      ELSE can[1 + floor({uniform('feature')} * len(can))::INT] END AS f FROM c{i}, lim),
+  n{i} AS MATERIALIZED (SELECT tree, node, n, {i} AS depth, f, CASE WHEN f = 0 THEN 0 WHEN cut < hi[f] THEN cut ELSE lo[f] END AS cut
+      FROM (SELECT *, CASE WHEN f > 0 THEN lo[f] + {uniform('cut')} * (hi[f] - lo[f]) END AS cut FROM f{i})),
+  g{i + 1} AS MATERIALIZED (SELECT g.tree, x, 2 * node + (x[f] > cut)::INT AS node FROM g{i} g JOIN n{i} USING (tree, node) WHERE f > 0),"""
+    mean_path = lambda n: f"CASE WHEN {n} <= 1 THEN 0 WHEN {n} = 2 THEN 1 ELSE 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1) / {n} END"
+    nodes = " UNION ALL ".join(f"SELECT * FROM n{i}" for i in range(deepest + 1))
+    return shaped(
+        f"""(WITH RECURSIVE r AS MATERIALIZED (SELECT {row} AS row_id, {entity} AS entity, {', '.join(f'{m}::DOUBLE AS {x}' for m, x in zip(metrics, xs))}
+      FROM {source} WHERE {' AND '.join(f'{m} IS NOT NULL' for m in metrics)}),
+  s AS (SELECT count(*) AS n, avg(x0) AS mean, coalesce(stddev_samp(x0), 0) AS sd FROM r),
+  lim AS (SELECT min(l) AS deepest FROM range(1, {deepest + 1}) t(l), s WHERE (1 << l) >= least(n, {per})),
+  pool AS MATERIALIZED (SELECT row_id, {', '.join(xs)}, row_number() OVER (PARTITION BY row_id, {', '.join(xs)}) AS copy FROM r
+      ORDER BY md5('{forest.SEED}|' || row_id), row_id, {', '.join(xs)}, copy LIMIT {size}),
+  g0 AS MATERIALIZED (SELECT tree, [{', '.join(xs)}] AS x, 1 AS node FROM pool, range({forest.TREES}) t(tree), s WHERE n >= 10
+      QUALIFY row_number() OVER (PARTITION BY tree ORDER BY md5(tree || '|' || row_id || '|' || copy), row_id, {', '.join(xs)}, copy) <= {per}),{steps}
+  nodes AS MATERIALIZED (SELECT tree, node, f, cut, round((depth + {mean_path('n')}) * {forest.PATH_UNIT})::BIGINT AS path FROM ({nodes})),
+  p AS (SELECT [{', '.join(xs)}] AS x, tree, 1::INT AS node FROM (SELECT DISTINCT {', '.join(xs)} FROM r), range({forest.TREES}) t(tree)
+    UNION ALL SELECT x, p.tree, (2 * p.node + (x[f] > cut)::INT)::INT FROM p JOIN nodes USING (tree, node) WHERE f > 0),
+  totals AS (SELECT x, sum(path)::DOUBLE AS total FROM p JOIN nodes USING (tree, node) WHERE f = 0 GROUP BY x),
+  scored AS MATERIALIZED (SELECT row_id, entity, x0 AS v, n, mean, sd,
+      pow(2.0, -total / (({mean_path(f'least(n, {per})')}) * {forest.PATH_UNIT} * {forest.TREES})) AS raw
+      FROM r, s JOIN totals ON totals.x = [{', '.join('r.' + x for x in xs)}]),
+  place AS (SELECT *, (len(l) - 1) * (1 - CASE WHEN len(l) * {forest.CONTAMINATION} < 1
+      THEN least(greatest(1.0::DOUBLE / len(l), {forest.MIN_CONTAMINATION}), {forest.MAX_CONTAMINATION}) ELSE {forest.CONTAMINATION} END)::DOUBLE AS pos
+      FROM (SELECT list_sort(list(raw)) AS l FROM scored)),
+  ends AS (SELECT l[floor(pos)::BIGINT + 1] AS lo, l[ceil(pos)::BIGINT + 1] AS hi, pos - floor(pos) AS part FROM place),
+  bound AS (SELECT CASE WHEN lo = hi THEN lo ELSE lo * (1 - part) + hi * part END AS bound FROM ends)
+  SELECT *, raw - bound AS margin FROM scored, bound WHERE raw > bound)""",
+        ", ".join(metrics), "ISOLATION_FOREST", "mean", "mean - 2 * sd", "mean + 2 * sd", f"margin * {forest.SCORE_SCALE}",
+        f"CASE WHEN margin > {forest.HIGH_SCORE} THEN 'HIGH' ELSE 'MEDIUM' END",
+        f"'isolated easily over {', '.join(metrics)} (score ' || {one('margin', 3)} || '); first value ' || {one('v')}")
+
+
+def all_methods_sql(source, metric, row, entity):
+    return "\nUNION ALL\n".join((zscore_sql(source, metric, row, entity), iqr_sql(source, metric, row, entity), forest_sql(source, [metric], row, entity)))
+
+
 EVENT = ("events", "value", "CAST(event_id AS VARCHAR)", "event_type")
 EVENTS_ZSCORE, EVENTS_IQR = zscore_sql(*EVENT), iqr_sql(*EVENT)
 
@@ -72,11 +123,11 @@ def both(spark, folder):
         .unionByName(A.detect_iqr(df, "value", ["event_id"], "event_type", summary=summary)))
 
 
-def sweep_sql(keys, metrics):
-    """Fence outliers of one metric per table, rows named by their keys."""
+def sweep_sql(keys, metrics, detector=iqr_sql):
+    """Anomalies of one metric per table, rows named by their keys."""
     row = {t: f"concat_ws('|', {', '.join(keys[t])})" for t in metrics}
     return "\nUNION ALL\n".join(
-        f"SELECT '{t}' AS table_name, * FROM ({iqr_sql(t, m, row[t], f"'Row ' || {row[t]}")})" for t, m in metrics.items())
+        f"SELECT '{t}' AS table_name, * FROM ({detector(t, m, row[t], f"'Row ' || {row[t]}")})" for t, m in metrics.items())
 
 
 # the first numeric column that is no key, or else the first
@@ -101,12 +152,14 @@ QUERIES = {
     "anomaly_isolation_forest_lineitem": lambda s, d: detect_isolation_forest(
         table(s, d, "lineitem"), ["l_extendedprice", "l_quantity", "l_discount", "l_tax"], LINE_KEY),
     "anomaly_sweep_all_tables": lambda s, d: A.sweep({n: table(s, d, n) for n in METRICS}, KEYS, "IQR"),
-    "anomaly_sweep_first_tables": lambda s, d: A.sweep(
-        {n: table(s, d, n) for n in ("customer", "documents", "events")},
-        {"customer": ["c_custkey"], "documents": ["doc_id"], "events": ["event_id"]}),
+    "anomaly_sweep_all_methods": lambda s, d: A.sweep({n: table(s, d, n) for n in METRICS}, KEYS),
 }
 
+LINE_METRICS = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
 ORACLE = {
+    "anomaly_scan_all_methods": all_methods_sql(*EVENT),
+    "anomaly_isolation_forest_lineitem": forest_sql("lineitem", LINE_METRICS, LINE_ID, f"'Row ' || {LINE_ID}"),
+    "anomaly_sweep_all_methods": sweep_sql(KEYS, METRICS, all_methods_sql),
     "anomaly_sweep_all_tables": sweep_sql(KEYS, METRICS),
     "anomaly_zscore_events": EVENTS_ZSCORE,
     "anomaly_iqr_events": EVENTS_IQR,

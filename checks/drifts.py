@@ -8,7 +8,7 @@ from lakesight.operators import catalog as K
 from lakesight.operators import data_drift as D
 from lakesight.operators import schema_drift as S
 from lakesight.session import materialise, scratch_folder
-from lakesight.sources.sinks import append_schema_snapshot, read_history
+from lakesight.sources.sinks import append_schema_snapshot, read_baselines, read_history
 from lakesight.streaming import jobs
 
 LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -48,8 +48,10 @@ def ks_sql(old, new, columns):
     return "\nUNION ALL\n".join(one(c) for c in columns)
 
 
-def drift_sql(old, new, columns):
+def drift_sql(old, new, columns, exact_p=None):
     shift = lambda a, b: rounded(f"({a} - {b}) / CASE WHEN abs({b}) > 1e-6 THEN abs({b}) ELSE 1 END * 100", 2)
+    asymptotic = """CASE WHEN lam < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * (SELECT
+             sum((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * lam * lam)) FROM range(1, 101) r(k)))) END"""
     return f"""SELECT column_name, drift AS drift_detected,
         CASE WHEN NOT drift THEN 'NONE' WHEN ks > 0.4 OR abs(ms) > 50 THEN 'CRITICAL'
           WHEN ks > 0.25 OR abs(ms) > 30 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
@@ -60,8 +62,7 @@ def drift_sql(old, new, columns):
           printf('%.4f', {rounded('p', 4)}) || ', mean ' || printf('%+.1f', {rounded('ms', 1)}) || '%'
           ELSE 'Distribution is consistent with the baseline' END AS summary
       FROM (SELECT *, (p < 0.05 AND ks > 0.15) OR abs(ms) >= 20 AS drift FROM
-        (SELECT *, CASE WHEN lam < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * (SELECT
-             sum((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * lam * lam)) FROM range(1, 101) r(k)))) END AS p FROM
+        (SELECT *, {exact_p or asymptotic} AS p FROM
           (SELECT c.column_name, b.mean AS bm, c.mean AS cm, b.med AS bmed, c.med AS cmed, ks,
              {shift('c.mean', 'b.mean')} AS ms, {shift('c.sd', 'b.sd')} AS ss,
              ks * sqrt(nb * nc / (nb + nc)) AS lam
@@ -168,16 +169,38 @@ def stored_snapshots(spark, folder):
         jobs.drift_snapshot({"sales": tables}, store)
     columns = read_history(spark, f"{store}/schemas").groupBy("table_name").agg(
         F.countDistinct("taken").alias("snapshots"), F.countDistinct("column_name").alias("n_columns"))
-    baselines = read_history(spark, f"{store}/baselines/statistics").groupBy("table_name").agg(
+    baselines = read_baselines(spark, f"{store}/baselines").groupBy("table_name").agg(
         F.count("*").alias("baselines"), F.round(F.sum("mean_val"), 4).alias("sum_of_means"))
     return columns.join(baselines, "table_name")
 
 
+def small_samples(spark, folder):
+    """Lengths of the nations' names as baseline, words of the benchmark's items as current values: p is exact."""
+    old = table(spark, folder, "nation").select(F.length("n_name").cast("double").alias("size"))
+    new = table(spark, folder, "benchmark").select(F.size(F.split("text", " ")).cast("double").alias("size"))
+    return D.detect_data_drift(new, old)
+
+
+def small_sql():
+    """As ``drift_sql``, with p from the share of lattice paths that leave the band, one anti-diagonal per step."""
+    old = "(SELECT length(n_name)::DOUBLE AS size FROM nation)"
+    new = "(SELECT len(string_split(text, ' '))::DOUBLE AS size FROM benchmark)"
+    exact = f"""(WITH RECURSIVE k AS (SELECT nb::BIGINT AS n, nc::BIGINT AS m, round(ks * nb * nc)::BIGINT AS edge FROM ({ks_sql(old, new, ['size'])})),
+        walk AS (SELECT 0::BIGINT AS s, 0::BIGINT AS i, 1.0::DOUBLE AS p, n, m, edge FROM k
+          UNION ALL SELECT s + 1, i, sum(p), n, m, edge FROM (
+            SELECT s, i + 1 AS i, p * (n - i)::DOUBLE / (n + m - s) AS p, n, m, edge FROM walk WHERE i < n
+            UNION ALL SELECT s, i, p * (m - (s - i))::DOUBLE / (n + m - s), n, m, edge FROM walk WHERE s - i < m)
+          WHERE s < n + m AND abs(i * m - (s + 1 - i) * n) < edge GROUP BY s, i, n, m, edge)
+      SELECT CASE WHEN (SELECT edge FROM k) <= 0 THEN 1.0 ELSE greatest(0.0, 1 - coalesce((SELECT max(p) FROM walk WHERE s = n + m), 0)) END AS p)"""
+    return drift_sql(old, new, ["size"], exact)
+
+
 DRIFT = drift_sql(OLD, NEW, LINE_NUMBERS)
 
 QUERIES = {
     "drift_lineitem": lambda s, d: D.detect_data_drift(*halves(s, d)),
     "drift_orders_against_itself": lambda s, d: D.detect_data_drift(table(s, d, "orders")),
+    "drift_small_samples": small_samples,
     "drift_table_summary": lambda s, d: D.table_summary(D.detect_data_drift(*halves(s, d)), "lineitem"),
     "drift_all_tables": drift_totals,
     "drift_baseline_upsert": baseline_rows,
@@ -190,6 +213,7 @@ QUERIES = {
 
 ORACLE = {
     "drift_lineitem": DRIFT,
+    "drift_small_samples": small_sql(),
     "drift_orders_against_itself": drift_sql("orders", "orders", ["o_orderkey", "o_custkey", "o_totalprice"]),
     "drift_table_summary": f"""SELECT 'lineitem' AS table_name, count(*) AS total_numerical_columns,
         count(*) FILTER (WHERE drift_detected) AS drifted_columns_count,

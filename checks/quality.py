@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from checks.catalogs import COLUMNS, KEYS, TYPES
 from checks.common import rounded, table
 from lakesight.operators import quality as Q
 
@@ -90,31 +91,13 @@ def checks_sql(name, source, columns, keys=(), numeric=(), positive=(), dates=()
 DAMAGED_CHECKS = checks_sql(
     "orders", DAMAGED, ["o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", "o_orderdate"],
     ["o_orderkey", "o_custkey"], ["o_orderkey", "o_custkey", "o_totalprice"], ["o_totalprice"], ["o_orderdate"])
-NUMBERS = {
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"],
-    "orders": ["o_orderkey", "o_custkey", "o_totalprice"],
-    "customer": ["c_custkey", "c_nationkey", "c_acctbal"],
-    "part": ["p_partkey", "p_size", "p_retailprice"],
-    "events": ["event_id", "user_id", "value"],
-    "documents": ["doc_id", "n_chars"],
-}
-TEXTS = {
-    "lineitem": ["l_returnflag", "l_linestatus", "l_shipdate"],
-    "orders": ["o_orderstatus", "o_orderdate", "o_orderpriority"],
-    "customer": ["c_name", "c_mktsegment"],
-    "part": ["p_name", "p_brand", "p_type"],
-    "events": ["ts", "event_type", "props"],
-    "documents": ["text", "lang", "source"],
-}
-KEYS = {
-    "lineitem": LINEITEM_KEYS, "orders": ["o_orderkey"], "customer": ["c_custkey"],
-    "part": ["p_partkey"], "events": ["event_id"], "documents": ["doc_id"],
-}
+NUMBERS = {t: [c for c in columns if TYPES.get(c) in ("int", "bigint", "double")] for t, columns in COLUMNS.items()}
+OTHERS = {t: [c for c in columns if c not in NUMBERS[t]] for t, columns in COLUMNS.items()}
 POSITIVE = {"lineitem": ["l_quantity", "l_extendedprice"], "orders": ["o_totalprice"], "part": ["p_retailprice"]}
 
 
 def table_checks_sql(name):
-    return checks_sql(name, name, NUMBERS[name] + TEXTS[name], KEYS[name], NUMBERS[name], POSITIVE.get(name, ()))
+    return checks_sql(name, name, NUMBERS[name] + OTHERS[name], KEYS[name], NUMBERS[name], POSITIVE.get(name, ()))
 
 
 def scores_sql(checks, names):

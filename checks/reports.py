@@ -9,22 +9,19 @@ from lakesight.plans import report as R
 from lakesight.session import scratch_folder
 from lakesight.streaming import jobs
 
-# the queries ..._iqr keep to these tables and to the method that SQL can express
-TABLES = ("customer", "orders", "lineitem")
 
+def catalog(spark, folder):
+    return {n: TableInfo(table(spark, folder, n), KEYS[n]) for n in KEYS}
 
-def catalog(spark, folder, names=tuple(KEYS)):
-    return {n: TableInfo(table(spark, folder, n), KEYS[n]) for n in names}
 
+def built(spark, folder, sections=R.SECTIONS, method="ALL"):
+    return R.build_report(catalog(spark, folder), kpis.KPIS, RULES, sections, method)
 
-def built(spark, folder, sections=R.SECTIONS, method="ALL", names=tuple(KEYS)):
-    return R.build_report(catalog(spark, folder, names), kpis.KPIS, RULES, sections, method)
 
-
-def written_findings(spark, folder, method="ALL", names=tuple(KEYS)):
+def written_findings(spark, folder, method="ALL"):
     """A monthly report written as files; its findings read back from CSV."""
     target = scratch_folder(spark)
-    jobs.monthly_report({"sales": catalog(spark, folder, names)}, {"sales": kpis.KPIS}, {"sales": RULES}, target, method)
+    jobs.monthly_report({"sales": catalog(spark, folder)}, {"sales": kpis.KPIS}, {"sales": RULES}, target, method)
     return spark.read.option("header", "true").option("escape", '"').csv(f"{target}/sales/findings")
 
 
@@ -37,23 +34,23 @@ FINDINGS = f"""SELECT 'KPI' AS "Category", name AS "Item", CAST(current_value AS
     formula AS "Details" FROM ({_KPIS})
   UNION ALL SELECT 'Business Rule Violation', rule_name, CAST(violation_count AS VARCHAR), 'violations', severity, alert_message
     FROM ({_VIOLATED}) WHERE status = 'VIOLATION'"""
-_ANOMALIES = anomalies.sweep_sql(KEYS, {n: anomalies.METRICS[n] for n in TABLES})
+_ALL_METHODS, _IQR = (anomalies.sweep_sql(KEYS, anomalies.METRICS, f) for f in (anomalies.all_methods_sql, anomalies.iqr_sql))
 _NUMBER = lambda c: f"CAST({c} AS VARCHAR)"
-WITH_ANOMALIES = f"""{FINDINGS}
+with_anomalies = lambda found: f"""{FINDINGS}
   UNION ALL SELECT 'Anomaly', entity || ' - ' || metric, {_NUMBER('observed_value')},
-    CASE WHEN deviation_pct > 0 THEN '+' ELSE '' END || {_NUMBER('deviation_pct')} || '%', severity, explanation FROM ({_ANOMALIES})"""
-_CHECKS = "\nUNION ALL\n".join(quality.table_checks_sql(n) for n in TABLES)
+    CASE WHEN deviation_pct > 0 THEN '+' ELSE '' END || {_NUMBER('deviation_pct')} || '%', severity, explanation FROM ({found})"""
 _SCORE = f"""(SELECT {rounded('avg(quality_score)', 1)} AS score, CAST(sum(critical_count) AS BIGINT) AS critical
-    FROM ({quality.scores_sql(_CHECKS, TABLES)}))"""
-OBSERVATIONS = f"""SELECT 1 AS section, name AS position, name || ': ' || CASE WHEN growth_rate_mom_pct > 0 THEN '+' ELSE '' END
+    FROM ({quality.scores_sql(quality.ALL_CHECKS, KEYS)}))"""
+observations = lambda found: f"""SELECT 1 AS section, name AS position, name || ': ' || CASE WHEN growth_rate_mom_pct > 0 THEN '+' ELSE '' END
       || growth_rate_mom_pct || ' % on the month before' AS observation
     FROM ({_KPIS}) WHERE growth_rate_mom_pct IS NOT NULL
   UNION ALL SELECT 2, printf('%05d %05d', 0, row_number() OVER (ORDER BY list_position(['o_orderstatus', 'o_orderpriority'], dimension))),
       statement FROM ({variances.drivers_sql(*variances.ORDERS, variances.ORDER_DIMS)})
   UNION ALL SELECT 3, '', CASE WHEN critical > 0
       THEN 'Data quality is ' || CAST(round(score) AS INT) || '/100 with ' || critical || ' critical violations to repair.'
-      ELSE 'Data quality is ' || CAST(round(score) AS INT) || '/100 (GOOD).' END FROM {_SCORE}
-  UNION ALL SELECT 4, '', count(*) || ' critical anomalies were found.' FROM ({_ANOMALIES}) WHERE severity = 'CRITICAL' HAVING count(*) > 0
+      ELSE 'Data quality is ' || CAST(round(score) AS INT) || '/100 (' || CASE WHEN score >= 90 THEN 'EXCELLENT' WHEN score >= 75 THEN 'GOOD'
+        WHEN score >= 60 THEN 'FAIR' ELSE 'POOR' END || ').' END FROM {_SCORE}
+  UNION ALL SELECT 4, '', count(*) || ' critical anomalies were found.' FROM ({found}) WHERE severity = 'CRITICAL' HAVING count(*) > 0
   UNION ALL SELECT 5, '', count(*) || ' business rules are violated.' FROM ({_VIOLATED}) WHERE status = 'VIOLATION'"""
 
 QUERIES = {
@@ -62,13 +59,12 @@ QUERIES = {
     "report_trends": lambda s, d: built(s, d, (R.KPIS, R.TRENDS)).trends.drop("explanation"),
     "report_insights": lambda s, d: built(s, d, (R.ROOT_CAUSE,)).insights,
     "report_findings_all_sections": lambda s, d: R.findings(built(s, d)),
-    "report_findings_all_methods": lambda s, d: R.findings(built(s, d, method="ALL")),
     "job_monthly_report_findings": written_findings,
     "job_nightly_scan": lambda s, d: jobs.nightly_scan({"sales": catalog(s, d)}),
-    "report_observations_iqr": lambda s, d: R.observations(built(s, d, method="IQR", names=TABLES)),
-    "report_findings_iqr": lambda s, d: R.findings(built(s, d, method="IQR", names=TABLES)),
-    "job_monthly_report_findings_iqr": lambda s, d: written_findings(s, d, "IQR", TABLES),
-    "job_nightly_scan_iqr": lambda s, d: jobs.nightly_scan({"sales": catalog(s, d, tuple(quality.KEYS))}, "IQR"),
+    "report_observations_iqr": lambda s, d: R.observations(built(s, d, method="IQR")),
+    "report_findings_iqr": lambda s, d: R.findings(built(s, d, method="IQR")),
+    "job_monthly_report_findings_iqr": lambda s, d: written_findings(s, d, "IQR"),
+    "job_nightly_scan_iqr": lambda s, d: jobs.nightly_scan({"sales": catalog(s, d)}, "IQR"),
 }
 
 
@@ -79,22 +75,22 @@ def _trend(kpi):
     return f"SELECT * EXCLUDE (explanation) FROM ({trend_sql(series)})"
 
 
+def nightly_sql(found):
+    return f"""SELECT 'sales' AS database_name, overall_quality_score, overall_grade, total_anomalies, critical_count,
+        CAST(NULL AS VARCHAR) AS error FROM ({quality.ORACLE['quality_database_score']}),
+        (SELECT count(*) AS total_anomalies, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical_count FROM ({found}))"""
+
+
 ORACLE = {
     "report_findings": FINDINGS,
-    "report_observations": OBSERVATIONS,
     "report_trends": "\nUNION ALL\n".join(_trend(k) for k in kpis.KPIS if k.date_column),
     "report_insights": f"SELECT *, 'orders' AS table_name FROM ({variances.headline_sql(*variances.ORDERS)})",
-    "report_findings_all_sections": WITH_ANOMALIES,
-    "job_monthly_report_findings": WITH_ANOMALIES,
-    "job_nightly_scan": f"""SELECT 'sales' AS database_name, overall_quality_score, overall_grade, total_anomalies, critical_count,
-        CAST(NULL AS VARCHAR) AS error FROM ({quality.ORACLE['quality_database_score']}),
-        (SELECT count(*) AS total_anomalies, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical_count
-         FROM ({anomalies.sweep_sql(quality.KEYS, {n: anomalies.METRICS[n] for n in quality.KEYS})}))""",
-}
-# The SQL of four whole jobs is that of their part in IQR over a few tables: it equals the queries below, not those.
-ORACLE |= {
-    "report_observations_iqr": ORACLE["report_observations"],
-    "report_findings_iqr": ORACLE["report_findings_all_sections"],
-    "job_monthly_report_findings_iqr": ORACLE["job_monthly_report_findings"],
-    "job_nightly_scan_iqr": ORACLE["job_nightly_scan"],
+    "report_observations": observations(_ALL_METHODS),
+    "report_findings_all_sections": with_anomalies(_ALL_METHODS),
+    "job_monthly_report_findings": with_anomalies(_ALL_METHODS),
+    "job_nightly_scan": nightly_sql(_ALL_METHODS),
+    "report_observations_iqr": observations(_IQR),
+    "report_findings_iqr": with_anomalies(_IQR),
+    "job_monthly_report_findings_iqr": with_anomalies(_IQR),
+    "job_nightly_scan_iqr": nightly_sql(_IQR),
 }

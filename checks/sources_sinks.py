@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks.common import rounded, table
 from checks.catalogs import COLUMNS, KEYS, whole
 from lakesight.functions.columns import finite, sanitise, wall_time
+from lakesight.functions.sketches import K as SKETCH_SIZE, POINTS, rank_error
 from lakesight.functions.masking import mask_secret, mask_sensitive_fields, mask_urls
 from lakesight.operators import catalog as K
 from lakesight.operators import data_drift as D
@@ -50,13 +51,21 @@ def json_sink(spark, folder):
 
 
 def stored_drift(spark, folder):
-    """Baseline of the old half saved, loaded again, and compared with the new half."""
+    """Baseline of the old half saved with all its values, loaded again, and compared with the new half."""
+    current, old = halves(spark, folder)
+    store = scratch_folder(spark)
+    sinks.save_baseline(table(spark, folder, "orders"), "sales", "orders", store, exact=True)
+    sinks.save_baseline(old, "sales", "lineitem", store, exact=True)
+    return D.compare_with_stored(*sinks.load_baseline(spark, "sales", "lineitem", store), current)
+
+
+def sketched_drift(spark, folder):
+    """The same with a baseline of sketches; which columns have drifted, and how much, beyond the sketches' error."""
     current, old = halves(spark, folder)
     store = scratch_folder(spark)
-    sinks.save_baseline(table(spark, folder, "orders"), "sales", "orders", store)
     sinks.save_baseline(old, "sales", "lineitem", store)
-    stats, counts = sinks.load_baseline(spark, "sales", "lineitem", store)
-    return D.compare(stats, counts, D.baseline_statistics(current, "sales", "lineitem"), D.value_counts(current))
+    found = D.compare_with_stored(*sinks.load_baseline(spark, "sales", "lineitem", store), current)
+    return found.select("column_name", "drift_detected", "severity", "mean_shift_pct", "ks_error")
 
 
 def secrets(spark, folder):
@@ -68,6 +77,11 @@ def secrets(spark, folder):
         F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("api_token"),
         F.struct(F.col("c_name").alias("password"), F.col("c_acctbal").alias("metric")).alias("nested"),
         F.create_map(F.lit("auth"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment")).alias("more"),
+        F.create_map(F.lit("db"), F.struct(F.col("c_name").alias("password"), F.col("c_mktsegment").alias("host"))).alias("map_of_structs"),
+        F.array(F.struct(F.col("c_name").alias("api_key"), F.col("c_nationkey").alias("port"))).alias("list_of_structs"),
+        F.create_map(F.lit("x"), F.create_map(F.lit("token"), F.col("c_name"), F.lit("url"), F.col("c_mktsegment"))).alias("map_of_maps"),
+        F.create_map(F.lit("password"), F.array("c_name", "c_mktsegment"), F.lit("names"), F.array("c_name")).alias("map_of_lists"),
+        F.parse_json(F.to_json(F.struct(F.struct(F.col("c_name").alias("secret"), F.col("c_acctbal").alias("n")).alias("inner")))).alias("variant"),
     )
 
 
@@ -75,7 +89,12 @@ def masked_secrets(spark, folder):
     raw = secrets(spark, folder)
     return mask_sensitive_fields(raw).select(
         "c_custkey", "conn_url", "api_token", F.col("nested.password").alias("nested_password"), F.col("nested.metric").alias("nested_metric"),
-        F.col("more")["auth"].alias("map_auth"), F.col("more")["segment"].alias("map_segment"))
+        F.col("more")["auth"].alias("map_auth"), F.col("more")["segment"].alias("map_segment"),
+        F.col("map_of_structs")["db"]["password"].alias("deep_password"), F.col("map_of_structs")["db"]["host"].alias("deep_host"),
+        F.col("list_of_structs")[0]["api_key"].alias("listed_key"), F.col("list_of_structs")[0]["port"].alias("listed_port"),
+        F.col("map_of_maps")["x"]["token"].alias("deep_token"), F.col("map_of_maps")["x"]["url"].alias("deep_url"),
+        F.array_join(F.col("map_of_lists")["password"], ",").alias("listed_passwords"), F.array_join(F.col("map_of_lists")["names"], ",").alias("listed_names"),
+        F.variant_get("variant", "$.inner.secret", "string").alias("variant_secret"), F.variant_get("variant", "$.inner.n", "double").alias("variant_number"))
 
 
 _ODD = """CASE WHEN event_id % 9 = 0 THEN 'nan'::DOUBLE WHEN event_id % 9 = 1 THEN 'inf'::DOUBLE
@@ -89,6 +108,7 @@ QUERIES = {
     "source_bounded_sample": lambda s, d: sampling.bounded_sample(table(s, d, "orders"), ["o_orderkey"], 500),
     "sink_json_sanitised": json_sink,
     "sink_stored_baseline_drift": stored_drift,
+    "sink_sketched_baseline_drift": sketched_drift,
     "finite_values_only": lambda s, d: odd_numbers(s, d).select(
         "event_id", finite(odd_numbers(s, d), "value").alias("value")).filter("value is not null"),
     "sanitised_columns": lambda s, d: sanitise(odd_numbers(s, d).drop("props")),
@@ -113,6 +133,9 @@ ORACLE = {
     "sink_json_sanitised": f"""SELECT event_id, {_ISO} AS ts, {_CLEAN} AS first, {_CLEAN} * 2 AS second,
         {_CLEAN} AS inner_value, event_type FROM events""",
     "sink_stored_baseline_drift": DRIFT,
+    # no distance of these halves lies near a threshold, so sketches give the same verdicts
+    "sink_sketched_baseline_drift": f"""SELECT column_name, drift_detected, severity, mean_shift_pct,
+        {rounded(str(2 * rank_error(SKETCH_SIZE) + 2 / POINTS), 4)} AS ks_error FROM ({DRIFT})""",
     "finite_values_only": "SELECT event_id, value FROM events WHERE event_id % 9 > 2",
     "sanitised_columns": f"SELECT event_id, {_ISO} AS ts, user_id, event_type, {_CLEAN} AS value FROM events",
     "dates_from_text": "SELECT o_orderkey, o_orderdate AS d FROM orders WHERE o_orderkey % 3 <> 0",
@@ -123,5 +146,7 @@ ORACLE = {
     "masked_secrets": """SELECT c_custkey, left(c_name, 2) || '****' || right(c_name, 1) AS name, '********' AS short FROM customer""",
     "masked_sensitive_fields": """SELECT c_custkey, 'postgresql://' || c_mktsegment || ':****@db' || c_nationkey || ':5432/main' AS conn_url,
         '********' AS api_token, '********' AS nested_password, c_acctbal AS nested_metric, '********' AS map_auth,
-        c_mktsegment AS map_segment FROM customer""",
+        c_mktsegment AS map_segment, '********' AS deep_password, c_mktsegment AS deep_host, '********' AS listed_key, c_nationkey AS listed_port,
+        '********' AS deep_token, c_mktsegment AS deep_url, '********,********' AS listed_passwords, c_name AS listed_names,
+        '********' AS variant_secret, c_acctbal AS variant_number FROM customer""",
 }

@@ -53,7 +53,43 @@ def slope_p_value(r_squared: Column, n: Column) -> Column:
     return F.when(df < 1, 0.0).when(r_squared >= 1, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - inside))
 
 
-def ks_p_value(statistic: Column, n: Column, m: Column, terms: int = 100) -> Column:
+#: With at most so many pairs of values the Kolmogorov-Smirnov p is counted exactly, beyond by the series.
+EXACT_PAIRS = 10_000
+
+
+def ks_exact_p_value(statistic: Column, n: Column, m: Column) -> Column:
+    """Exact two-sample Kolmogorov-Smirnov p: the share of lattice paths that leave the band of the observed gap.
+
+    A path goes from (0, 0) to (n, m), one step per value in the order of both
+    samples together; all are equally likely without a difference. The state is
+    the probability to reach (i, j) without touching the band's edge, a row of
+    them per step of ``i``. Probabilities, unlike counts, stay within a double.
+    """
+    small, large = F.least(n, m).cast("int"), F.greatest(n, m).cast("int")
+    nm = small.cast("long") * large
+    edge = F.round(statistic * nm).cast("long")
+    inside = lambda i, j: F.abs(i.cast("long") * small - j.cast("long") * large) < edge
+    left = lambda i, j: (large + small - i - j + 1).cast("double")  # steps left before the one to (i, j)
+
+    def row(above: Column, i: Column) -> Column:
+        def place(done: Column, j: Column) -> Column:
+            down = F.when(i == 0, F.when(j == 0, 1.0).otherwise(0.0)).otherwise(F.get(above, j) * (large - i + 1) / left(i, j))
+            across = F.when(j == 0, 0.0).otherwise(F.coalesce(F.get(done, j - 1), F.lit(0.0)) * (small - j + 1) / left(i, j))
+            return F.concat(done, F.array(F.when(inside(i, j), down + across).otherwise(0.0)))
+
+        return F.aggregate(F.sequence(F.lit(0), small), F.array().cast("array<double>"), place)
+
+    rows = F.aggregate(F.sequence(F.lit(0), large), F.array_repeat(F.lit(0.0), small + 1), row)
+    return F.when(edge <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.get(rows, small))))
+
+
+def ks_p_value(statistic: Column, n: Column, m: Column, terms: int = 100, exact_pairs: int = EXACT_PAIRS) -> Column:
+    """Two-sample Kolmogorov-Smirnov p: exact for up to ``exact_pairs`` pairs of values, else asymptotic."""
+    few = n.cast("double") * m.cast("double") <= exact_pairs
+    return F.when(few, ks_exact_p_value(statistic, F.when(few, n), F.when(few, m))).otherwise(ks_asymptotic_p_value(statistic, n, m, terms))
+
+
+def ks_asymptotic_p_value(statistic: Column, n: Column, m: Column, terms: int = 100) -> Column:
     """Asymptotic two-sample Kolmogorov-Smirnov p from the alternating exponential series."""
     n, m = n.cast("double"), m.cast("double")
     lam = statistic * F.sqrt(n * m / (n + m))

@@ -123,10 +123,8 @@ def _add_exact_quantiles(df, values, summaries: dict[str, Summary], probabilitie
 
 
 def between(low: float, high: float, share: float) -> float:
-    """Linear interpolation; next to an infinite value it is that value, as in Spark's ``percentile``."""
-    if low == high or not share:
-        return low
-    return low * (1 - share) + high * share if math.inf in (abs(low), abs(high)) else low + (high - low) * share
+    """Linear interpolation by the formula of Spark's ``percentile``, so that both ways give the same digits."""
+    return low if low == high or not share else low * (1 - share) + high * share
 
 
 def _order_statistics(df: DataFrame, values: dict[str, Column], brackets: set[_Bracket], rows: int) -> dict:

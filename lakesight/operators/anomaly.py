@@ -8,6 +8,7 @@ and a projection without any join or shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from lakesight.functions import columns as C
 from lakesight.functions.grading import severity, severity_counts
 from lakesight.functions.summary import Summary, summarise
 from lakesight.operators.ordering import POSITION, ordered_copy, with_position
+from lakesight.session import side_by_side
 
 # Minimum rows, thresholds, window length and list length.
 MIN_ROWS = 10
@@ -218,12 +220,17 @@ def first_metric(df: DataFrame, keys: Sequence[str]) -> str | None:
 
 def sweep(tables: dict[str, DataFrame], keys: dict[str, Sequence[str]], method: str = "ALL") -> DataFrame | None:
     """Scan the first metric of every table; rows of a table without a key are named by all their columns."""
-    result = None
+    steps = []
     for name, df in tables.items():
         own = list(keys.get(name) or ())
         metric = first_metric(df, own)
-        if metric is None:
-            continue
-        part = scan_table(df, metric, own or df.columns, method=method).select(F.lit(name).alias("table_name"), *ANOMALY)
+        if metric is not None:
+            steps.append(partial(scan_table, df, metric, own or df.columns, method=method))
+            steps[-1].table = name
+    if not steps:
+        return None
+    result = None
+    for step, found in zip(steps, side_by_side(next(iter(tables.values())).sparkSession, steps)):
+        part = found.select(F.lit(step.table).alias("table_name"), *ANOMALY)
         result = part if result is None else result.unionByName(part)
     return result

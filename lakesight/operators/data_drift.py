@@ -1,8 +1,9 @@
 """Distribution drift of numeric columns against a stored baseline.
 
-A baseline is two tables: one row of statistics per column, and the counts of
-every distinct value, from which the Kolmogorov-Smirnov statistic is exact on
-whole columns.
+A baseline is two tables: one row of statistics per column, and either a
+quantile sketch per column, of bounded size, or the counts of every distinct
+value. The Kolmogorov-Smirnov statistic of two tables, or of a table and stored
+counts, is exact; that of sketches has a stated error.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesight.functions import columns as C
+from lakesight.functions.sketches import ks_of_sketches, sketched
 from lakesight.functions.stats import ks_p_value
 from lakesight.functions.summary import summarise
-from lakesight.operators.ordering import running_totals
+from lakesight.operators.distribution import ks_statistics
 from lakesight.session import small_frame
 
 # Minimum rows and the thresholds of drift and its severity.
@@ -43,16 +45,16 @@ def baseline_statistics(df: DataFrame, database: str, table: str) -> DataFrame:
     return small_frame(df.sparkSession, rows, STATISTICS)
 
 
-def value_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(column_name, value, n) for every distinct numeric value."""
+def column_values(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(column_name, value, n = 1) for every numeric value."""
     names = names or C.numeric_columns(df)
     pairs = [[F.lit(n), C.present(df, n).cast("double")] for n in names]
-    return (
-        C.stacked(df, pairs, ["column_name", "value"])
-        .filter(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
-        .agg(F.count("*").alias("n"))
-    )
+    return C.stacked(df, pairs, ["column_name", "value"]).filter(F.col("value").isNotNull()).withColumn("n", F.lit(1).cast("long"))
+
+
+def value_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(column_name, value, n) for every distinct numeric value."""
+    return column_values(df, names).groupBy("column_name", "value").agg(F.count("*").alias("n"))
 
 
 def upsert_baseline(stored: DataFrame | None, fresh: DataFrame) -> DataFrame:
@@ -62,24 +64,30 @@ def upsert_baseline(stored: DataFrame | None, fresh: DataFrame) -> DataFrame:
     return stored.join(fresh, KEY, "left_anti").unionByName(fresh)
 
 
-def ks_statistics(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """Largest distance of the two empirical distributions per column, from two value-count tables."""
-    sided = baseline.select("column_name", "value", F.col("n").alias("nb"), F.lit(0).cast("long").alias("nc")).unionByName(
-        current.select("column_name", "value", F.lit(0).cast("long").alias("nb"), F.col("n").alias("nc"))
-    )
-    merged = sided.groupBy("column_name", "value").agg(F.sum("nb").alias("nb"), F.sum("nc").alias("nc"))
-    totals = running_totals(merged, "column_name", "value", ["nb", "nc"])
-    gap = F.abs(F.try_divide("upto_nb", "total_nb") - F.try_divide("upto_nc", "total_nc"))
-    return totals.groupBy("column_name").agg(
-        F.max(gap).alias("ks"), F.max("total_nb").alias("size_b"), F.max("total_nc").alias("size_c")
-    )
-
-
 def compare(
     baseline: DataFrame, baseline_counts: DataFrame, current: DataFrame, current_counts: DataFrame
 ) -> DataFrame:
-    """Drift verdict per column found in both statistics tables."""
-    ks = ks_statistics(baseline_counts, current_counts)
+    """Drift verdict per column found in both statistics tables, from values or their counts on both sides."""
+    return judge(baseline, current, ks_statistics(baseline_counts, current_counts))
+
+
+def compare_with_stored(baseline: DataFrame, stored: DataFrame, df: DataFrame, database: str = "", table: str = "") -> DataFrame:
+    """Drift verdict of a table against a stored baseline, whose values are sketches or counts."""
+    current = baseline_statistics(df, database, table)
+    if "sketch" not in stored.columns:
+        return compare(baseline, stored, current, column_values(df))
+    k = stored.agg(F.max("k")).first()[0]
+    names = [r.column_name for r in baseline.select("column_name").distinct().collect() if r.column_name in C.numeric_columns(df)]
+    ks = ks_of_sketches(stored, sketched(df, names, k)) if names else small_frame(df.sparkSession, [], "column_name string, ks double, ks_error double, size_b long, size_c long")
+    return judge(baseline, current, ks)
+
+
+def judge(baseline: DataFrame, current: DataFrame, ks: DataFrame) -> DataFrame:
+    """Drift verdict per column from two statistics tables and the distances of the distributions.
+
+    With a ``ks_error``, the verdict says so where the distance is so near to a
+    threshold that the error could decide.
+    """
     b = baseline.select("column_name", F.col("mean_val").alias("mean_b"), F.col("std_val").alias("std_b"),
                         F.col("median_val").alias("median_b"))
     c = current.select("column_name", F.col("mean_val").alias("mean_c"), F.col("std_val").alias("std_c"),
@@ -94,6 +102,11 @@ def compare(
         .withColumn("mean_shift_pct", shift("mean_c", "mean_b"))
         .withColumn("std_shift_pct", shift("std_c", "std_b"))
     )
+    with_error = "ks_error" in ks.columns
+    near = F.lit(False)
+    for threshold in (KS_DRIFT, KS_HIGH, KS_CRITICAL) if with_error else ():
+        near = near | (F.abs(F.col("ks") - threshold) <= F.coalesce("ks_error", F.lit(0.0)))
+    doubt = F.when(near, "; a threshold lies within the sketches' error").otherwise("")
     moved = F.abs("mean_shift_pct")
     drifted = ((F.col("p") < MAX_P) & (F.col("ks") > KS_DRIFT)) | (moved >= SHIFT_DRIFT)
     level = (
@@ -116,9 +129,10 @@ def compare(
         F.round("median_c", 2).alias("current_median"),
         F.when(
             drifted,
-            F.format_string("Distribution moved: KS %.3f, p %.4f, mean %+.1f%%", F.round("ks", 3), F.round("p", 4),
-                            F.round("mean_shift_pct", 1)),
-        ).otherwise("Distribution is consistent with the baseline").alias("summary"),
+            F.concat(F.format_string("Distribution moved: KS %.3f, p %.4f, mean %+.1f%%", F.round("ks", 3), F.round("p", 4),
+                                     F.round("mean_shift_pct", 1)), doubt),
+        ).otherwise(F.concat(F.lit("Distribution is consistent with the baseline"), doubt)).alias("summary"),
+        *([F.round("ks_error", 4).alias("ks_error")] if with_error else []),
     )
 
 
@@ -126,10 +140,11 @@ def detect_data_drift(
     current: DataFrame, baseline: DataFrame | None = None, database: str = "", table: str = "",
 ) -> DataFrame:
     """Compare a table with its baseline table; without one it is compared with itself."""
-    stats, counts = baseline_statistics(current, database, table), value_counts(current)
-    if baseline is None:
-        return compare(stats, counts, stats, counts)
-    return compare(baseline_statistics(baseline, database, table), value_counts(baseline), stats, counts)
+    stats = baseline_statistics(current, database, table)
+    if baseline is None:  # no value differs from itself
+        sizes = stats.select("column_name", F.lit(0.0).alias("ks"), F.col("sample_size").alias("size_b"), F.col("sample_size").alias("size_c"))
+        return judge(stats, stats, sizes)
+    return compare(baseline_statistics(baseline, database, table), column_values(baseline), stats, column_values(current))
 
 
 def table_summary(columns: DataFrame, table: str) -> DataFrame:

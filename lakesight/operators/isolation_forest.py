@@ -1,13 +1,17 @@
 """Isolation forest (Liu, Ting and Zhou 2008) as a Spark job.
 
-A bounded sample picked by hash is dealt to the trees; each tree is grown in
-its own group; all trees together are a node table of bounded size, which
-scores every row of the table in Arrow batches. The threshold is an exact
-quantile of the scores of all rows.
+The rows of the trees are drawn by one rule at every size: the rows with the
+smallest hashes are the pool, and each tree takes the rows of the pool with the
+smallest hashes of its own. All trees grow together, a level per round, with
+features and cut points drawn from a hash of seed, tree and node, so every
+engine that can hash grows the same forest. All trees together are a node table
+of bounded size, which scores every row of the table in Arrow batches. The
+threshold is an exact quantile of the scores of all rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 from collections.abc import Iterator, Sequence
@@ -15,14 +19,14 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakesight.functions import columns as C
 from lakesight.functions.summary import exact_quantiles, summarise
 from lakesight.operators.anomaly import MIN_ROWS, NORMAL_SIGMAS, _label, anomalies, row_id
-from lakesight.session import materialise
+from lakesight.session import materialise, small_frame
 
 # Send these functions to the Python workers by value: they need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -36,8 +40,7 @@ HIGH_SCORE = 0.15
 SCORE_SCALE = 10
 SEED = 42
 
-_NODES = "tree int, node int, feature int, threshold double, left int, right int, path double"
-SAMPLE_MARGIN = 4
+PATH_UNIT = 1_000_000  # path lengths are whole numbers of this part, so that their sums do not depend on an order
 SPREAD_BELOW = 5_000_000
 _EULER = 0.5772156649015329
 
@@ -51,86 +54,110 @@ def mean_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + _EULER) - 2.0 * (n - 1.0) / n
 
 
-def _grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
-    """Nodes (node, feature, threshold, left, right, path) of one random tree; leaves have feature -1."""
-    nodes: list[tuple | None] = [None]
-    pending = [(0, points, 0)]
-    while pending:
-        at, rows, depth = pending.pop()
-        low, high = rows.min(axis=0), rows.max(axis=0)
-        splittable = np.flatnonzero(high > low)
-        if depth >= limit or len(rows) <= 1 or not len(splittable):
-            nodes[at] = (at, -1, 0.0, at, at, depth + mean_path(len(rows)))
-            continue
-        feature = int(rng.choice(splittable))
-        threshold = float(rng.uniform(low[feature], high[feature]))
-        goes_left = rows[:, feature] <= threshold
-        if goes_left.all():  # the draw hit the upper end
-            goes_left = rows[:, feature] < high[feature]
-            threshold = float(rows[goes_left, feature].max())
-        left, right = len(nodes), len(nodes) + 1
-        nodes += [None, None]
-        nodes[at] = (at, feature, threshold, left, right, 0.0)
-        pending += [(left, rows[goes_left], depth + 1), (right, rows[~goes_left], depth + 1)]
-    return nodes
-
-
-def _deal(points: DataFrame, n: int, trees: int, per_tree: int) -> DataFrame:
-    """Rows of each tree: without overlap when there are enough, else drawn per tree."""
-    if n >= trees * per_tree:
-        place = F.xxhash64(*points.columns, F.lit(SEED))
-        # only rows with a small hash can be among the smallest, so few rows per task are compared
-        share = min(1.0, SAMPLE_MARGIN * trees * per_tree / n)
-        near = points.filter(place <= int(-(2**63) + share * (2**64 - 1))) if share < 1 else points
-        sample = near.orderBy(place, "_id").limit(trees * per_tree)
-        order = F.row_number().over(Window.orderBy(place, "_id"))
-        # the sample is at most trees * per_tree rows
-        return sample.withColumn("tree", ((order - 1) % trees).cast("int"))
-    # fewer rows than the forest takes: every tree ranks all of them by its own hash
-    copies = points.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    place = Window.partitionBy("tree").orderBy(F.xxhash64("_id", "tree"), "_id")
-    return copies.withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= per_tree).drop("_r")
+def levels(per_tree: int) -> int:
+    """Depth at which trees of ``per_tree`` rows end."""
+    return max(1, math.ceil(math.log2(max(per_tree, 2))))
 
 
-def fit(points: DataFrame, features: Sequence[str], n: int, trees: int = TREES, per_tree: int = ROWS_PER_TREE) -> pd.DataFrame:
-    """The forest's node table: at most ``trees * (2 * per_tree - 1)`` rows."""
-    per_tree = min(per_tree, n)
-    limit = max(1, math.ceil(math.log2(per_tree)))
-    names = list(features)
+def _hash(*parts: Column | str | int) -> Column:
+    return F.md5(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
+
 
-    def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        tree = int(rows["tree"].iloc[0])
-        rows = rows.sort_values("_id")
-        grown = _grow(rows[names].to_numpy(dtype=float), np.random.default_rng([SEED, tree]), limit)
-        return pd.DataFrame([(tree, *node) for node in grown], columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
+def _uniform(*parts: str | int) -> float:
+    """A number in [0, 1): the first 52 bits of a hash."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16) / (1 << 52)
 
-    dealt = _deal(points.select("_id", *names), n, trees, per_tree)
-    return dealt.groupBy("tree").applyInPandas(grow, _NODES).toPandas()
+
+def pool(points: DataFrame, features: Sequence[str], n: int, size: int) -> DataFrame:
+    """The ``size`` rows with the smallest hashes of their names (all, if fewer), with ``_copy`` numbering rows that are equal.
+
+    Only rows below a bound are counted; the bound starts where twice as many
+    rows as needed are expected, and rises until there are enough, so that
+    rows that repeat neither crowd others out nor leave the pool short. Equal
+    rows are one row with a count before anything is shuffled.
+    """
+    columns = ["_id", *features]
+    hashed = points.select(_hash(SEED, F.col("_id")).alias("_h"), *columns)
+    share = 2.0 * size / max(n, 1)
+    while True:
+        near = hashed.filter(F.col("_h") < f"{int(share * 16**13):013x}") if share < 1 else hashed
+        counted = materialise(near.groupBy("_h", *columns).agg(F.count("*").alias("_n")))
+        if share >= 1 or (counted.agg(F.sum("_n")).first()[0] or 0) >= size:
+            break
+        share *= 8
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_h", *columns).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = counted.withColumn("_left", size - before).filter("_left > 0")
+    return kept.select(*columns, F.explode(F.sequence(F.lit(1), F.least("_n", "_left").cast("int"))).alias("_copy"))
+
+
+def dealt(points: DataFrame, features: Sequence[str], n: int, trees: int, per_tree: int) -> DataFrame:
+    """(tree, _x): for each tree the rows of the common pool of ``trees * per_tree`` with the smallest hashes of tree and row."""
+    drawn = pool(points, features, n, trees * per_tree).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    order = [_hash(F.col("tree"), F.col("_id"), F.col("_copy")), F.col("_id"), *map(F.col, features), F.col("_copy")]
+    ranked = drawn.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy(*order)))
+    return ranked.filter(F.col("_r") <= per_tree).select("tree", F.array(*features).alias("_x"))
 
 
-def score(rows: DataFrame, features: Sequence[str], nodes: pd.DataFrame, per_tree: int, n: int) -> DataFrame:
+def fit(points: DataFrame, features: Sequence[str], n: int, trees: int = TREES, per_tree: int = ROWS_PER_TREE) -> pd.DataFrame:
+    """The forest's node table (tree, node, feature, threshold, rows, depth): at most ``trees * (2 * per_tree - 1)`` rows.
+
+    The children of node k are 2k and 2k + 1; leaves have feature -1. A round
+    per level counts rows and ranges of all open nodes of all trees; a node's
+    feature and cut follow from its ranges and a hash, and rows move on by a
+    join with these cuts, at most one per drawn row.
+    """
+    per_tree = min(per_tree, n)
+    limit, d = levels(per_tree), len(features)
+    x, nodes = F.col("_x"), []
+    rounds = [dealt(points, features, n, trees, per_tree).withColumn("node", F.lit(1)).persist()]
+    try:
+        for depth in range(limit + 1):
+            ranges = [f(x[i]).alias(f"{f.__name__}{i}") for i in range(d) for f in (F.min, F.max)]
+            cuts = []
+            for tree, node, count, *ends in rounds[-1].groupBy("tree", "node").agg(F.count("*").alias("n"), *ranges).collect():
+                can = [i for i in range(d) if ends[2 * i + 1] > ends[2 * i]]
+                if depth == limit or count <= 1 or not can:
+                    nodes.append((tree, node, -1, 0.0, count, depth))
+                    continue
+                feature = can[int(_uniform(SEED, "feature", tree, node) * len(can))]
+                low, high = ends[2 * feature : 2 * feature + 2]
+                cut = low + _uniform(SEED, "cut", tree, node) * (high - low)
+                cuts.append((tree, node, feature, cut if cut < high else low))  # the sum may round up to the upper end
+                nodes.append((*cuts[-1], count, depth))
+            if not cuts:
+                break
+            known = F.broadcast(small_frame(points.sparkSession, cuts, "tree int, node int, feature int, threshold double"))
+            child = 2 * F.col("node") + (F.get("_x", F.col("feature")) > F.col("threshold")).cast("int")
+            rounds.append(rounds[-1].join(known, ["tree", "node"]).select("tree", "_x", child.alias("node")).persist())
+    finally:
+        for r in rounds:
+            r.unpersist()
+    return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "rows", "depth"])
+
+
+def score(rows: DataFrame, features: Sequence[str], nodes: pd.DataFrame, per_tree: int, n: int, trees: int = TREES) -> DataFrame:
     """Add ``raw``: 2 ** (-mean path / expected path), nearer 1 for easily isolated rows."""
-    names = list(features)
-    forest = []
-    for _, tree in nodes.sort_values("node").groupby("tree"):
-        forest.append(tuple(tree[c].to_numpy() for c in ("feature", "threshold", "left", "right", "path")))
-    shared = rows.sparkSession.sparkContext.broadcast(forest)
-    expected = mean_path(per_tree)
-    depth = max(1, math.ceil(math.log2(max(per_tree, 2))))
+    names, depth = list(features), levels(per_tree)
+    shape = (trees, 2 << depth)
+    feature, threshold, path = np.full(shape, -1), np.zeros(shape), np.zeros(shape, dtype=np.int64)
+    at = (nodes["tree"].to_numpy(), nodes["node"].to_numpy())
+    feature[at], threshold[at] = nodes["feature"], nodes["threshold"]
+    path[at] = [round((d + mean_path(k)) * PATH_UNIT) for d, k in zip(nodes["depth"], nodes["rows"])]
+    shared = rows.sparkSession.sparkContext.broadcast((feature, threshold, path))
+    expected = mean_path(per_tree) * PATH_UNIT * trees
 
     def add_score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = batch[names].to_numpy(dtype=float)
             at_row = np.arange(len(x))
-            total = np.zeros(len(x))
-            for feature, threshold, left, right, path in shared.value:
-                node = np.zeros(len(x), dtype=int)
+            total = np.zeros(len(x), dtype=np.int64)
+            for own, cuts, paths in zip(*shared.value):
+                node = np.ones(len(x), dtype=np.int64)
                 for _ in range(depth):
-                    f = feature[node]
-                    step = np.where(x[at_row, np.maximum(f, 0)] <= threshold[node], left[node], right[node])
-                    node = np.where(f < 0, node, step)
-                total += path[node]
-            yield batch.assign(raw=np.power(2.0, -total / (len(shared.value) * expected)))
+                    f = own[node]
+                    node = np.where(f < 0, node, 2 * node + (x[at_row, np.maximum(f, 0)] > cuts[node]))
+                total += paths[node]
+            yield batch.assign(raw=np.power(2.0, -total / expected))
 
     spark = rows.sparkSession
     if n <= SPREAD_BELOW:  # a small table may sit in one file; scoring is the costly part
@@ -141,11 +168,12 @@ def score(rows: DataFrame, features: Sequence[str], nodes: pd.DataFrame, per_tre
 
 def detect_isolation_forest(
     df: DataFrame, metrics: Sequence[str], keys: Sequence[str], entity: str | None = None,
-    contamination: float = CONTAMINATION,
+    contamination: float = CONTAMINATION, trees: int = TREES, per_tree: int = ROWS_PER_TREE,
 ) -> DataFrame:
     """The ``contamination`` share of rows that are isolated most easily over all metrics.
 
-    Value, range and deviation are reported for the first metric.
+    Value, range and deviation are reported for the first metric. The forest
+    has ``trees`` trees of ``per_tree`` rows, drawn from all rows by hash.
     """
     metrics = [m for m in metrics if m in C.numeric_columns(df)]
     features = [f"_x{i}" for i in range(len(metrics))]
@@ -164,10 +192,11 @@ def detect_isolation_forest(
         contamination = max(1.0 / n, MIN_CONTAMINATION)
     contamination = min(contamination, MAX_CONTAMINATION)
 
-    nodes = fit(rows.withColumnRenamed("row_id", "_id"), features, n)
+    per_tree = min(per_tree, n)
+    nodes = fit(rows.withColumnRenamed("row_id", "_id"), features, n, trees, per_tree)
     # written once: the threshold and the detections must see the same scores
     scored = materialise(
-        score(rows, features, nodes, min(ROWS_PER_TREE, n), n).select("row_id", "entity", F.col("_x0").alias("v"), "raw")
+        score(rows, features, nodes, per_tree, n, trees).select("row_id", "entity", F.col("_x0").alias("v"), "raw")
     )
     threshold = exact_quantiles(scored, F.col("raw"), (1 - contamination,))[1 - contamination]
     margin = F.col("raw") - threshold

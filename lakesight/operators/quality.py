@@ -9,6 +9,7 @@ table as well.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from lakesight.functions import columns as C
 from lakesight.functions.grading import CRITICAL, HIGH, LOW, MEDIUM, SEVERITIES, grade
 from lakesight.functions.summary import summarise
-from lakesight.session import small_frame
+from lakesight.session import side_by_side, small_frame
 
 # Name fragments, thresholds and penalty points of the built-in rules.
 POSITIVE_NAMES = ("price", "amount", "cost", "quantity", "inventory", "stock", "revenue", "salary")
@@ -312,14 +313,20 @@ def evaluate_database(
     A table that cannot be read is listed with score 100 and its error.
     """
     keys = primary_keys or {}
-    found, errors = None, []
-    for name, df in tables.items():
+
+    def one(name: str, df: DataFrame) -> DataFrame | str:
         try:
-            one = evaluate_table(df, name, keys.get(name, ()), rules, with_samples=with_samples)
+            return evaluate_table(df, name, keys.get(name, ()), rules, with_samples=with_samples)
         except Exception as error:  # noqa: BLE001 - one bad table must not hide the others
-            errors.append((name, str(error)))
-            continue
-        found = one if found is None else found.unionByName(one)
+            return str(error)
+
+    spark = next(iter(tables.values())).sparkSession
+    results = dict(zip(tables, side_by_side(spark, [partial(one, name, df) for name, df in tables.items()])))
+    errors = [(name, r) for name, r in results.items() if isinstance(r, str)]
+    found = None
+    for r in results.values():
+        if not isinstance(r, str):
+            found = r if found is None else found.unionByName(r)
     if found is None:
         raise ValueError(f"no table could be read: {errors}")
     failed = {name for name, _ in errors}

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 
 def build_session(app: str = "lakesight", master: str | None = None, **settings: str) -> SparkSession:
@@ -61,3 +64,9 @@ def small_frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructTy
         schema = T.StructType.fromDDL(schema)
     columns = list(zip(*rows)) if rows else [()] * len(schema)
     return spark.createDataFrame(pa.table({f.name: list(c) for f, c in zip(schema, columns)}), schema)
+
+
+def side_by_side(spark: SparkSession, steps: Sequence[Callable], at_once: int = 4) -> list:
+    """Results of the steps, in their order; a few at a time send their jobs to Spark, which shares out its cores among them."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(lambda step: inheritable_thread_target(spark)(step)(), steps))

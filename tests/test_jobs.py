@@ -41,7 +41,7 @@ def test_drift_snapshots_and_history(spark, table, tmp_path):
     before = catalog(table)
     assert jobs.drift_snapshot({"sales": before}, store) == {"snapshots": 2, "baselines": 2}
     assert jobs.drift_snapshot({"sales": before}, store, only_table="orders") == {"snapshots": 2, "baselines": 1}
-    assert spark.read.parquet(f"{store}/baselines/statistics").groupBy("database_name", "table_name", "column_name").count().filter("count > 1").count() == 0
+    assert sinks.read_baselines(spark, f"{store}/baselines").groupBy("database_name", "table_name", "column_name").count().filter("count > 1").count() == 0
     after = {"orders": TableInfo(table("orders").drop("o_custkey"), ["o_orderkey"])}
     got = {r.table_name: (r.status, r.severity) for r in detect_schema_drift(
         snapshot(after, "sales", 3), sinks.read_history(spark, f"{store}/schemas")).collect()}
