@@ -39,6 +39,14 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}".lower() in taken:
+        name = f"_{name}"
+    return f"_{name}"
+
+
 def extended(df: DataFrame, fields: str) -> T.StructType:
     """Schema of ``df`` with further fields."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])

@@ -1,10 +1,11 @@
-"""Cuckoo filters: sets of 64-bit hashes with insertion and deletion, as arrays of 16-bit marks."""
+"""Cuckoo filters: sets of 64-bit hashes with insertion and deletion, as arrays of marks of up to 16 bits."""
 
 from __future__ import annotations
 
 import numpy as np
 
 SLOTS = 4
+MARK_BITS = 16
 MAX_LOAD = 0.8
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -18,19 +19,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class CuckooFilter:
     """A key's mark lies in one of two buckets; either follows from the other and the mark, so it can be moved or removed."""
 
-    def __init__(self, buckets: int):
+    def __init__(self, buckets: int, mark_bits: int = MARK_BITS):
+        self.mark_bits = mark_bits
         self.table = np.zeros((buckets, SLOTS), dtype=np.uint16)  # 0: free; the number of buckets is a power of two
 
     @classmethod
-    def for_keys(cls, number: int) -> CuckooFilter:
+    def for_keys(cls, number: int, mark_bits: int = MARK_BITS) -> CuckooFilter:
         buckets = 4
         while buckets * SLOTS * MAX_LOAD < number:
             buckets *= 2
-        return cls(buckets)
+        return cls(buckets, mark_bits)
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> CuckooFilter:
-        out = cls(0)
+    def from_bytes(cls, data: bytes, mark_bits: int = MARK_BITS) -> CuckooFilter:
+        out = cls(0, mark_bits)
         out.table = np.frombuffer(data, dtype="<u2").reshape(-1, SLOTS).copy()
         return out
 
@@ -45,7 +47,7 @@ class CuckooFilter:
 
     def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = _mixed(keys.astype(np.uint64))
-        mark = (keys >> np.uint64(48)).astype(np.uint16)
+        mark = (keys >> np.uint64(64 - self.mark_bits)).astype(np.uint16)
         mark[mark == 0] = 1
         return (keys & np.uint64(len(self.table) - 1)).astype(np.int64), mark
 
@@ -53,7 +55,7 @@ class CuckooFilter:
         return bucket ^ (_mixed(mark.astype(np.uint64)) & np.uint64(len(self.table) - 1)).astype(np.int64)
 
     def contains(self, keys: np.ndarray) -> np.ndarray:
-        """True for every key inserted; wrongly true for about one other key in 8,000."""
+        """True for every key inserted; wrongly true for about one other key in 8,000 with marks of 16 bits."""
         bucket, mark = self._places(keys)
         here, there = self.table[bucket], self.table[self._other(bucket, mark)]
         return ((here == mark[:, None]) | (there == mark[:, None])).any(axis=1)
@@ -97,11 +99,13 @@ class CuckooFilter:
         return False
 
     def remove(self, keys: np.ndarray) -> None:
-        """Remove keys that were inserted, one mark each."""
+        """Remove keys that were inserted, one mark each. A key without a mark is an error, and no other mark goes for it."""
         bucket, mark = self._places(keys)
         while len(bucket):
             other = self._other(bucket, mark)
             where = np.where((self.table[bucket] == mark[:, None]).any(axis=1), bucket, other)
+            if not (self.table[where] == mark[:, None]).any(axis=1).all():
+                raise KeyError("a key to be removed has no mark")
             slot = np.argmax(self.table[where] == mark[:, None], axis=1)
             # equal marks of one bucket go one after the other
             _, one = np.unique(where * 65536 + mark, return_index=True)

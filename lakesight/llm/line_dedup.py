@@ -8,8 +8,10 @@ State in one folder per version, all in Parquet:
 
 Adding documents asks each shard's filter about the new keys. A key that the
 filter does not know is new for certain and is appended; only the others are
-joined with the exact counts. Removing documents lowers the counts, and a key
-that no document holds any more leaves its filter.
+joined with the exact counts, and those that the filter knew wrongly get marks
+of their own. So there is one mark for each key of the counts, and removing
+documents lowers the counts and takes the mark of a key that no document holds
+any more, and no other's. Shards are dealt anew when they outgrow their bound.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesight.llm.common import extended, with_package, without
-from lakesight.llm.cuckoo import CuckooFilter
+from lakesight.llm.common import extended, unused, with_package, without
+from lakesight.llm.cuckoo import MARK_BITS, CuckooFilter
 from lakesight.session import materialise, small_frame
 
 MIN_CHARS = 20
@@ -66,50 +68,84 @@ def references(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     return with_package(source).mapInArrow(mapped, REFS).distinct()
 
 
-def _updated(shard: tuple, delta: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+def _hashes(keys: pd.DataFrame) -> np.ndarray:
+    return keys["hi"].to_numpy().view(np.uint64) ^ (keys["lo"].to_numpy().view(np.uint64) << np.uint64(1))
+
+
+def _asked(mark_bits: int):
     """One shard: which of the new keys its filter knows, and the filter with the others added."""
-    keys = delta["hi"].to_numpy().view(np.uint64) ^ (delta["lo"].to_numpy().view(np.uint64) << np.uint64(1))
-    old = CuckooFilter.from_bytes(state["filter"].iloc[0]) if len(state) else CuckooFilter.for_keys(max(1, len(keys)))
-    seen = old.contains(keys) if len(state) else np.zeros(len(keys), dtype=bool)
-    full = not old.room(int((~seen).sum())) or not old.insert(keys[~seen])
-    rows = delta.assign(seen=seen, full=full, filter=None)
-    if full:  # grown from the exact counts afterwards
-        return rows
-    last = pd.DataFrame({"shard": [int(shard[0])], "hi": [0], "lo": [0], "n": [0], "top": [None], "seen": [False], "full": [False], "filter": [old.to_bytes()]})
-    return pd.concat([rows, last]).astype({"top": "Int64"}) if len(rows) else last
-
-
-def _built(shard: tuple, keys: pd.DataFrame) -> pd.DataFrame:
-    values = keys["hi"].to_numpy().view(np.uint64) ^ (keys["lo"].to_numpy().view(np.uint64) << np.uint64(1))
-    number = len(values)
-    while True:
-        built = CuckooFilter.for_keys(2 * number)
-        if built.insert(values):
-            return pd.DataFrame({"shard": [int(shard[0])], "filter": [built.to_bytes()]})
-        number *= 2
+    def updated(shard: tuple, delta: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        keys = _hashes(delta)
+        old = CuckooFilter.from_bytes(state["filter"].iloc[0], mark_bits) if len(state) else CuckooFilter.for_keys(max(1, len(keys)), mark_bits)
+        seen = old.contains(keys) if len(state) else np.zeros(len(keys), dtype=bool)
+        full = not old.room(int((~seen).sum())) or not old.insert(keys[~seen])
+        rows = delta.assign(seen=seen, full=full, filter=None)
+        if full:  # grown from the exact counts afterwards
+            return rows
+        last = pd.DataFrame({"shard": [int(shard[0])], "hi": [0], "lo": [0], "n": [0], "top": [None], "seen": [False], "full": [False], "filter": [old.to_bytes()]})
+        return pd.concat([rows, last]).astype({"top": "Int64"}) if len(rows) else last
+
+    return updated
+
+
+def _marked(mark_bits: int):
+    """One shard: its filter with marks for further keys; null if there is no room."""
+    def marked(shard: tuple, keys: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        found = [None] * len(state)
+        if len(state):
+            old = CuckooFilter.from_bytes(state["filter"].iloc[0], mark_bits)
+            if not len(keys) or (old.room(len(keys)) and old.insert(_hashes(keys))):
+                found = [old.to_bytes()]
+        return pd.DataFrame({"shard": [int(shard[0])] * len(found), "filter": found})
+
+    return marked
+
+
+def _built(mark_bits: int):
+    """One shard: a filter of all its keys."""
+    def built(shard: tuple, keys: pd.DataFrame) -> pd.DataFrame:
+        number = len(keys)
+        while True:
+            new = CuckooFilter.for_keys(2 * number, mark_bits)
+            if new.insert(_hashes(keys)):
+                return pd.DataFrame({"shard": [int(shard[0])], "filter": [new.to_bytes()]})
+            number *= 2
+
+    return built
 
 
 class LineIndex:
     """State of the line dedup; every change gives a new index and leaves the old one as it was."""
 
-    def __init__(self, refs: DataFrame, counts: DataFrame, filters: DataFrame, shards: int):
+    def __init__(self, refs: DataFrame, counts: DataFrame, filters: DataFrame, shards: int, shard_keys: int = SHARD_KEYS, mark_bits: int = MARK_BITS):
         self.refs, self.counts, self.filters, self.shards = refs, counts, filters, shards
+        self.shard_keys, self.mark_bits = shard_keys, mark_bits
 
     @classmethod
-    def empty(cls, spark: SparkSession, shards: int) -> LineIndex:
-        """``shards`` bounds what one task holds: choose expected keys / ``SHARD_KEYS``."""
+    def empty(cls, spark: SparkSession, shards: int, shard_keys: int = SHARD_KEYS, mark_bits: int = MARK_BITS) -> LineIndex:
+        """``shard_keys`` bounds what one task holds: the index gets more shards when they have more keys than that on average."""
         frame = lambda schema: small_frame(spark, [], schema)
-        return cls(frame(REFS), frame(COUNTS), frame(FILTERS), shards)
+        return cls(frame(REFS), frame(COUNTS), frame(FILTERS), shards, shard_keys, mark_bits)
+
+    def _like(self, refs: DataFrame, counts: DataFrame, filters: DataFrame, shards: int | None = None) -> LineIndex:
+        return LineIndex(refs, counts, filters, shards or self.shards, self.shard_keys, self.mark_bits)
 
     def _shard(self):
         return F.pmod(F.xxhash64("hi"), F.lit(self.shards)).cast("int").alias("shard")
 
+    def dealt_anew(self, shards: int) -> LineIndex:
+        """The same index in another number of shards."""
+        moved = self._like(self.refs, self.counts, self.filters, shards)
+        counts = materialise(self.counts.select(moved._shard(), *KEY, "n", "top"))
+        filters = with_package(counts).groupBy("shard").applyInPandas(_built(self.mark_bits), FILTERS)
+        return moved._like(self.refs, counts, materialise(filters))
+
     def add(self, refs: DataFrame) -> LineIndex:
         """Index with the references of further documents; references that it has already change nothing."""
         refs = materialise(refs.join(self.refs, [*KEY, "doc_id"], "left_anti"))
         delta = refs.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).select(self._shard(), *KEY, "n", "top")
         asked = materialise(with_package(delta).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(
-            _updated, f"{COUNTS}, seen boolean, full boolean, filter binary"))
+            _asked(self.mark_bits), f"{COUNTS}, seen boolean, full boolean, filter binary"))
         new = asked.where("filter IS NULL")
         known = new.where("seen").select("hi", "lo", F.col("n").alias("more"), F.col("top").alias("higher"))
         counts = (
@@ -119,10 +155,18 @@ class LineIndex:
             .unionByName(new.where("not seen").select("shard", *KEY, "n", "top"))
         )
         counts = materialise(counts)
-        full = new.where("full").select("shard").distinct()
-        grown = with_package(counts).join(full, "shard").groupBy("shard").applyInPandas(_built, "shard int, filter binary")
-        filters = asked.where("filter IS NOT NULL").select("shard", "filter").unionByName(grown)
-        return LineIndex(materialise(self.refs.unionByName(refs)), counts, materialise(filters), self.shards)
+        filters = asked.where("filter IS NOT NULL").select("shard", "filter")
+        unmarked = materialise(new.where("seen").select("shard", *KEY).join(self.counts.select(*KEY), KEY, "left_anti"))
+        if not unmarked.isEmpty():  # keys that a filter knew wrongly
+            filters = materialise(with_package(unmarked).groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_marked(self.mark_bits), FILTERS))
+        full = new.where("full").select("shard").unionByName(filters.where("filter IS NULL").select("shard")).distinct()
+        grown = with_package(counts).join(full, "shard").groupBy("shard").applyInPandas(_built(self.mark_bits), FILTERS)
+        filters = materialise(filters.where("filter IS NOT NULL").unionByName(grown))
+        index = self._like(materialise(self.refs.unionByName(refs)), counts, filters)
+        number, shards = counts.count(), self.shards
+        while number > shards * self.shard_keys:
+            shards *= 2
+        return index if shards == self.shards else index.dealt_anew(shards)
 
     def remove(self, ids: DataFrame) -> LineIndex:
         """Index without the documents of ``ids`` (one column)."""
@@ -133,14 +177,15 @@ class LineIndex:
         left = materialise(left)
         counts = materialise(self.counts.join(gone, KEY, "left_anti").unionByName(left))
         dropped = gone.join(left, KEY, "left_anti").select(self._shard(), *KEY)
+        mark_bits = self.mark_bits
 
         def without_keys(shard: tuple, keys: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-            kept = CuckooFilter.from_bytes(state["filter"].iloc[0])
-            kept.remove(keys["hi"].to_numpy().view(np.uint64) ^ (keys["lo"].to_numpy().view(np.uint64) << np.uint64(1)))
+            kept = CuckooFilter.from_bytes(state["filter"].iloc[0], mark_bits)
+            kept.remove(_hashes(keys))
             return pd.DataFrame({"shard": [int(shard[0])], "filter": [kept.to_bytes()]})
 
-        filters = with_package(dropped).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(without_keys, "shard int, filter binary")
-        return LineIndex(refs, counts, materialise(filters), self.shards)
+        filters = with_package(dropped).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(without_keys, FILTERS)
+        return self._like(refs, counts, materialise(filters))
 
     def dropped_keys(self) -> DataFrame:
         """(doc_id, keys): for each document the keys whose lines it loses, as 16-byte hashes in one binary."""
@@ -159,14 +204,15 @@ def dedup(docs: DataFrame, index: LineIndex, id: str = "doc_id", text: str = "te
     """
     names = ["n_lines", "n_dropped", "kept_text"]
     docs = without(docs, names)
-    keys = index.dropped_keys().select(F.col("doc_id").alias("_doc"), F.col("keys").alias("_keys"))
-    joined = docs.join(keys, F.col(f"`{id}`") == F.col("_doc"), "left").drop("_doc")
     schema, given = extended(docs, "n_lines long, n_dropped long, kept_text string"), docs.columns
+    owner, lost_keys = unused(docs, "doc"), unused(docs, "keys")
+    keys = index.dropped_keys().select(F.col("doc_id").alias(owner), F.col("keys").alias(lost_keys))
+    joined = docs.join(keys, F.col(f"`{id}`") == F.col(owner), "left").drop(owner)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counted, lost, left = [], [], []
-            for content, keys in zip(batch.column(text).to_pylist(), batch.column("_keys").to_pylist()):
+            for content, keys in zip(batch.column(text).to_pylist(), batch.column(lost_keys).to_pylist()):
                 lines = _lines(content)
                 drop = {np.array([k["hi"], k["lo"]], dtype=">i8").tobytes() for k in keys or ()}
                 kept = [line for line in lines if line_key(line) not in drop] if drop else lines

@@ -98,10 +98,13 @@ _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+URL_LEVELS = 12  # SQL needs a fixed number; it is the same tree as long as no deeper node has MIN_SUPPORT pages
+
+
 def _url_levels() -> str:
     """The template tree, one group of steps per level."""
     out = []
-    for i in range(url_filter.MAX_DEPTH):
+    for i in range(URL_LEVELS):
         out.append(f"""
   c{i} AS (SELECT host, template, segs[{i + 1}] AS seg, sum(n) AS n, sum(labelled) AS l, sum(blocked) AS b
       FROM t{i} WHERE len(segs) > {i} GROUP BY ALL),
@@ -110,7 +113,7 @@ def _url_levels() -> str:
         pow(c.b / c.l - (p.b - c.b) / (p.l - c.l), 2) > {url_filter.CRITICAL} * (p.b / p.l * (1 - p.b / p.l) * (1 / c.l + 1 / (p.l - c.l)))
         THEN seg ELSE '~' END AS branch
       FROM c{i} c JOIN p{i} p ON c.host = p.host AND c.template = p.template
-      WHERE c.n >= {url_filter.MIN_SUPPORT} AND c.n >= {url_filter.MIN_SHARE} * p.n),
+      WHERE c.n >= {url_filter.MIN_SUPPORT}),
   t{i + 1} AS (SELECT t.* EXCLUDE (template), CASE WHEN len(segs) > {i} THEN t.template || '/' || coalesce(branch, {_wildcard(f'segs[{i + 1}]')})
         ELSE t.template END AS template
       FROM t{i} t LEFT JOIN b{i} b ON t.host = b.host AND t.template = b.template AND segs[{i + 1}] = seg),""")
@@ -192,11 +195,13 @@ SELECT doc_id, sum(z - a) FILTER (kind = 'spans')::BIGINT AS n_repeated, coalesc
   v AS (SELECT *, {_rule_case(lambda r: r.text)} AS rule, {_rule_case(lambda r: 'allow' if r.allow else 'block')} AS judged FROM h),
   t0 AS (SELECT host, path, count(*)::DOUBLE AS n, count(judged)::DOUBLE AS labelled, count(*) FILTER (judged = 'block')::DOUBLE AS blocked,
       CASE WHEN path = '' THEN [] ELSE string_split(regexp_replace(path, '^/', ''), '/') END AS segs, '' AS template FROM v GROUP BY host, path),{_url_levels()}
-  t AS (SELECT host, path, labelled, blocked, CASE WHEN len(segs) > {url_filter.MAX_DEPTH} THEN template || '/**' ELSE template END AS template
-      FROM t{url_filter.MAX_DEPTH}),
+  t AS (SELECT host, path, labelled, blocked, CASE WHEN len(segs) > {URL_LEVELS}
+        THEN template || array_to_string(list_transform(segs[{URL_LEVELS + 1}:], lambda g: '/' || {_wildcard('g')}), '') ELSE template END AS template
+      FROM t{URL_LEVELS}),
   s AS (SELECT host, template, sum(labelled) AS l, sum(blocked) AS b FROM t GROUP BY ALL),
   o AS (SELECT CASE WHEN sum(l) > 0 THEN sum(b) / sum(l) ELSE 0 END AS overall FROM s),
-  hs AS (SELECT host, (sum(b) + {url_filter.SMOOTHING} * any_value(overall)) / (sum(l) + {url_filter.SMOOTHING}) AS share FROM s, o GROUP BY host),
+  hs AS (SELECT host, least((sum(b) + {url_filter.SMOOTHING} * any_value(overall)) / (sum(l) + {url_filter.SMOOTHING}), {url_filter.REJECT_ABOVE}) AS share
+      FROM s, o GROUP BY host),
   pu AS (SELECT host, template, (b + {url_filter.SMOOTHING} * share) / (l + {url_filter.SMOOTHING}) AS purity FROM s JOIN hs USING (host))
 SELECT page_id, v.host, v.path, rule, coalesce(judged, CASE WHEN purity > {url_filter.REJECT_ABOVE} THEN 'block' ELSE 'allow' END) AS verdict, t.template
 FROM v JOIN t ON v.host = t.host AND v.path = t.path JOIN pu ON pu.host = t.host AND pu.template = t.template""",

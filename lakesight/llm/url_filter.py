@@ -1,10 +1,12 @@
 """URL filter: explicit rules first, then a path-template tree per host (DataFrame functions only).
 
-The tree is grown level by level over distinct (host, path) rows. A segment
-stays literal below its parent if it has MIN_SUPPORT pages there, however small
-its part of them, else it becomes a wildcard of its shape. Literal siblings whose labelled shares of blocked pages
-do not differ significantly from the rest of their parent are merged into one
-branch. A template is rejected if its share of blocked pages, smoothed towards
+The tree is grown level by level over distinct (host, path) rows, as deep as
+any node has MIN_SUPPORT pages; below smaller nodes no segment can be told
+apart, so the rest of their paths is generalised at once. A segment stays literal below
+its parent if it has MIN_SUPPORT pages there, however small its part of them,
+else it becomes a wildcard of its shape. Literal siblings whose labelled shares
+of blocked pages do not differ significantly from the rest of their parent are
+merged into one branch. A template is rejected if its share of blocked pages, smoothed towards
 its host's and the whole table's, is above one half; the smoothing alone never
 rejects, so most of a rejected template's own labels are blocks. The rules'
 verdicts are the labels.
@@ -20,9 +22,7 @@ from pyspark.sql import functions as F
 from lakesight.llm.common import ascii_lower, without
 from lakesight.session import materialise
 
-MAX_DEPTH = 8  # deeper segments belong to the template's open end
 MIN_SUPPORT = 10
-MIN_SHARE = 0.05  # a cut of the SQL in queries.py only; the tree has none
 CRITICAL = 3.84  # chi-square at 5 %, one degree of freedom
 SMOOTHING = 10.0
 REJECT_ABOVE = 0.5
@@ -68,6 +68,12 @@ def wildcard(segment: Column) -> Column:
     return F.concat(kind, extension)
 
 
+def _rest(level: int) -> Column:
+    """The segments from ``level`` on as wildcards, each after a slash."""
+    left = F.slice("segments", F.lit(level + 1), F.greatest(F.size("segments") - level, F.lit(0)))
+    return F.array_join(F.concat(F.array(F.lit("")), F.transform(left, wildcard)), "/")
+
+
 def _level(paths: DataFrame, level: int) -> DataFrame:
     """``paths`` with the template one segment longer."""
     t = paths.withColumn("_segment", F.get("segments", F.lit(level)))
@@ -91,17 +97,24 @@ def _level(paths: DataFrame, level: int) -> DataFrame:
     return joined.withColumn("template", F.when(F.col("_segment").isNull(), F.col("template")).otherwise(step)).drop("_segment", "_branch")
 
 
-def templates(parsed: DataFrame) -> DataFrame:
-    """(host, path, template, purity) for the distinct hosts and paths of ``parsed`` (host, path, verdict of a rule or null)."""
+def templates(parsed: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(host, path, template, purity) for the distinct hosts and paths of ``parsed`` (host, path, verdict of a rule or null).
+
+    ``max_depth`` ends the tree at that level, with wildcards below; without it the data alone do.
+    """
     paths = parsed.groupBy("host", "path").agg(
         F.count("*").alias("n"), F.count("verdict").alias("labelled"), F.count(F.when(F.col("verdict") == "block", 1)).alias("blocked"))
     segments = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(
         F.split(F.regexp_replace("path", "^/", ""), "/", -1))
     paths = materialise(paths.withColumn("segments", segments).withColumn("template", F.lit("")))
-    depth = paths.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(min(depth, MAX_DEPTH)):
+    level = 0
+    while level != max_depth:
+        nodes = paths.where(F.size("segments") > level).groupBy("host", "template").agg(F.sum("n").alias("n"))
+        if nodes.where(F.col("n") >= MIN_SUPPORT).isEmpty():
+            break
         paths = materialise(_level(paths, level))
-    paths = paths.withColumn("template", F.when(F.size("segments") > MAX_DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+        level += 1
+    paths = paths.withColumn("template", F.concat("template", _rest(level)))
     by_template = materialise(paths.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")))
     everywhere = by_template.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
     overall = everywhere[1] / everywhere[0] if everywhere[0] else 0.0
@@ -114,7 +127,7 @@ def templates(parsed: DataFrame) -> DataFrame:
     return paths.select("host", "path", "template").join(judged, ["host", "template"])
 
 
-def filter_urls(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, max_depth: int | None = None) -> DataFrame:
     """``pages`` with host, path, rule, template, purity and verdict (allow or block).
 
     Defined cases: a null url or one without ``://`` has an empty host and path
@@ -123,8 +136,10 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RU
     result are replaced.
     """
     host, path = host_and_path(F.col(f"`{url}`"))
-    kept = without(pages, [c for c in RESULT if c != url])
-    parsed = with_rules(kept.withColumn("_h", host).withColumn("_p", path).withColumnsRenamed({"_h": "host", "_p": "path"}), rules)
-    judged = templates(parsed.select("host", "path", "verdict"))
+    given = pages.select(F.struct(*[F.col(f"`{c}`") for c in without(pages, [c for c in RESULT if c != url]).columns]).alias("given"),
+                         host.alias("host"), path.alias("path"))
+    parsed = with_rules(given, rules)
+    judged = templates(parsed.select("host", "path", "verdict"), max_depth)
     by_tree = F.when(F.col("purity") > REJECT_ABOVE, "block").otherwise("allow")
-    return parsed.join(judged, ["host", "path"]).withColumn("verdict", F.coalesce("verdict", by_tree))
+    joined = parsed.join(judged, ["host", "path"])
+    return joined.select("given.*", "host", "path", "rule", "template", "purity", F.coalesce("verdict", by_tree).alias("verdict"))
