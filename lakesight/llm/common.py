@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -39,12 +41,35 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` does not have, in any case."""
-    taken = {c.lower() for c in df.columns}
-    while f"_{name}".lower() in taken:
-        name = f"_{name}"
-    return f"_{name}"
+def own_names(results: list[str], *columns: str) -> Callable:
+    """Decorate an operator on a table so that no input column meets a name it uses inside.
+
+    All columns of the first argument get plain names while the operator works,
+    and their own again in its result. ``columns`` are the arguments that name
+    columns; input columns named like one of ``results`` are replaced by it.
+    """
+    taken = {r.lower() for r in results}
+
+    def decorated(operator: Callable) -> Callable:
+        signature = inspect.signature(operator)
+
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            bound = signature.bind(docs, *args, **kwargs)
+            bound.apply_defaults()
+            inner = {name: f"__in{i}__" for i, name in enumerate(docs.columns)}
+            by_lower = {name.lower(): alias for name, alias in inner.items()}
+            bound.arguments[next(iter(signature.parameters))] = docs.toDF(*inner.values())
+            for c in columns:
+                bound.arguments[c] = inner.get(bound.arguments[c]) or by_lower[bound.arguments[c].lower()]
+            found = operator(*bound.args, **bound.kwargs)
+            given = {alias: name for name, alias in inner.items()}
+            return found.select(*[
+                F.col(f"`{c}`").alias(given.get(c, c)) for c in found.columns if c not in given or given[c].lower() not in taken])
+
+        return run
+
+    return decorated
 
 
 def extended(df: DataFrame, fields: str) -> T.StructType:

@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesight.llm.common import extended, slices, texts, with_package, without
+from lakesight.llm.common import extended, own_names, slices, texts, with_package, without
 from lakesight.llm.fm_index import FmIndex
+from lakesight.session import materialise
 
 WINDOW = 13
 MIN_PERCENT = 5  # 20 * n_hit >= n_words
 SHARD_WORDS = 1 << 20
-BLOCK_BYTES = 32 << 20  # test texts that one pass brings to the tasks
+BLOCK_BYTES = 8 << 20  # test texts that one pass brings to the driver and the tasks
 RESULT = "n_words long, n_hit long, items array<long>, spans array<struct<first:long,last:long>>"
 COLUMNS = ["n_words", "n_hit", "items", "spans", "contaminated", "clean_text"]
 # letters and digits of ASCII and all bytes of other characters make words; A-Z are lower-cased
@@ -170,19 +171,13 @@ def _searcher(phrases: Phrases, text: str, window: int, shard_words: int):
     return mapped
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[Phrases]:
-    """The test items in blocks whose size is checked before they come to the driver."""
-    items = benchmark.select(F.col(f"`{item}`").cast("long").alias("item"), F.col(f"`{text}`").alias("text"))
-    sized = items.where(F.col("text").isNotNull())
-    total = sized.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    number = max(1, -(-total // block_bytes))
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(number))
-    return [
-        Phrases([(r.item, words_of(r.text)) for r in (sized.where(block == b) if number > 1 else sized).toLocalIterator()])
-        for b in range(number)
-    ]
+def _block(items: DataFrame, block: int, blocks: int) -> Phrases:
+    """One block's windows; the driver holds one block at a time."""
+    own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
+    return Phrases([(r.item, words_of(r.text)) for r in own.toLocalIterator()])
 
 
+@own_names(COLUMNS, "text")
 def find_benchmark_passages(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
     shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES,
@@ -193,41 +188,48 @@ def find_benchmark_passages(
     document is contaminated if windows cover at least 5 % of its words.
 
     Defined cases: null texts have no words; an item without an id marks words
-    but is not listed; repeated items and rows count as they are; input columns
-    named like a result are replaced. Test sets above ``block_bytes`` are
-    searched block by block and the spans united.
+    but is not listed; repeated items and rows count as they are; without
+    documents there are no rows, without items no document is contaminated;
+    input columns named like a result are replaced. Test sets above
+    ``block_bytes`` are searched block by block, what each finds is written, and
+    the spans are united.
     """
-    docs = without(docs, COLUMNS)
-    schema = extended(docs, RESULT)
-    found = [with_package(docs).mapInArrow(_searcher(p, text, WINDOW, shard_words), schema) for p in _blocks(benchmark, item, item_text, block_bytes)]
-    if len(found) == 1:
-        united = found[0]
+    items = benchmark.select(F.col(f"`{item}`").cast("long").alias("item"), F.col(f"`{item_text}`").alias("text")).where(F.col("text").isNotNull())
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_bytes))
+    if blocks == 1:
+        found = with_package(docs).mapInArrow(_searcher(_block(items, 0, 1), text, WINDOW, shard_words), extended(docs, RESULT))
     else:
-        united = _united(found, docs.columns)
-    return united.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= MIN_PERCENT * F.col("n_words")))
-
-
-def _united(found: list[DataFrame], columns: list[str]) -> DataFrame:
-    """One row per input row from the rows of all blocks; equal rows are counted and given back as often."""
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+        found = _by_blocks(docs, items, blocks, text, shard_words)
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= MIN_PERCENT * F.col("n_words")))
+
+
+def _by_blocks(docs: DataFrame, items: DataFrame, blocks: int, text: str, shard_words: int) -> DataFrame:
+    """Rows of ``docs`` with what all blocks find. Rows are numbered in a written copy; each block's finds are written without texts."""
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    texts_only = numbered.select("_row", F.col(f"`{text}`").alias("text"))
+    every, sizes = None, None
+    for block in range(blocks):
+        searched = with_package(texts_only).mapInArrow(_searcher(_block(items, block, blocks), "text", WINDOW, shard_words), extended(texts_only, RESULT))
+        hits = materialise((searched if block == 0 else searched.where("n_hit > 0")).drop("text"))
+        sizes = hits.select("_row", "n_words") if block == 0 else sizes
+        every = hits.drop("n_words") if block == 0 else every.unionByName(hits.drop("n_words"))
     step = lambda acc, s: F.when(
         (F.size(acc) > 0) & (F.element_at(acc, -1)["last"] >= s["first"]),
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
             F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], s["last"]).alias("last"))))
     ).otherwise(F.concat(acc, F.array(s)))
-    keys = [F.col(f"`{c}`") for c in columns]
     spans = F.aggregate(F.sort_array(F.col("spans")), F.array().cast("array<struct<first:long,last:long>>"), step)
-    return (
-        every.groupBy(*keys, "n_words")
-        .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-             (F.count("*") / len(found)).cast("int").alias("_times"))
+    united = (
+        every.where("n_hit > 0").groupBy("_row")
+        .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         .withColumn("spans", spans)
         .withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["last"] - s["first"]))
-        .withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .select(*keys, "n_words", "n_hit", "items", "spans")
     )
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return numbered.join(sizes, "_row").join(united, "_row", "left").select(
+        *[F.col(f"`{c}`") for c in docs.columns], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        none("items", "array<long>"), none("spans", "array<struct<first:long,last:long>>"))
 
 
 def without_spans(text: str | None, spans: list[dict]) -> str | None:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesight.llm.common import extended, unused, with_package, without
+from lakesight.llm.common import extended, own_names, with_package
 from lakesight.llm.cuckoo import MARK_BITS, CuckooFilter
 from lakesight.session import materialise, small_frame
 
@@ -37,6 +37,7 @@ BATCHES = 3
 _SPACE = b" \t\n\x0b\x0c\r"
 REFS, COUNTS, FILTERS = "hi long, lo long, doc_id long", "shard int, hi long, lo long, n long, top long", "shard int, filter binary"
 KEY = ["hi", "lo"]
+RESULT = ["n_lines", "n_dropped", "kept_text"]
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -194,6 +195,7 @@ class LineIndex:
         return lost.groupBy("doc_id").agg(F.collect_list(F.struct(*KEY)).alias("keys"))
 
 
+@own_names(RESULT, "id", "text")
 def dedup(docs: DataFrame, index: LineIndex, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with n_lines, n_dropped and kept_text (the lines left, joined by line ends).
 
@@ -202,17 +204,15 @@ def dedup(docs: DataFrame, index: LineIndex, id: str = "doc_id", text: str = "te
     is one empty line; repeated rows of an id are one document; rows without an
     id hold no references and lose nothing.
     """
-    names = ["n_lines", "n_dropped", "kept_text"]
-    docs = without(docs, names)
+    names = RESULT
     schema, given = extended(docs, "n_lines long, n_dropped long, kept_text string"), docs.columns
-    owner, lost_keys = unused(docs, "doc"), unused(docs, "keys")
-    keys = index.dropped_keys().select(F.col("doc_id").alias(owner), F.col("keys").alias(lost_keys))
-    joined = docs.join(keys, F.col(f"`{id}`") == F.col(owner), "left").drop(owner)
+    keys = index.dropped_keys().select(F.col("doc_id").alias("_doc"), F.col("keys").alias("_keys"))
+    joined = docs.join(keys, F.col(f"`{id}`") == F.col("_doc"), "left").drop("_doc")
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counted, lost, left = [], [], []
-            for content, keys in zip(batch.column(text).to_pylist(), batch.column(lost_keys).to_pylist()):
+            for content, keys in zip(batch.column(text).to_pylist(), batch.column("_keys").to_pylist()):
                 lines = _lines(content)
                 drop = {np.array([k["hi"], k["lo"]], dtype=">i8").tobytes() for k in keys or ()}
                 kept = [line for line in lines if line_key(line) not in drop] if drop else lines

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesight.llm.common import WORD, with_package
+from lakesight.llm.common import WORD, own_names, with_package
 from lakesight.session import materialise
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -180,12 +180,13 @@ def mix_sizes(docs: DataFrame, **options) -> DataFrame:
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+@own_names([], "id", "text", "source")
+def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """Rows of ``docs`` as often as the mix begins them: whole documents, for stages that need them whole."""
     names = [F.col(f"`{c}`") for c in docs.columns]
     # the numbers are written with the rows, so that every later scan sees the same ones
     numbered = materialise(docs.withColumn("_mix_row", F.monotonically_increasing_id()))
-    _, pieces = mixed_blocks(numbered, id=id, text=text, row="_mix_row", **options)
+    _, pieces = mixed_blocks(numbered, id=id, text=text, source=source, row="_mix_row", **options)
     times = pieces.where("first = 0").groupBy("_row").agg(F.count("*").cast("int").alias("_times"))
     return numbered.join(times.withColumnRenamed("_row", "_mix_row"), "_mix_row").withColumn(
         "_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)

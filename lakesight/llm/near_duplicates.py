@@ -264,7 +264,9 @@ def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text", l
     own = rows.join(classes, "fp").where(F.col("_id").eqNullSafe(F.col("component_id")))
     kept = own.groupBy("component").agg(F.min(F.struct("_id", "digest")).alias("k")).select(
         F.col("k._id").alias("_kept"), F.col("k.digest").alias("_digest"))
-    values = [F.col(f"`{c}`").cast("string") for c in docs.columns]
-    first = Window.partitionBy("_kept", "_digest").orderBy(F.xxhash64(*values), *values)
-    same = F.col(f"`{id}`").eqNullSafe(F.col("_kept")) & (_digest(text) == F.col("_digest"))
-    return docs.join(kept, same).withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank", "_kept", "_digest")
+    # the row travels as one struct, whatever its columns are called
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id}`").alias("own"), _digest(text).alias("digest"))
+    whole = F.col("row").cast("string")
+    first = Window.partitionBy("_kept", "_digest").orderBy(F.xxhash64(whole), whole)
+    joined = given.join(kept, F.col("own").eqNullSafe(F.col("_kept")) & (F.col("digest") == F.col("_digest")))
+    return joined.withColumn("place", F.row_number().over(first)).where("place = 1").select("row.*")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesight.llm.common import without
+from lakesight.llm.common import own_names
 
 ROUNDS = 10
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3})(?![0-9A-Za-z])"
@@ -110,10 +110,15 @@ def _phone(value: Column, key: str, undo: bool) -> Column:
     area, rest = F.substring(digits, 2, 3).cast("long"), F.substring(digits, 5, 7).cast("long")
     american = value.rlike(r"^\+1[^0-9]") & (F.length(digits) == 11) & (area >= 200) & (rest >= 2_000_000)
     pair = permuted(area - 200, rest - 2_000_000, _sizes(800, 8_000_000), key, "phone", undo)
+    # an impossible number stays one: the digits that decide keep their places, so that it is undone by the same rule
+    inner = F.concat(F.substring(digits, 3, 2), F.substring(digits, 6, 6))
+    impossible = _let(permuted_digits(inner, key, "number", undo), lambda new: F.concat(
+        F.substring(digits, 1, 2), F.substring(new, 1, 2), F.substring(digits, 5, 1), F.substring(new, 3, 6)))
+    domestic = value.rlike(r"^\+1[^0-9]") & (F.length(digits) == 11)
     code = F.least(F.length(F.regexp_extract(value, r"^\+([0-9]+)", 1)), F.lit(3), F.length(digits) - 1)
     other = F.concat(F.substring(digits, F.lit(1), code), permuted_digits(F.substring(digits, code + 1, F.length(digits)), key, "number", undo))
     known = _let(pair, lambda pair: F.concat(F.lit("1"), (pair["l"] + 200).cast("string"), (pair["r"] + 2_000_000).cast("string")))
-    return _filled(value, F.when(american, known).otherwise(other))
+    return _filled(value, F.when(american, known).when(domestic, impossible).otherwise(other))
 
 
 def _ssn(value: Column, key: str, undo: bool) -> Column:
@@ -143,10 +148,11 @@ def _date(value: Column, form: str, key: str, undo: bool) -> Column:
 
 
 def _email(value: Column, key: str, undo: bool) -> Column:
-    """Digits and letters before the @ become others, run by run; the domain stays."""
+    """Digits and letters before the @ become others, run by run, with their case kept; the domain stays."""
     letters, places = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 
-    def run(part: Column) -> Column:
+    def run(given: Column) -> Column:
+        part = F.lower(given)
         size = F.length(part)
         u = F.floor(size / 2).cast("int")
         power = lambda n: F.pow(F.lit(26.0), n).cast("long")
@@ -154,11 +160,12 @@ def _email(value: Column, key: str, undo: bool) -> Column:
         pair = permuted(number(F.substring(part, F.lit(1), u)), number(F.substring(part, u + 1, size)), (power(u), power(size - u)), key, "letters", undo)
         word = lambda n, w: F.when(w > 0, F.translate(F.lpad(F.lower(F.conv(n.cast("string"), 10, 26)), w, "0"), places, letters)).otherwise("")
         named = _let(pair, lambda pair: F.concat(word(pair["l"], u), word(pair["r"], size - u)))
-        return F.when(part.rlike("^[a-z]+$"), named).when(part.rlike("^[0-9]+$"), permuted_digits(part, key, "digits", undo)).otherwise(part)
+        cased = _let(named, lambda new: F.array_join(F.transform(F.split(given, ""), lambda c, i: F.when(
+            c.rlike("[A-Z]"), F.upper(F.substring(new, i + 1, F.lit(1)))).otherwise(F.substring(new, i + 1, F.lit(1)))), ""))
+        return F.when(given.rlike("^[a-z]+$"), named).when(given.rlike("^[A-Za-z]+$"), cased).when(part.rlike("^[0-9]+$"), permuted_digits(part, key, "digits", undo)).otherwise(part)
 
     at = F.locate("@", value)
-    local = F.lower(F.substring(value, F.lit(1), at - 1))
-    runs = F.regexp_extract_all(local, F.lit("([a-z]{1,20}|[0-9]{1,18}|[^a-z0-9]+)"), 1)
+    runs = F.regexp_extract_all(F.substring(value, F.lit(1), at - 1), F.lit("([A-Za-z]{1,20}|[0-9]{1,18}|[^A-Za-z0-9]+)"), 1)
     return F.concat(F.array_join(F.transform(runs, run), ""), F.substring(value, at, F.length(value)))
 
 
@@ -172,17 +179,18 @@ def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
     )
 
 
+@own_names(RESULT, "text")
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", undo: bool = False) -> DataFrame:
     """``docs`` with ``pseudonymised`` (the text with all values replaced) and n_pseudonyms (long, values changed).
 
     ``undo`` gives back the values. Defined cases: a null text stays null with 0
     values; texts without a value stay as they are; repeated rows and equal
     values get equal results; input columns named like a result are replaced.
-    E-mail names come out in lower case. The key is part of the query plan, so
+    The key is part of the query plan, so
     keep plans and event logs as safe as the key.
     """
     t = F.col(f"`{text}`")
-    df = without(docs, [c for c in RESULT if c != text]).withColumn("_found", F.regexp_extract_all(t, F.lit(f"({ANY})"), 1))
+    df = docs.withColumn("_found", F.regexp_extract_all(t, F.lit(f"({ANY})"), 1))
     df = df.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda v: pseudonym(v, key, undo))))
     parts = F.zip_with(F.split(t, ANY, -1), F.col("_new"), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
     changed = F.size(F.filter(F.arrays_zip("_found", "_new"), lambda x: x["_found"] != x["_new"]))

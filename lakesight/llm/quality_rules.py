@@ -3,9 +3,15 @@
 A document is judged by its own words (too few, or too repetitive) and by the
 lines it shares with its host's other documents: lines are normalised and
 hashed, the distinct documents (distinct texts) holding each line are counted
-per host, lines above the limit are removed, and a document with too few words
+per host, lines above the limits are removed, and a document with too few words
 left is rejected as depleted.
 
+A line is above the limits if at least ``min_documents`` of its host's documents
+hold it and these are more than ``max_share`` of them or, with
+``max_documents``, more than that number, which a hot host's boilerplate reaches
+long before it has a share. ``copies`` says what counts as a document: "once"
+takes all copies of a text for one, "each" takes every row.
+
 Defined cases: a null text has no words; a null host is a host of its own;
 copies of one text count once, so a group of copies does not condemn its own
 lines; repeated rows each get their row; input columns named like a result
@@ -17,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesight.llm.common import SPACE, WORD, without
+from lakesight.llm.common import SPACE, WORD, own_names, without
 from lakesight.session import materialise
 
 MIN_WORDS = 50
@@ -78,7 +84,8 @@ def _text_hash(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
-def shared_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+def shared_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_documents: int = MIN_LINE_DOCUMENTS,
+                 max_share: float = MAX_LINE_SHARE, max_documents: int | None = None, copies: str = "once") -> DataFrame:
     """(_row, _doc, _host, _text_hash, _line, n): every line above its host's limit, with its words.
 
     The counts grow with the lines, never with the texts: a line travels as its hash.
@@ -92,14 +99,15 @@ def shared_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host:
         .where(F.col("line") != "")
         .select("_row", _ID, _HOST, _TEXT, F.xxhash64("line").alias("_line"), F.regexp_count("line", F.lit(WORD)).alias("n"))
     )
-    # distinct texts first, so that copies and hot lines are merged before they are counted
-    documents = lines.select(_HOST, _TEXT).distinct().groupBy(_HOST).agg(F.count("*").alias("of"))
+    # distinct texts (or rows) first, so that copies and hot lines are merged before they are counted
+    counted = {"once": _TEXT, "each": "_row"}[copies]
+    documents = lines.select(_HOST, counted).distinct().groupBy(_HOST).agg(F.count("*").alias("of"))
     frequent = (
-        lines.select(_HOST, "_line", _TEXT).distinct().groupBy(_HOST, "_line").agg(F.count("*").alias("in"))
-        .where(F.col("in") >= MIN_LINE_DOCUMENTS)
+        lines.select(_HOST, "_line", counted).distinct().groupBy(_HOST, "_line").agg(F.count("*").alias("in"))
+        .where(F.col("in") >= min_documents)
     )
     above = frequent.join(documents.withColumnRenamed(_HOST, "_h"), F.col(_HOST).eqNullSafe(F.col("_h"))).where(
-        F.col("in") > MAX_LINE_SHARE * F.col("of")).select(F.col(_HOST).alias("_h"), F.col("_line").alias("_l"))
+        (F.col("in") > max_share * F.col("of")) | (F.lit(max_documents is not None) & (F.col("in") > (max_documents or 0)))).select(F.col(_HOST).alias("_h"), F.col("_line").alias("_l"))
     on = F.col(_HOST).eqNullSafe(F.col("_h")) & (F.col("_line") == F.col("_l"))
     return lines.join(above, on, "left_semi")
 
@@ -112,16 +120,17 @@ def _key() -> list[Column]:
     return [F.col(_ID).alias("_i"), F.col(_HOST).alias("_h"), F.col(_TEXT).alias("_t")]
 
 
-def verdicts(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+def verdicts(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
     """A row per row of ``docs``: its id, the counts of ``BASE``, n_removed_words and ``kept``, but no text.
 
-    The counts are written before they are joined and filtered, so that they are
-    worked out once.
+    ``limits`` are those of ``shared_lines``. The counts are written before they
+    are joined and filtered, so that they are worked out once. An empty table
+    gives no rows.
     """
     base = base_columns(docs.select(F.col(f"`{id}`").alias(_ID), F.col(f"`{text}`").alias("_t"), F.col(f"`{host}`").alias(_HOST)), "_t")
     base = materialise(base.withColumn(_TEXT, _text_hash("_t")).drop("_t"))
     gone = (
-        shared_lines(docs, id, text, host).groupBy("_row", _ID, _HOST, _TEXT).agg(F.sum("n").alias("_gone"))
+        shared_lines(docs, id, text, host, **limits).groupBy("_row", _ID, _HOST, _TEXT).agg(F.sum("n").alias("_gone"))
         .groupBy(_ID, _HOST, _TEXT).agg(F.max("_gone").alias("_gone")).select(*_key(), "_gone")
     )
     left = F.col("n_words") - F.col("n_removed_words")
@@ -133,16 +142,18 @@ def verdicts(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str
     )
 
 
-def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+@own_names([*BASE, *VERDICT], "id", "text", "host")
+def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
     """``docs`` with the columns of ``verdicts``."""
-    found = verdicts(docs, id, text, host).dropDuplicates([_ID, _HOST, _TEXT]).select(*_key(), *BASE, *VERDICT)
-    joined = keyed(without(docs, [*BASE, *VERDICT]), text, host).join(found, _same(id))
+    found = verdicts(docs, id, text, host, **limits).dropDuplicates([_ID, _HOST, _TEXT]).select(*_key(), *BASE, *VERDICT)
+    joined = keyed(docs, text, host).join(found, _same(id))
     return joined.drop("_i", "_h", "_t", _TEXT, _HOST)
 
 
-def kept(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+@own_names([], "id", "text", "host")
+def kept(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
     """The rows of ``docs`` that are not rejected, unchanged."""
-    good = verdicts(docs, id, text, host).where("kept").select(*_key()).distinct()
+    good = verdicts(docs, id, text, host, **limits).where("kept").select(*_key()).distinct()
     return keyed(docs, text, host).join(good, _same(id), "left_semi").drop(_TEXT, _HOST)
 
 
@@ -151,13 +162,14 @@ def keyed(docs: DataFrame, text: str = "text", host: str = "source") -> DataFram
     return docs.withColumn(_TEXT, _text_hash(text)).withColumn(_HOST, F.col(f"`{host}`"))
 
 
-def without_shared_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+@own_names(["clean_text"], "id", "text", "host")
+def without_shared_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
     """``docs`` with ``clean_text``: the text without the lines above its host's limit."""
-    gone = shared_lines(docs, id, text, host).groupBy(_ID, _HOST, _TEXT).agg(F.collect_set("_line").alias("_gone")).select(*_key(), "_gone")
+    gone = shared_lines(docs, id, text, host, **limits).groupBy(_ID, _HOST, _TEXT).agg(F.collect_set("_line").alias("_gone")).select(*_key(), "_gone")
     stays = lambda line: ~F.array_contains(F.col("_gone"), F.xxhash64(normalised(line)))
     clean = F.array_join(F.filter(F.split(f"`{text}`", "\n", -1), stays), "\n")
     return (
-        keyed(without(docs, ["clean_text"]), text, host).join(gone, _same(id), "left")
+        keyed(docs, text, host).join(gone, _same(id), "left")
         .withColumn("clean_text", F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(clean))
         .drop("_i", "_h", "_t", "_gone", _TEXT, _HOST)
     )

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesight.llm.common import without
+from lakesight.llm.common import own_names, without
 from lakesight.session import materialise
 
 BITS = 60
@@ -65,6 +65,7 @@ def directory(keys: DataFrame, limit: int = LIMIT_BYTES) -> tuple[DataFrame, int
     return out, deepest
 
 
+@own_names(["shard", "depth", "n_bytes", "shard_bytes", "shard_documents"], "id", "text")
 def assigned(docs: DataFrame, id: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
     """``docs`` with shard (its hash prefix as 0 and 1), depth, n_bytes, shard_bytes and shard_documents.
 

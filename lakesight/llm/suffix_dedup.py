@@ -1,14 +1,17 @@
-"""Repeated passages by hashes of sparse suffixes.
+"""Repeated passages by a sparse suffix array over all texts.
 
 Only suffixes at minimiser positions are retained: in every run of ``STRIDE``
 words the one whose next ``GRAM`` words hash smallest. Any passage of ``LENGTH``
 words has its first such position within its first ``STRIDE`` words, at the
 same offset in every copy, with at least ``CORE`` words of the passage to the
-right of it. A hash join stands in for the sort of suffix arrays: no suffix is
-sorted or compared with a neighbour. Suffixes are grouped by the hash of their
-next ``CORE`` words, those of more than one text are the candidates, and all
-passages of ``LENGTH`` words around a candidate are hashed and grouped in turn;
-one counts if it occurs in another document too. The union of these passages
+right of it. The retained suffixes
+of all texts are sorted by their next ``CORE`` words, over as many tasks as
+there are ranges, and neighbours are compared word by word: equal ones of
+different texts are the candidates. Each candidate is extended left and right to
+all passages of ``LENGTH`` words that hold it; extending neighbours alone would
+miss a pair that is further apart in the order but agrees further to the left.
+Extended passages are compared by 128 bits of hash; one counts if it occurs in
+another document too. The union of these passages
 is exact: every word of every passage of LENGTH words that two documents share.
 Whole copies of a text are found by its digest first and extended once.
 """
@@ -23,16 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesight.llm.common import WORD, extended, with_package, without
+from lakesight.llm.common import WORD, extended, own_names, with_package
 from lakesight.session import materialise
 
 LENGTH = 50
 STRIDE = 40
 GRAM = 4
 CORE = LENGTH - STRIDE + 1
-_BASE = 0x9E3779B97F4A7C15  # odd, so that powers can be divided out
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_WORDS_AT_ONCE = 1 << 20
+_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)  # odd, so that powers can be divided out
 
 
 def _powers(base: int, count: int) -> np.ndarray:
@@ -49,11 +50,11 @@ def word_hashes(text: str | None) -> np.ndarray:
 class Rolling:
     """Hash of any run of words of a text from prefix sums."""
 
-    def __init__(self, words: np.ndarray):
+    def __init__(self, words: np.ndarray, base: int = _BASES[0]):
         self.size = len(words)
-        self.inverse = _powers(_INVERSE, self.size + 1)
+        self.inverse = _powers(pow(base, -1, 1 << 64), self.size + 1)
         self.sums = np.zeros(self.size + 1, dtype=np.uint64)
-        np.cumsum(words * _powers(_BASE, self.size), out=self.sums[1:])
+        np.cumsum(words * _powers(base, self.size), out=self.sums[1:])
 
     def hashes(self, first: np.ndarray, length: int) -> np.ndarray:
         x = (self.sums[first + length] - self.sums[first]) * self.inverse[first]
@@ -98,34 +99,78 @@ def _gathered(rows: Iterator[tuple[np.ndarray, ...]], build) -> Iterator[pa.Reco
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(core, digest): the different suffixes of each text, however often it repeats them."""
+    """(words, core, digest): the different suffixes of each text, however often it repeats them, once per task for all its copies.
+
+    ``words`` orders suffixes: 32 bits of each of the next ``CORE`` words in turn; ``core`` is a hash of them.
+    """
     def rows():
+        seen: set[int] = set()
         for digest, text in _documents(batches):
-            rolling = Rolling(word_hashes(text))
+            if digest in seen:
+                continue
+            seen.add(digest)
+            words = word_hashes(text)
+            rolling = Rolling(words)
             at = np.unique(minimisers(rolling))
             if len(at):
-                cores = np.unique(rolling.hashes(at, CORE).view(np.int64))
-                yield cores, np.full(len(cores), digest)
+                cores, first = np.unique(rolling.hashes(at, CORE).view(np.int64), return_index=True)
+                yield cores, (words >> np.uint64(32)).astype(">u4")[at[first][:, None] + np.arange(CORE)], np.full(len(cores), digest)
+
+    return _gathered(rows(), lambda core, words, digest: pa.record_batch([_binary(words), pa.array(core), pa.array(digest)], names=["words", "core", "digest"]))
+
+
+def _binary(words: np.ndarray) -> pa.Array:
+    flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * CORE), len(words), [None, pa.py_buffer(words.tobytes())])
+    return flat.cast(pa.binary())
 
-    return _gathered(rows(), lambda core, digest: pa.record_batch([pa.array(core), pa.array(digest)], names=["core", "digest"]))
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(words, core, digest, edge) of the sorted suffixes that equal a neighbour of another text, and of the first and last of the range."""
+    def found(words: np.ndarray, core: np.ndarray, digest: np.ndarray, chosen: np.ndarray, edge: bool) -> pa.RecordBatch:
+        return pa.record_batch([_binary(words[chosen]), pa.array(core[chosen]), pa.array(digest[chosen]), pa.array([edge] * len(chosen), pa.bool_())],
+                               names=["words", "core", "digest", "edge"])
+
+    held = None  # the last row so far, whose neighbour behind is not known yet
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words = np.frombuffer(b"".join(batch.column("words").to_pylist()), dtype=">u4").reshape(-1, CORE)
+        rows = words, batch.column("core").to_numpy(), batch.column("digest").to_numpy()
+        if held is None:
+            yield found(*rows, np.zeros(1, dtype=np.int64), True)
+        else:
+            rows = tuple(np.concatenate(pair) for pair in zip(held, rows))
+        words, _, digest = rows
+        same = (words[1:] == words[:-1]).all(axis=1) & (digest[1:] != digest[:-1])
+        shared = np.zeros(len(digest), dtype=bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        yield found(*rows, np.flatnonzero(shared), False)  # a held row may come twice; candidates are sets
+        held = tuple(x[-1:] for x in rows)
+    if held is not None:
+        yield found(*held, np.zeros(1, dtype=np.int64), True)
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(passage, doc, first): all passages whose suffix is a candidate, each once per document with all its starts."""
+    """(passage, more, doc, first): all passages that hold a candidate, each once per document with all its starts."""
     def rows():
         for doc, text, candidates in _documents(batches):
-            rolling = Rolling(word_hashes(text))
+            words = word_hashes(text)
+            rolling, other = Rolling(words), Rolling(words, _BASES[1])
             of = minimisers(rolling)
             first = np.flatnonzero(np.isin(rolling.hashes(of, CORE).view(np.int64), np.array(candidates)))
-            passages = rolling.hashes(first, LENGTH).view(np.int64)
-            by = np.argsort(passages, kind="stable")
-            passages, times = np.unique(passages, return_counts=True)
-            yield passages, np.full(len(passages), doc), times, first[by]
-
-    def build(passages: np.ndarray, docs: np.ndarray, times: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+            passages, more = (r.hashes(first, LENGTH).view(np.int64) for r in (rolling, other))
+            by = np.lexsort((first, more, passages))
+            passages, more, first = passages[by], more[by], first[by]
+            new = np.ones(len(first), dtype=bool)
+            new[1:] = (passages[1:] != passages[:-1]) | (more[1:] != more[:-1])
+            at = np.flatnonzero(new)
+            yield passages[at], more[at], np.full(len(at), doc), np.diff(at, append=len(first)), first
+
+    def build(passages: np.ndarray, more: np.ndarray, docs: np.ndarray, times: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
         ends = np.concatenate([[0], np.cumsum(times)]).astype(np.int32)
         starts = pa.ListArray.from_arrays(pa.array(ends), pa.array(first, pa.int32()))
-        return pa.record_batch([pa.array(passages), pa.array(docs), starts], names=["passage", "doc", "first"])
+        return pa.record_batch([pa.array(passages), pa.array(more), pa.array(docs), starts], names=["passage", "more", "doc", "first"])
 
     return _gathered(rows(), build)
 
@@ -136,15 +181,19 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     ``passages`` has the starts of every passage of LENGTH words that different
     texts hold, for the smallest id of each text, with the smallest id of all.
     ``copies`` has the ids of texts that several documents have. Rows without an
-    id are left out; repeated rows of an id are one document. Passages are
-    compared by 64-bit hashes, and only around suffixes that are shared.
+    id are left out; repeated rows of an id are one document; null, empty and
+    short texts hold no passage; other columns are not looked at.
     """
     named = docs.select(
         F.col(f"`{id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("digest")).where("doc IS NOT NULL")
-    suffixes = materialise(with_package(named).select("digest", "text").mapInArrow(_suffixes, "core long, digest long"))
-    # sums over a suffix's copies are merged before the shuffle, so that a hot passage is a row per task
-    shared = suffixes.groupBy("core").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("core")
-    candidates = suffixes.join(shared, "core").groupBy("digest").agg(F.collect_set("core").alias("cores"))
+    suffixes = with_package(named).select("digest", "text").mapInArrow(_suffixes, "words binary, core long, digest long")
+    # ranges are cut by words and text, so that a hot suffix is spread over tasks; it then stands at their edges
+    ordered = suffixes.repartitionByRange("words", "digest").sortWithinPartitions("words", "digest")
+    compared = materialise(with_package(ordered).mapInArrow(_neighbours, "words binary, core long, digest long, edge boolean"))
+    edges = compared.where("edge")
+    across = edges.groupBy("words").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("words")
+    shared = compared.where("NOT edge").select("digest", "core").unionByName(edges.join(across, "words").select("digest", "core"))
+    candidates = shared.groupBy("digest").agg(F.collect_set("core").alias("cores"))
     texts = named.select("doc", "digest", F.md5("text").alias("md5"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
     texts = materialise(texts.where(F.col("n_words") >= LENGTH))
     owners = materialise(texts.groupBy("md5").agg(
@@ -153,9 +202,9 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     wanted = candidates.join(owners.select("digest", F.col("of").alias("owner"), F.col("md5").alias("of_text")), "digest").drop("digest")
     # an id may stand in repeated rows, even with different texts
     first = named.join(wanted, (F.col("doc") == F.col("owner")) & (F.md5("text") == F.col("of_text"))).select("doc", "text", "cores")
-    passages = materialise(with_package(first).mapInArrow(_extended, "passage long, doc long, first array<int>"))
-    twice = passages.groupBy("passage").agg(F.min("doc").alias("keeper"), F.max("doc").alias("high")).where("keeper < high").drop("high")
-    return passages.join(twice, "passage").select("doc", "first", "keeper"), copies
+    passages = materialise(with_package(first).mapInArrow(_extended, "passage long, more long, doc long, first array<int>"))
+    twice = passages.groupBy("passage", "more").agg(F.min("doc").alias("keeper"), F.max("doc").alias("high")).where("keeper < high").drop("high")
+    return passages.join(twice, ["passage", "more"]).select("doc", "first", "keeper"), copies
 
 
 def _spans(starts):
@@ -181,7 +230,9 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
 
     ``spans`` are word ranges [first, last) shared with other documents;
     ``removed`` those that a smaller id holds too, so that the smallest keeps
-    them. Documents without a shared passage of 50 words have no row.
+    them. Documents without a shared passage of 50 words have no row, and so
+    have null and empty texts, rows without an id and empty tables. Of equal
+    passages within one document none is removed.
     """
     passages, copies = repeated_passages(docs, id, text)
     shared = passages.groupBy("doc").agg(
@@ -200,9 +251,9 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
         F.when(lost, whole).otherwise(_spans(later)).alias("removed"))
 
 
+@own_names(["clean_text"], "id", "text")
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with clean_text: the words left when removed spans are cut, joined by blanks; other texts unchanged."""
-    docs = without(docs, ["clean_text"])
     spans = repeated_spans(docs, id, text).select(F.col(id).alias("_doc"), F.col("removed").alias("_removed"))
     joined, given = docs.join(spans, F.col(f"`{id}`") == F.col("_doc"), "left").drop("_doc"), docs.columns
 

@@ -78,9 +78,15 @@ class Encoder:
                 part = group[at : at + 20_000]
                 ids = self._plain("".join(f"\n{w[1:]}" if bare else f" {w}" for w in part))
                 edges = np.flatnonzero(ids == self.line_end if bare else self.blank[ids])
-                assert len(edges) == len(part), "words fall apart at their first ids"
-                first.append(edges + size + bare)
-                number.append(np.diff(edges, append=len(ids)) - bare)
+                if len(edges) == len(part):
+                    first.append(edges + size + bare)
+                    number.append(np.diff(edges, append=len(ids)) - bare)
+                else:  # a word does not fall apart from its neighbours; encode each by itself
+                    each = [self._plain(w[1:] if bare else f" {w}") for w in part]
+                    sizes = np.array([len(e) for e in each])
+                    ids = np.concatenate(each)
+                    first.append(np.cumsum(sizes) - sizes + size)
+                    number.append(sizes)
                 all_ids.append(ids)
                 size += len(ids)
             names += group
@@ -130,9 +136,16 @@ def _encoder(path: str) -> Encoder:
 
 def encoded_blocks(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", end: int = END,
                    block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of ``docs`` in ascending order of ``id`` (nulls first, equal ids by text)."""
-    ordered = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    ordered = ordered.repartitionByRange("id").sortWithinPartitions("id", "text")
+    """Blocks of ``docs`` in ascending order of ``id`` (nulls first, equal ids by a hash of the text, then by text).
+
+    Rows of one id, or without any, are cut into ranges by that hash, and equal
+    rows by their number, so that no id is bound to one task. Defined cases: a
+    null text is an empty one and has the end id alone; repeated rows each have
+    their ids; an empty table has no blocks; other columns are left out.
+    """
+    ordered = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.xxhash64(f"`{text}`").alias("hash"),
+                          F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("text"))
+    ordered = ordered.repartitionByRange("id", "hash", "row").sortWithinPartitions("id", "hash", "text").select("id", "text")
 
     names = T.StructType.fromDDL(BLOCKS).names
 
