@@ -126,27 +126,28 @@ class LongTextRule:
 
     rule_id, rule_name = "LONG_TEXT", "Long texts"
 
-    def evaluate(self, df, table_name, facts):
-        found = df.agg(F.lit("text").alias("column_name"), F.count("*").alias("total_rows"),
-                       F.count_if(F.length("text") > 10000).alias("n"))
-        return Q.checks(self, found, F.col("n"), F.lit("MEDIUM"), F.lit(2.5),
-                        F.format_string("%d long texts", F.col("n")), F.col("n") == 0)
+    def aggregates(self, df, table_name):
+        return {"long": F.count_if(F.length("text") > 10000)}
+
+    def verdict(self, facts, values):
+        n = F.lit(values["long"])
+        return Q.checks(self, facts.filter("column_name = 'text'"), n, F.lit("MEDIUM"), F.lit(2.5), F.format_string("%d long texts", n), n == 0)
 
 
 QUERIES = {
     "quality_checks_damaged_orders": lambda s, d: Q.evaluate_table(
-        damaged_orders(s, d), "orders", ["o_orderkey", "o_custkey"]).select(*SHOWN),
+        damaged_orders(s, d), "orders", ["o_orderkey", "o_custkey"], with_samples=False).select(*SHOWN),
     "quality_samples_damaged_orders": lambda s, d: Q.violation_samples(
         damaged_orders(s, d), Q.gather_facts(damaged_orders(s, d)), ["o_orderkey", "o_totalprice"])
         .select("rule_id", "column_name", F.array_join(F.transform("sample_violations", lambda v: F.format_string("%.2f", v)), ", ").alias("samples")),
     "quality_score_damaged_orders": lambda s, d: Q.score_tables(Q.evaluate_table(
-        damaged_orders(s, d), "orders", ["o_orderkey", "o_custkey"]), ["orders"]),
+        damaged_orders(s, d), "orders", ["o_orderkey", "o_custkey"], with_samples=False), ["orders"]),
     "quality_checks_lineitem": lambda s, d: Q.evaluate_table(
-        table(s, d, "lineitem"), "lineitem", LINEITEM_KEYS).select(*SHOWN),
+        table(s, d, "lineitem"), "lineitem", LINEITEM_KEYS, with_samples=False).select(*SHOWN),
     "quality_table_scores": lambda s, d: database(s, d)[1].drop("error"),
     "quality_database_score": lambda s, d: database(s, d)[2],
     "quality_user_rule": lambda s, d: Q.evaluate_table(
-        table(s, d, "documents"), "documents", ["doc_id"], [LongTextRule()]).select(*SHOWN),
+        table(s, d, "documents"), "documents", ["doc_id"], [*Q.BUILT_IN_RULES, LongTextRule()], with_samples=False).select(*SHOWN),
 }
 
 ORACLE = {
@@ -167,7 +168,7 @@ ORACLE = {
       FROM (SELECT {rounded('avg(quality_score)', 1)} AS overall_quality_score, count(*) AS tables_analyzed,
         CAST(sum(violations_count) AS BIGINT) AS total_violations, CAST(sum(critical_count) AS BIGINT) AS critical_violations,
         CAST(sum(high_count) AS BIGINT) AS high_violations FROM ({scores_sql(ALL_CHECKS, KEYS)}))""",
-    "quality_user_rule": f"""SELECT 'documents' AS table_name, 'LONG_TEXT' AS rule_id, 'text' AS column_name, n = 0 AS passed,
+    "quality_user_rule": f"""SELECT * FROM ({table_checks_sql('documents')}) UNION ALL SELECT 'documents' AS table_name, 'LONG_TEXT' AS rule_id, 'text' AS column_name, n = 0 AS passed,
         CASE WHEN n = 0 THEN 'LOW' ELSE 'MEDIUM' END AS severity, CASE WHEN n = 0 THEN 0.0 ELSE 2.5 END AS penalty,
         n || ' long texts' AS message, n AS violation_count, {_pct('n')} AS violation_percentage
       FROM (SELECT count(*) AS total, count(*) FILTER (WHERE length(text) > 10000) AS n FROM documents)""",

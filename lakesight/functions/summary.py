@@ -1,8 +1,12 @@
 """One-pass column summaries with exact quantiles at any size.
 
 Spark's ``percentile`` keeps every distinct value of a group in one task, which
-is fine up to a checked number of values. Beyond it, quantiles are found exactly by
-narrowing: one scan counts rows in bins between the smallest and largest value,
+is fine up to a checked number of values. Beyond it, a quantile sketch from the
+same scan as the other statistics gives a narrow range for each quantile; a scan
+counts the rows before and inside these ranges, and one more ranks the few rows
+inside. The counts prove each range; where a range is wrong or holds too many
+rows, quantiles are found by narrowing: one scan counts rows in bins between the
+smallest and largest value,
 the bin that holds a wanted rank is split again by the next scan, and so on
 until a bin holds one value or few enough rows to rank them outright. Bins have
 equal widths, or equal ratios while a range spans several magnitudes, so that
@@ -20,12 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesight.functions.columns import named, stacked
+from lakesight.functions.sketches import K, rank_error
 
 SINGLE_PASS_VALUES = 1_000_000
 BINS = 1_024
 RANKED_ROWS = 100_000
 SPREAD_BELOW = 5_000_000
 
+REACH = 3 * rank_error(K)  # half width of a sketch's range, as a share of the rows
 WIDE = 20  # a range over more than so many powers of two is cut by ratios
 _LARGEST = sys.float_info.max
 _SMALLEST = 1075  # more than the powers of two below 1, so that magnitudes keep the values' order through zero
@@ -73,15 +79,25 @@ def summarise(
         stats = [F.count(v), F.min(v), F.max(v), F.avg(v), F.stddev_samp(v), F.skewness(v)]
         if in_one_pass:
             stats.append(F.percentile(v, F.array(*map(F.lit, probabilities))))
-        aggregates.append(F.struct(*stats).alias(f"s{i}"))
-    row = df.agg(*aggregates).first()
+        elif probabilities:
+            stats.append(F.kll_sketch_agg_double(v, K))
+        aggregates.append(F.struct(*[s.alias(f"f{j}") for j, s in enumerate(stats)]).alias(f"s{i}"))
+    found = df.agg(*aggregates)
+    if probabilities and not in_one_pass:
+        ends = F.array(*[F.lit(min(1.0, max(0.0, p + side))) for p in probabilities for side in (-REACH, REACH)])
+        for i in range(len(names)):
+            own = F.col(f"s{i}")
+            kept = F.when(own["f0"] > 0, F.kll_sketch_get_quantile_double(own["f6"], ends))
+            found = found.withColumn(f"s{i}", F.struct(*[own[f"f{j}"] for j in range(6)], kept))
+    row = found.first()
 
     summaries = {n: Summary(*row[f"s{i}"][:6]) for i, n in enumerate(names)}
     for i, (name, summary) in enumerate(summaries.items()):
         if in_one_pass and summary.count:
             summary.quantiles = dict(zip(probabilities, row[f"s{i}"][6]))
     if probabilities and not in_one_pass:
-        _add_exact_quantiles(df, values, summaries, probabilities, row["rows"])
+        ranges = {(n, p): tuple(row[f"s{i}"][6][2 * j : 2 * j + 2]) for i, n in enumerate(names) if summaries[n].count for j, p in enumerate(probabilities)}
+        _add_exact_quantiles(df, values, summaries, probabilities, row["rows"], ranges)
     return summaries, {"rows": row["rows"], **{key: row[f"x{i}"] for i, key in enumerate(extra)}}
 
 
@@ -107,13 +123,14 @@ def _ranks(p: float, n: int) -> tuple[int, int]:
     return math.floor(position), math.ceil(position)
 
 
-def _add_exact_quantiles(df, values, summaries: dict[str, Summary], probabilities, rows: int) -> None:
+def _add_exact_quantiles(df, values, summaries: dict[str, Summary], probabilities, rows: int, ranges: dict) -> None:
     wanted = {
         _Bracket(name, rank, rank, s.count, s.minimum, s.maximum)
         for name, s in summaries.items() if s.count
         for p in probabilities for rank in _ranks(p, s.count)
     }
-    found = _order_statistics(df, values, wanted, rows) if wanted else {}
+    likely = {(name, rank): ranges[name, p] for name, s in summaries.items() if s.count for p in probabilities for rank in _ranks(p, s.count)}
+    found = _order_statistics(df, values, wanted, rows, likely) if wanted else {}
     for name, s in summaries.items():
         for p in probabilities if s.count else ():
             below, above = _ranks(p, s.count)
@@ -127,8 +144,23 @@ def between(low: float, high: float, share: float) -> float:
     return low if low == high or not share else low * (1 - share) + high * share
 
 
-def _order_statistics(df: DataFrame, values: dict[str, Column], brackets: set[_Bracket], rows: int) -> dict:
+def _proved(df, values: dict[str, Column], brackets: set[_Bracket], likely: dict[tuple[str, int], tuple[float, float]]) -> set[_Bracket]:
+    """Each bracket cut to its likely range, if one count of the rows before and inside shows that its rank is there."""
+    ranges = sorted({(name, *ends) for (name, _), ends in likely.items()})
+    counts = df.agg(F.array(*[F.array(F.count_if(values[n] < lo), F.count_if(values[n].between(lo, hi))) for n, lo, hi in ranges]).alias("c")).first().c
+    known = dict(zip(ranges, counts))
+    out = set()
+    for b in brackets:
+        lo, hi = likely[b.name, b.wanted]
+        before, inside = known[b.name, lo, hi]
+        good = before <= b.rank < before + inside
+        out.add(replace(b, rank=b.rank - before, inside=inside, lo=lo, hi=hi) if good else b)
+    return out
+
+
+def _order_statistics(df: DataFrame, values: dict[str, Column], brackets: set[_Bracket], rows: int, likely: dict) -> dict:
     """The value at each bracket's rank. A small table is spread over all cores and kept for the passes."""
+    brackets = _proved(df, values, brackets, likely)
     if rows > SPREAD_BELOW:
         return _search(df, values, brackets)
     kept = df.select(*[v.alias(n) for n, v in values.items()]).repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -1,8 +1,9 @@
 """Data-quality rules, scores and grades.
 
 One scan gathers facts about every column (nulls, negatives, unreadable dates,
-quartiles), one more counts extreme values, and each key adds one grouped count.
-A fact table, one row per column, is what the rules work on; user rules get the
+quartiles) and the aggregates that own rules declare, one more counts extreme
+values, and a third counts the values of all keys. A fact table, one row per
+column, is what the rules work on; a rule that declares no aggregates gets the
 table as well.
 """
 
@@ -51,20 +52,23 @@ def _has_any(name: str, fragments: Sequence[str]) -> bool:
 
 
 def _duplicate_counts(df: DataFrame, keys: Sequence[str]) -> dict[str, int]:
-    """Rows beyond the first of each value; NULLs count as one value."""
-    counts = None
-    for key in keys:
-        one = (
-            df.groupBy(C.present(df, key).alias("k"))
-            .count()
-            .agg(F.lit(key).alias("key"), F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("dupes"))
-        )
-        counts = one if counts is None else counts.unionByName(one)
-    return {} if counts is None else {r.key: r.dupes for r in counts.collect()}
+    """Rows beyond the first of each value, for all keys in one scan; NULLs count as one value."""
+    if not keys:
+        return {}
+    # equal values have equal texts; a mark before them keeps NULL apart
+    pairs = [[F.lit(i), F.coalesce(F.concat(F.lit("="), C.present(df, k).cast("string")), F.lit(""))] for i, k in enumerate(keys)]
+    counted = C.stacked(df, pairs, ["slot", "value"]).groupBy("slot", "value").count()
+    found = {r.slot: r.dupes for r in counted.groupBy("slot").agg(F.sum(F.col("count") - 1).alias("dupes")).collect()}
+    return {k: found.get(i, 0) for i, k in enumerate(keys)}
 
 
 def gather_facts(df: DataFrame, primary_keys: Sequence[str] = ()) -> DataFrame:
     """One row per column with everything the built-in rules need."""
+    return facts_and_aggregates(df, primary_keys, {})[0]
+
+
+def facts_and_aggregates(df: DataFrame, primary_keys: Sequence[str], own: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """The facts, and the values of further aggregates taken in the same scan."""
     keys = [k for k in primary_keys if k in df.columns]
     numeric = C.numeric_columns(df)
     extra: dict[str, Column] = {}
@@ -76,7 +80,7 @@ def gather_facts(df: DataFrame, primary_keys: Sequence[str] = ()) -> DataFrame:
         if _has_any(name, DATE_NAMES) and isinstance(df.schema[name].dataType, T.StringType):
             extra[f"bad dates {name}"] = F.count_if(value.isNotNull() & C.wall_time(df, name).isNull())
     values = {n: C.present(df, n) for n in numeric}
-    summaries, facts = summarise(df, values, (0.25, 0.75), extra)
+    summaries, facts = summarise(df, values, (0.25, 0.75), extra | {f"own {n}": c for n, c in own.items()})
 
     fences = {}
     for name, s in summaries.items():
@@ -101,7 +105,7 @@ def gather_facts(df: DataFrame, primary_keys: Sequence[str] = ()) -> DataFrame:
         )
         for i, name in enumerate(df.columns)
     ]
-    return small_frame(df.sparkSession, rows, FACTS)
+    return small_frame(df.sparkSession, rows, FACTS), {n: facts[f"own {n}"] for n in own}
 
 
 class QualityRule(Protocol):
@@ -113,6 +117,17 @@ class QualityRule(Protocol):
     def evaluate(self, df: DataFrame, table_name: str, facts: DataFrame) -> DataFrame: ...
 
 
+class AggregateRule(Protocol):
+    """A rule on named aggregates of the table, which are taken in the scan of the facts, so that it adds no scan."""
+
+    rule_id: str
+    rule_name: str
+
+    def aggregates(self, df: DataFrame, table_name: str) -> dict[str, Column]: ...
+
+    def verdict(self, facts: DataFrame, values: dict) -> DataFrame: ...
+
+
 def checks(
     rule: QualityRule, found: DataFrame, count: Column, severity: Column, penalty: Column, message: Column,
     passed: Column | None = None,
@@ -241,15 +256,19 @@ def evaluate_table(
     df: DataFrame,
     table_name: str,
     primary_keys: Sequence[str] = (),
-    rules: Sequence[QualityRule] = BUILT_IN_RULES,
+    rules: Sequence[QualityRule | AggregateRule] = BUILT_IN_RULES,
     sample_order: Sequence[str] = (),
     with_samples: bool = True,
 ) -> DataFrame:
     """Check rows of all rules, with sample violations unless they are not wanted. An empty table gives none."""
-    facts = gather_facts(df, primary_keys)
+    declared = {i: rule.aggregates(df, table_name) for i, rule in enumerate(rules) if hasattr(rule, "aggregates")}
+    facts, values = facts_and_aggregates(df, primary_keys, {f"{i} {n}": c for i, own in declared.items() for n, c in own.items()})
     result = None
-    for rule in rules:
-        found = rule.evaluate(df, table_name, facts).select(*CHECKS)
+    for i, rule in enumerate(rules):
+        if i in declared:
+            found = rule.verdict(facts, {n: values[f"{i} {n}"] for n in declared[i]}).select(*CHECKS)
+        else:
+            found = rule.evaluate(df, table_name, facts).select(*CHECKS)
         result = found if result is None else result.unionByName(found)
     if not with_samples:
         return result.select(F.lit(table_name).alias("table_name"), *CHECKS)

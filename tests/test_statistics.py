@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakesight.functions import summary as S
-from lakesight.functions.stats import ks_p_value, slope_p_value, unbiased_skewness
+from lakesight.functions.stats import ks_asymptotic_p_value, slope_p_value, unbiased_skewness
 from lakesight.operators.ordering import ordered_copy, running_totals, with_position
 
 PROBS = (0.0, 0.01, 0.25, 0.5, 0.75, 0.95, 1.0)
@@ -22,7 +22,7 @@ def test_slope_p_matches_t_tables(spark, t, df, p):
 
 def test_ks_p_value(spark):
     # lambda = 1.2 gives 0.11225
-    got = spark.range(1).select(ks_p_value(F.lit(1.2 / np.sqrt(50.0)), F.lit(100), F.lit(100))).first()[0]
+    got = spark.range(1).select(ks_asymptotic_p_value(F.lit(1.2 / np.sqrt(50.0)), F.lit(100), F.lit(100))).first()[0]
     assert got == pytest.approx(0.11225, abs=1e-5)
 
 
