@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -28,14 +29,17 @@ def build_session(app: str = "lakesight", master: str | None = None, **settings:
 
 
 def _scratch_base(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{base.rstrip('/')}/lakesight/{spark.sparkContext.applicationId}"
 
 
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder name under the shared folder the cluster names in spark.checkpoint.dir.
 
-    Where that is unset, the folder lies below the warehouse, which every executor reaches too.
+    Where that is unset, a local session takes a folder below the warehouse; on a cluster that is an error.
     """
     return f"{_scratch_base(spark)}/{uuid.uuid4().hex}"
 
