@@ -16,28 +16,40 @@ from lakesight.session import materialise, scratch_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, with their whole texts."""
+    """Documents that the quality rules keep, with their whole texts; shared lines only count against their documents.
+
+    Null and empty texts are rejected as too short; repeated rows are judged alike; empty tables stay empty.
+    """
     return quality_rules.kept(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
+    """One document of each group of near-duplicates, the one with the smallest id; rows without an id only if their whole group has none.
+
+    Null and empty texts are one group; of repeated rows one stays; columns may have any names.
+    """
     return near_duplicates.one_of_each_group(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark passage contaminates."""
+    """Documents that no benchmark passage contaminates; null and empty texts stay, repeated rows are judged alike."""
     found = decontamination.find_benchmark_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where("NOT contaminated").select(*[f"`{c}`" for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, each as often as the mix begins it."""
+    """Whole documents, each as often as the mix begins it. The token stage orders them by id, so the mix's own order ends here.
+
+    Texts without words are never begun and go; a null source is one of its own; repeated rows each take their part.
+    """
     return mixing.mixed_documents(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, and a row per document read back from them."""
+    """Token files of the mix, and a row per document read back from them.
+
+    A null text has the end id alone; repeats of a document each have their ids; an empty mix has no rows.
+    """
     files = scratch_folder(spark)
     token_output.write_tokens(docs, files, public_tokenizers.path(TOKENIZER))
     return token_output.read_documents(spark, files)
