@@ -28,6 +28,7 @@ from lakesight.llm.common import slices, with_package
 END = 2
 BLOCK_TOKENS = 1 << 20
 CACHED_WORDS = 1_000_000
+RANGE_CHARACTERS = 32  # of the text that parts rows of one id
 _SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: a caret (it marks bare words), any white space but blanks and line ends, white space in a row or at an end, or nothing
 _UNUSUAL = rf"\^|[{_SPACES}][{_SPACES}]|^[{_SPACES}]|[{_SPACES}]$|[\t\r\f\x0b\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]|^$"
@@ -136,16 +137,16 @@ def _encoder(path: str) -> Encoder:
 
 def encoded_blocks(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", end: int = END,
                    block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of ``docs`` in ascending order of ``id`` (nulls first, equal ids by a hash of the text, then by text).
+    """Blocks of ``docs`` in ascending order of ``id`` (nulls first, equal ids by the first characters of the text, and in a range by all of it).
 
-    Rows of one id, or without any, are cut into ranges by that hash, and equal
-    rows by their number, so that no id is bound to one task. Defined cases: a
+    Rows of one id, or without any, are cut into ranges by these characters, and
+    rows that agree in them by their number, so that no id is bound to one task. Defined cases: a
     null text is an empty one and has the end id alone; repeated rows each have
     their ids; an empty table has no blocks; other columns are left out.
     """
-    ordered = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.xxhash64(f"`{text}`").alias("hash"),
+    ordered = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.substring(f"`{text}`", 1, RANGE_CHARACTERS).alias("start"),
                           F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("text"))
-    ordered = ordered.repartitionByRange("id", "hash", "row").sortWithinPartitions("id", "hash", "text").select("id", "text")
+    ordered = ordered.repartitionByRange("id", "start", "row").sortWithinPartitions("id", "text").select("id", "text")
 
     names = T.StructType.fromDDL(BLOCKS).names
 
