@@ -58,7 +58,7 @@ def test_same_as_sql_with_odd_rows(spark, damaged, name):
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         spark.read.parquet(f"{SMALL}/{t}.parquet").limit(0).write.parquet(f"{folder}/{t}.parquet")
     return folder
 
