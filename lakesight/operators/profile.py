@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from lakesight.functions import columns as C
 from lakesight.functions.stats import unbiased_skewness
 from lakesight.functions.summary import Summary, summarise
-from lakesight.session import small_frame
+from lakesight.session import materialise, small_frame
 
 # Shown text length, list sizes, quantiles, fence width and number of bins.
 SHOWN_CHARACTERS = 100
@@ -24,6 +24,10 @@ FENCE = 1.5
 BINS = 10
 MONTHS_SHOWN = 12
 
+#: value hashes kept per column and task while the most frequent values are sought
+TRACKED = 4096
+# A Misra-Gries summary of t counters (kept in a table of t / 0.75 slots) misses at most 3.5 * 0.75 / t of its rows per value.
+_SUMMARY_ERROR = 3.5 * 0.75
 # Longer texts are grouped by digest, so that a shuffle never carries whole documents.
 _DIGEST_ABOVE = 64
 _HISTOGRAM = "column_name string, bin int, bin_start double, bin_end double, count bigint"
@@ -39,20 +43,18 @@ def _long_form(df: DataFrame, values: dict[str, Column], value_name: str) -> Dat
     return C.stacked(df, pairs, ["column_name", value_name]).filter(F.col(value_name).isNotNull())
 
 
-def value_frequencies(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+def value_frequencies(df: DataFrame, names: list[str] | None = None, only: DataFrame | None = None) -> DataFrame:
     """Count of every distinct value of every column: (column_name, value, count).
 
     Numbers and times are grouped as such and only their distinct values are
     turned into text. ``value`` is that text cut for display; grouping is on the
-    whole value.
+    whole value. With ``only``, a small table (column_name, hash), just the
+    values with these hashes are counted; others leave before the shuffle.
     """
     names = names or df.columns
     kinds: dict[str, list[str]] = {"whole": [], "real": [], "moment": [], "text": []}
     for name in names:
-        dtype = df.schema[name].dataType
-        kind = ("whole" if isinstance(dtype, T.IntegralType) else "real" if isinstance(dtype, T.DoubleType)
-                else "moment" if isinstance(dtype, T.TimestampNTZType) else "text")
-        kinds[kind].append(name)
+        kinds[_kind(df, name)].append(name)
     parts = []
     # each kind reads only its own columns
     for kind, members in kinds.items():
@@ -60,6 +62,10 @@ def value_frequencies(df: DataFrame, names: list[str] | None = None) -> DataFram
             continue
         pairs = [[F.lit(names.index(n)), _grouped_form(df, n, kind)] for n in members]
         long = C.stacked(df, pairs, ["slot", "v"]).filter(F.col("v").isNotNull())
+        if only is not None:
+            # at most TRACKED hashes a column
+            wanted = F.broadcast(only.withColumn("s", F.array_position(F.array(*map(F.lit, names)), F.col("column_name")) - 1))
+            long = long.join(wanted, (F.col("slot") == F.col("s")) & (F.xxhash64("v") == F.col("hash")), "left_semi")
         if kind == "text":
             short = F.length("v") <= _DIGEST_ABOVE
             long = long.select("slot", F.when(short, F.col("v")).otherwise(F.sha2("v", 256)).alias("v"),
@@ -79,31 +85,82 @@ def value_frequencies(df: DataFrame, names: list[str] | None = None) -> DataFram
     return joined.select(name.alias("column_name"), "value", "count")
 
 
+def _kind(df: DataFrame, name: str) -> str:
+    dtype = df.schema[name].dataType
+    return ("whole" if isinstance(dtype, T.IntegralType) else "real" if isinstance(dtype, T.DoubleType)
+            else "moment" if isinstance(dtype, T.TimestampNTZType) else "text")
+
+
 def _grouped_form(df: DataFrame, name: str, kind: str) -> Column:
     if kind == "whole":
         return C.named(name).cast("long")
     return C.as_text(df, name) if kind == "text" else C.present(df, name)
 
 
-def top_values(df: DataFrame, names: list[str] | None = None, k: int = TOP_VALUES) -> DataFrame:
-    """The k most frequent values per column with their share of the valid values."""
+def frequent_values(df: DataFrame, names: list[str], k: int, tracked: int = TRACKED) -> tuple[DataFrame, list[str], dict[str, int]]:
+    """Exact counts of the values that may be among a column's k most frequent, without a shuffle of all values.
+
+    Every task keeps a Misra-Gries summary of at most ``tracked`` value hashes per
+    column; the summaries are merged, and the values they name are counted
+    exactly in a second scan. A value they do not name has no more rows than
+    twice the summary's error, and no more than the named values leave over. A
+    column is settled if its k-th count is above the smaller of the two: then no
+    other value can reach the list, not even as a tie.
+
+    Gives (column_name, value, count) of the settled columns, their names, and
+    the number of valid values of every column.
+    """
+    values = {n: _grouped_form(df, n, _kind(df, n)) for n in names}
+    hashes = {n: F.when(v.isNotNull(), F.xxhash64(v)) for n, v in values.items()}
+    found = df.agg(*[c for n in names for c in (
+        F.count(C.present(df, n)), F.call_function("approx_top_k", hashes[n], F.lit(tracked), F.lit(tracked)))]).first()
+    valid = {n: found[2 * i] for i, n in enumerate(names)}
+    lists = {n: [(e["item"], e["count"]) for e in found[2 * i + 1] or [] if e["item"] is not None] for i, n in enumerate(names)}
+    unnamed = {n: 2 * _SUMMARY_ERROR / tracked * valid[n] for n in names}
+
+    def hopeful(n: str) -> bool:
+        counts = sorted((c for _, c in lists[n]), reverse=True)
+        return sum(counts) == valid[n] or (len(counts) >= k and counts[k - 1] > unnamed[n])
+
+    maybe = [n for n in names if hopeful(n)]
+    rows = [(n, h) for n in maybe for h, _ in lists[n]]
+    only = small_frame(df.sparkSession, rows, "column_name string, hash bigint")
+    counted = materialise(value_frequencies(df, maybe, only)) if maybe else small_frame(
+        df.sparkSession, [], "column_name string, value string, count bigint")
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("count"))))
+    # a row per column
+    totals = {r["column_name"]: r for r in ranked.groupBy("column_name").agg(
+        F.sum("count").alias("total"), F.max(F.when(F.col("rank") == k, F.col("count"))).alias("last")).collect()}
+    settled = []
+    for n in maybe:
+        total, last = (totals[n]["total"], totals[n]["last"]) if n in totals else (0, None)
+        left = valid[n] - total
+        if left == 0 or (last or 0) > min(left, unnamed[n]):
+            settled.append(n)
+    return counted.filter(F.col("column_name").isin(settled)), settled, valid
+
+
+def top_values(df: DataFrame, names: list[str] | None = None, k: int = TOP_VALUES, tracked: int = TRACKED) -> DataFrame:
+    """The k most frequent values per column with their share of the valid values.
+
+    Columns that ``frequent_values`` does not settle have all their values counted.
+    """
     names = names or df.columns
+    counts, settled, valid = frequent_values(df, names, k, tracked)
+    others = [n for n in names if n not in settled]
+    if others:
+        rest = value_frequencies(df, others)
+        counts = counts.unionByName(rest) if settled else rest
     best = Window.partitionBy("column_name").orderBy(F.desc("count"), F.asc("value"))
     # row_number <= k is cut down per partition before the shuffle, so no column meets in one task
-    ranked = (
-        value_frequencies(df, names)
-        .withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= k)
-    )
-    valid = df.agg(F.map_from_arrays(
-        F.array(*map(F.lit, names)), F.array(*[F.count(C.present(df, n)) for n in names])
-    ).alias("m")).scalar()
+    ranked = counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    of = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, valid[n])]), F.col("column_name"))
     return ranked.select(
         "column_name",
         "rank",
         "value",
         "count",
-        F.round(C.percent(F.col("count"), F.element_at(valid, F.col("column_name"))), 2).alias("percentage"),
+        F.round(C.percent(F.col("count"), of), 2).alias("percentage"),
     )
 
 
