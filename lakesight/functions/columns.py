@@ -25,6 +25,10 @@ def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 
 
+def is_integral(dtype: T.DataType) -> bool:
+    return isinstance(dtype, T.IntegralType)
+
+
 def is_fractional(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.FloatType, T.DoubleType))
 

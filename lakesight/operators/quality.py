@@ -52,14 +52,18 @@ def _has_any(name: str, fragments: Sequence[str]) -> bool:
 
 
 def _duplicate_counts(df: DataFrame, keys: Sequence[str]) -> dict[str, int]:
-    """Rows beyond the first of each value, for all keys in one scan; NULLs count as one value."""
+    """Rows beyond the first of each value, for all keys of a kind in one scan; NULLs count as one value."""
     if not keys:
         return {}
-    # equal values have equal texts; a mark before them keeps NULL apart
-    pairs = [[F.lit(i), F.coalesce(F.concat(F.lit("="), C.present(df, k).cast("string")), F.lit(""))] for i, k in enumerate(keys)]
-    counted = C.stacked(df, pairs, ["slot", "value"]).groupBy("slot", "value").count()
-    found = {r.slot: r.dupes for r in counted.groupBy("slot").agg(F.sum(F.col("count") - 1).alias("dupes")).collect()}
-    return {k: found.get(i, 0) for i, k in enumerate(keys)}
+    whole = [k for k in keys if C.is_integral(df.schema[k].dataType)]
+    # whole numbers are grouped as they are; of others, equal values have equal texts, and a mark before them keeps NULL apart
+    parts = {k: C.named(k).cast("bigint") if k in whole else F.coalesce(F.concat(F.lit("="), C.present(df, k).cast("string")), F.lit("")) for k in keys}
+    found = {}
+    for own in (whole, [k for k in keys if k not in whole]):
+        if own:
+            counted = C.stacked(df, [[F.lit(i), parts[k]] for i, k in enumerate(own)], ["slot", "value"]).groupBy("slot", "value").count()
+            found |= {own[r.slot]: r.dupes for r in counted.groupBy("slot").agg(F.sum(F.col("count") - 1).alias("dupes")).collect()}
+    return {k: found.get(k, 0) for k in keys}
 
 
 def gather_facts(df: DataFrame, primary_keys: Sequence[str] = ()) -> DataFrame:

@@ -49,7 +49,7 @@ def monthly_report(
     """Write every database's report: findings as CSV, each section as JSON. Returns the written paths."""
     written = []
     for name, catalog in databases.items():
-        report = build_report(catalog, kpis.get(name, ()), rules.get(name, ()), method=method)
+        report = build_report(catalog, kpis.get(name, ()), rules.get(name, ()), method=method).kept()
         for section, df in report.sections().items():
             path = f"{folder.rstrip('/')}/{name}/{section}"
             if section == "findings":

@@ -126,3 +126,31 @@ def test_registered_nightly_scan_counts_all_tables_and_methods(spark, table):
     got = reports.QUERIES["job_nightly_scan"](spark, "/root/testdata/sf0.001").first()
     assert got.error is None and got.overall_quality_score == quality.evaluate_database(tables, KEYS)[2].first().overall_quality_score
     assert (got.total_anomalies, got.critical_count) == (sum(r.n for r in found), sum(r.critical for r in found))
+
+
+def test_report_sections_are_computed_once(spark, table, tmp_path, monkeypatch):
+    """Observations and findings read the written sections, not the tables again."""
+    read = {}
+    note = lambda df, path: read.setdefault(path.rsplit("/", 1)[1], {f for f in df.inputFiles() if "/lakesight/" not in f})
+    monkeypatch.setattr(sinks, "write_json", note)
+    monkeypatch.setattr(sinks, "write_csv", note)
+    table("orders").write.parquet(f"{tmp_path}/orders")
+    orders = TableInfo(spark.read.parquet(f"{tmp_path}/orders"), ["o_orderkey"])
+    rule, kpi = R.Rule("Big", "orders", "o_totalprice > 1000"), Kpi("Revenue", "orders", "SUM(o_totalprice)", "o_orderdate")
+    jobs.monthly_report({"sales": {"orders": orders}}, {"sales": [kpi]}, {"sales": [rule]}, str(tmp_path), "IQR")
+    assert {"kpis", "anomalies", "observations", "findings"} <= set(read)
+    assert not any(read[n] for n in ("kpis", "anomalies", "observations", "findings"))
+
+
+def test_duplicates_of_whole_numbers_and_other_keys(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "a", None), (None, None, float("nan")), (None, "", 1.0), (2, "b", 2.0)], "i int, s string, d double")
+    assert quality._duplicate_counts(df, ["s", "i", "d"]) == {"s": 1, "i": 2, "d": 2}
+    # whole numbers travel as such, not as texts
+    plans = []
+    counted = quality.C.stacked
+    try:
+        quality.C.stacked = lambda *a: plans.append(counted(*a)) or plans[-1]
+        quality._duplicate_counts(df, ["i"])
+    finally:
+        quality.C.stacked = counted
+    assert dict(plans[0].dtypes)["value"] == "bigint"
