@@ -41,6 +41,34 @@ def test_ks_by_refining_is_exact(spark, cells):
         assert (x.size_b, x.size_c) == (len(old[name]), len(new[name]))
 
 
+@pytest.mark.parametrize("cells, few_rows", [(distribution.CELLS, distribution.FEW_ROWS), (distribution.CELLS, 0), (256, 0), (8, 0)])
+@pytest.mark.parametrize("stored", [False, True])
+def test_ks_of_tables_is_exact(spark, cells, few_rows, stored):
+    """Columns of tables with nulls, NaN and infinities; the ends are known, or not, or one side is stored counts."""
+    r, odd = np.random.default_rng(8), [None, math.nan, math.inf, -math.inf]
+    draw = lambda n, shift: [{"a": float(r.normal(shift)), "b": int(r.integers(0, 7)), "c": odd[i] if i < 4 else float(np.exp(r.normal() * 30)), "d": None}
+                             for i in range(n)]
+    rows = draw(2500, 0), draw(1800, 0.02)
+    old, new = (spark.createDataFrame(x, "a double, b int, c double, d double") for x in rows)
+    baseline = data_drift.value_counts(old) if stored else distribution.Values(old, old.columns, {"a": (2500, *[f(x["a"] for x in rows[0]) for f in (min, max)])})
+    got = {x.column_name: x for x in distribution.ks_statistics(baseline, distribution.Values(new, new.columns), cells, few_rows).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for name, x in got.items():
+        a, b = ([y[name] for y in side if y[name] is not None and not math.isnan(y[name])] for side in rows)
+        assert math.isclose(x.ks, plain_ks(a, b), abs_tol=1e-12), name
+        assert (x.size_b, x.size_c) == (len(a), len(b))
+
+
+def test_first_grid_leaves_few_rows(spark):
+    """Of two samples of one distribution, the first grid closes most cells, so that the next scan keeps few rows."""
+    r = np.random.default_rng(2)
+    old, new = (spark.createDataFrame([(float(x),) for x in r.random(40_000)], "v double") for _ in range(2))
+    columns = [distribution._Column("v", 0.0, 1.0, 40_000, 40_000)]
+    sides = [distribution.Values(df, ["v"]) for df in (old, new)]
+    _, inside = distribution._refined(distribution._both(*sides, columns, distribution.FIRST_BITS), columns, distribution.FIRST_BITS, 0)
+    assert inside < 4_000
+
+
 def test_ks_of_counts_and_of_no_rows(spark):
     counted = frame(spark, {"c": [1, 2, 2, 3]}).groupBy("column_name", "value").agg(F.sum("n").alias("n"))
     assert distribution.ks_statistics(counted, frame(spark, {"c": [2, 2, 5, 5]})).first().ks == 0.5
